@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from riskframe.frames import attach
 from riskframe.ordered import SLICE_ROWS, running_totals
+from riskframe.session import durable
 
 # Significance level, skewness limit, kernel bandwidth, grid size,
 # and the smallest sample the normality test takes.
@@ -167,13 +168,24 @@ def _global(rows: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 def classify(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Distribution class of each group with the statistics behind it."""
+    """Distribution class of each group with the statistics behind it.
+
+    The order and density tests run on the groups that reach them only.
+    """
     keys = list(keys)
     if not keys:
         return classify(df.withColumn("_all", F.lit(0)), ["_all"], value).drop("_all")
-    stats = with_normality(moments(df, keys, value))
-    out = stats.join(uniformity(df, keys, value), keys, "left").join(mode_counts(df, keys, value), keys, "left")
+    stats = durable(with_normality(moments(df, keys, value)))
     skew = skewness_class(F.col("skewness"))
+    undecided = ~F.col("is_normal") & (F.col("maximum") > F.col("minimum"))
+    symmetric = df.join(stats.where(undecided & (skew == "Symmetric")).select(*keys), keys, "left_semi")
+    tested = durable(
+        stats.join(uniformity(symmetric, keys, value), keys, "left").withColumn(
+            "is_uniform", F.coalesce("is_uniform", F.lit(False))
+        )
+    )
+    rest = df.join(tested.where(undecided & ~F.col("is_uniform")).select(*keys), keys, "left_semi")
+    out = tested.join(mode_counts(rest, keys, value), keys, "left")
     kind = (
         F.when(F.col("minimum") == F.col("maximum"), "Degenerate")
         .when(F.col("is_normal"), "Normal")
@@ -261,12 +273,20 @@ def standardize(
     if not keys:
         out = standardize(df.withColumn("_all", F.lit(0)), ["_all"], value, output, slice_rows)
         return out.drop("_all")
-    shape = classify(df, keys, value).select(
-        *keys, F.col("distribution").alias("_kind"), F.col("mean").alias("_mean"), F.col("std").alias("_std"), F.col("n").alias("_n")
+    # Fitted values, one row per group: kept, so that the rows below are read
+    # once per use and not once per statistic.
+    shape = durable(
+        classify(df, keys, value).select(
+            *keys,
+            F.col("distribution").alias("_kind"),
+            F.col("mean").alias("_mean"),
+            F.col("std").alias("_std"),
+            F.col("n").alias("_n"),
+        )
     )
     rows = df.withColumn("_x", F.col(value).cast("double")).join(shape, keys, "left")
     skewed = F.col("_kind").isin("Right skewed", "Left skewed")
-    lambdas = yeo_johnson_lambdas(rows.where(skewed).select(*keys, "_x"), keys, "_x")
+    lambdas = durable(yeo_johnson_lambdas(rows.where(skewed).select(*keys, "_x"), keys, "_x"))
     rows = rows.join(lambdas, keys, "left").withColumn("_y", F.when(skewed, _yeo_johnson(F.col("_x"), F.col("lam"))))
     rows = attach(rows, keys, _ymean=F.avg("_y"), _ystd=F.stddev_pop("_y"))
     counts = value_counts(rows.where(F.col("_kind") == "Multimodal").select(*keys, "_x"), keys, "_x")

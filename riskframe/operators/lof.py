@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from riskframe.frames import attach
 from riskframe.operators.distributions import classify, value_counts
 from riskframe.ordered import SLICE_ROWS, exact_quantiles, running_totals
+from riskframe.session import durable
 
 # Most neighbours, smallest group, contamination, variance gates.
 MAX_NEIGHBOURS = 20
@@ -134,8 +135,9 @@ def with_lof(
     scored = filled
     if gate:
         # The gate looks at the present values only; the fill sits at their mean.
-        scored = filled.join(gated_groups(df, keys, value), keys, "left_semi")
-    factors = local_outlier_factors(scored.select(*keys, "_x"), keys, "_x", slice_rows, block)
+        scored = filled.join(durable(gated_groups(df, keys, value)), keys, "left_semi")
+    # Read twice below (range or cut-off, then the rows): written out once.
+    factors = durable(local_outlier_factors(scored.select(*keys, "_x"), keys, "_x", slice_rows, block))
     if confidence:
         ranged = attach(factors, keys, _lo=F.min("lof"), _hi=F.max("lof"))
         span = F.col("_hi") - F.col("_lo")

@@ -333,8 +333,8 @@ def uniformity(t):
     """
     WITH v AS (SELECT event_type, value AS x, count(*) AS c FROM events GROUP BY ALL),
     b AS (SELECT event_type, min(x) AS lo, (max(x) - min(x)) / 999 AS step FROM v GROUP BY 1),
-    g AS (SELECT event_type, i, lo + i * step AS at FROM b, range(1000) AS r(i)),
-    d AS (SELECT g.event_type, i, sum(CASE WHEN abs(at - x) < 38.6 THEN c * exp(-0.5 * pow(at - x, 2)) ELSE 0 END) AS d
+    g AS (SELECT event_type, i, lo + i * step AS pt FROM b, range(1000) AS r(i)),
+    d AS (SELECT g.event_type, i, sum(CASE WHEN abs(pt - x) < 38.6 THEN c * exp(-0.5 * pow(pt - x, 2)) ELSE 0 END) AS d
           FROM g JOIN v ON v.event_type = g.event_type GROUP BY ALL),
     p AS (SELECT event_type, d, lag(d) OVER w AS a, lead(d) OVER w AS z FROM d WINDOW w AS (PARTITION BY event_type ORDER BY i))
     SELECT event_type, count(*) > 1 AS multimodal FROM p WHERE d > a AND d > z GROUP BY 1
@@ -354,15 +354,14 @@ def distribution_class(t):
 @register(
     "standardize_z",
     """
-    SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, 'Uniform' AS z_class,
-      round((l_quantity - avg(l_quantity) OVER (PARTITION BY l_returnflag)) / stddev_pop(l_quantity) OVER (PARTITION BY l_returnflag), 6) AS z
-    FROM lineitem
+    SELECT c_custkey, 'Uniform' AS z_class, round((c_acctbal - avg(c_acctbal) OVER (PARTITION BY c_mktsegment))
+      / stddev_pop(c_acctbal) OVER (PARTITION BY c_mktsegment), 6) AS z FROM customer
     """,
 )
 def standardize_z(t):
-    """Yeo-Johnson, quantile and z-score branches share one plan; quantities are uniform."""
-    out = distributions.standardize(_lines(t, "l_returnflag", "l_quantity"), ["l_returnflag"], "l_quantity", "z")
-    return out.select("l_orderkey", "l_linenumber", "z_class", F.round("z", 6).alias("z"))
+    rows = t.customer.select("c_custkey", "c_mktsegment", "c_acctbal")
+    out = distributions.standardize(rows, ["c_mktsegment"], "c_acctbal", "z")
+    return out.select("c_custkey", "z_class", F.round("z", 6).alias("z"))
 
 
 @register("standardize_skewed")

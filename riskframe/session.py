@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,12 +18,16 @@ DEFAULTS = {
 }
 
 
+_LOCAL_FOLDERS: dict[str, str | None] = {}
+
+
 def local_session(cpus: int | str = "*", app: str = "riskframe", **conf: str) -> SparkSession:
     """A single-JVM session for tests and the benchmark."""
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
         .config("spark.driver.maxResultSize", "2g")
         .config("spark.sql.shuffle.partitions", "8")
@@ -34,19 +39,26 @@ def local_session(cpus: int | str = "*", app: str = "riskframe", **conf: str) ->
     return spark
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint that outlives any executor.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, named by ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``.  Only a
-    local master may fall back to a folder of this machine.
+    Only a local master may fall back to a folder of this machine.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="riskframe-checkpoint-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        folder = _LOCAL_FOLDERS.setdefault(sc.applicationId, None) or tempfile.mkdtemp(prefix="riskframe-shared-")
+        _LOCAL_FOLDERS[sc.applicationId] = folder
+    return folder
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Write a frame to the shared folder once and go on from the written table.
+
+    Cuts the lineage, survives lost executors, and gives the planner real sizes.
+    """
+    path = f"{shared_folder(df.sparkSession)}/riskframe/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
