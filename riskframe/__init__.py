@@ -1 +1,8 @@
 """Transaction-risk analytics as plain functions over Spark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions sent to executors travel by value: nothing to install there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
