@@ -154,15 +154,14 @@ def special_to_space(text: Column | str) -> Column:
 
 
 def ngrams(text: Column | str, up_to: int = 3) -> Column:
-    """All word n-grams of 1..up_to words."""
+    """All word n-grams of 1..up_to words, by zipping the words with themselves shifted."""
     words = tokens(text)
-
-    def of(n: int) -> Column:
-        last = F.size(words) - n + 1
-        starts = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
-
-    return F.concat(*[of(n) for n in range(1, up_to + 1)])
+    grams = [words]
+    for n in range(1, up_to):
+        shifted = F.slice(words, F.lit(n + 1), F.greatest(F.lit(0), F.size(words) - n))
+        longer = F.zip_with(grams[-1], shifted, lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b)))
+        grams.append(F.filter(longer, lambda g: g.isNotNull()))
+    return grams[0] if up_to == 1 else F.concat(*grams)
 
 
 def ngram_frequencies(df: DataFrame, text: str, up_to: int = 3) -> DataFrame:
@@ -177,18 +176,24 @@ def top_words(df: DataFrame, text: str, limit: int = 500) -> DataFrame:
     return ngram_frequencies(df, text, 1).select(F.col("ngram").alias("word"), "count").limit(limit)
 
 
-def _window_match(text: Column, keyword: str, edits: int) -> Column:
+def _window_match(text: Column, keyword: str, edits: int, chunk: int = 256) -> Column:
     """Whether some window as long as the keyword is within ``edits`` of it.
 
-    One of ``edits + 1`` pieces must survive unchanged, so windows are only
-    measured in texts that hold such a piece.
+    One of ``edits + 1`` pieces must survive unchanged.  The text is read in
+    overlapping chunks and windows are only measured in chunks holding a piece.
     """
     m = len(keyword)
     cut = [round(i * m / (edits + 1)) for i in range(edits + 2)]
     pieces = [keyword[a:b] for a, b in zip(cut, cut[1:]) if b > a]
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - m + 1))
-    close = F.exists(starts, lambda i: F.levenshtein(F.substring(text, i, F.lit(m)), F.lit(keyword)) <= edits)
-    return any_of([text.contains(p) for p in pieces]) & close
+
+    def near(part: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(part) - m + 1))
+        close = F.exists(starts, lambda i: F.levenshtein(F.substring(part, i, F.lit(m)), F.lit(keyword)) <= edits)
+        return any_of([part.contains(p) for p in pieces]) & close
+
+    begins = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text)), F.lit(chunk))
+    parts = F.transform(begins, lambda i: F.substring(text, i, F.lit(chunk + m)))
+    return any_of([text.contains(p) for p in pieces]) & F.exists(parts, near)
 
 
 def keyword_flag(text: Column | str, keywords: Sequence[str], ratio: int = 89) -> Column:

@@ -102,8 +102,8 @@ def flag(kind: str, value: Column | str) -> Column:
         "has_value": lambda: F.when(number.isNotNull(), number > 0).otherwise(
             ~_missing(v) & (F.lower(F.trim(v.cast("string"))) != "false")
         ),
-        "is_true": lambda: truthy(v),
-        "is_false": lambda: F.lower(F.trim(v.cast("string"))).isin("false", "0", "0.0"),
+        "is_true": lambda: truthy(v) | F.coalesce(number == 1, F.lit(False)),
+        "is_false": lambda: (F.lower(F.trim(v.cast("string"))) == "false") | F.coalesce(number == 0, F.lit(False)),
     }[kind]()
     return F.coalesce(test, F.lit(False)).cast("int")
 

@@ -48,14 +48,15 @@ def _scored(pairs: DataFrame) -> DataFrame:
         F.coalesce("item_description_invoice", F.lit("")), F.coalesce("item_description_po", F.lit(""))
     )
     parts = pairs.withColumns({"amount_diff": amount, "quantity_diff": quantity, "description_diff": text})
-    weighted = (
-        F.abs("amount_diff") * AMOUNT_WEIGHT
-        + F.abs("quantity_diff") * QUANTITY_WEIGHT
-        + F.abs("description_diff") * DESCRIPTION_WEIGHT
+    # Differences have two decimals: weighing whole hundredths keeps ties exact.
+    hundredths = (
+        F.round(F.abs("amount_diff") * 100) * AMOUNT_WEIGHT
+        + F.round(F.abs("quantity_diff") * 100) * QUANTITY_WEIGHT
+        + F.abs("description_diff") * 100 * DESCRIPTION_WEIGHT
     )
     return parts.select(
         "invoice_id", "po_id", "item_id_invoice", "item_id_po", "amount_diff", "quantity_diff", "description_diff",
-        F.round(weighted, 2).alias("weighted_diff"),
+        (F.round(hundredths) / 100).alias("weighted_diff"),
     )
 
 

@@ -45,15 +45,18 @@ def po_total_on_every_line(t):
     return rounded(out.drop("l_extendedprice"), 2, "po_total")
 
 
-@register("grouped_user_function")
+@register(
+    "grouped_user_function",
+    f"SELECT {_LINE}, l_suppkey, l_extendedprice, rank() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice) AS price_rank FROM lineitem",
+)
 def grouped_user_function(t):
-    """Any pandas function per bounded group: rank of each line's price in its order."""
+    """Any pandas function per bounded group: rank of each line's price at its supplier."""
 
     def rank(pdf):
         return pdf.assign(price_rank=pdf["l_extendedprice"].rank(method="min").astype("int64"))
 
-    schema = "l_orderkey long, l_linenumber long, l_partkey long, l_extendedprice double, price_rank long"
-    return reduce.grouped_apply(lines(t, "l_extendedprice"), ["l_orderkey"], rank, schema)
+    schema = "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long, l_extendedprice double, price_rank long"
+    return reduce.grouped_apply(lines(t, "l_suppkey", "l_extendedprice"), ["l_suppkey"], rank, schema)
 
 
 @register(

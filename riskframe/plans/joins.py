@@ -288,7 +288,7 @@ MATCH_SQL = """
     i AS (SELECT l_orderkey AS po_id, concat_ws('-', l_linenumber, l_partkey, l_suppkey) AS item, p_name || ' ' || p_brand AS d,
       round(l_extendedprice * (1 - l_discount), 2) AS a, l_quantity AS q FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag <> 'N'),
     x AS (SELECT i.po_id + 1000000 AS invoice_id, i.po_id, i.item AS item_id_invoice, p.item AS item_id_po,
-      round((p.a - i.a) / i.a * 100, 2) AS amount_diff, round((p.q - i.q) / i.q * 100, 2) AS quantity_diff,
+      round(((p.a - i.a) / i.a * 100)::DECIMAL(30,14), 2)::DOUBLE AS amount_diff, round(((p.q - i.q) / i.q * 100)::DECIMAL(30,14), 2)::DOUBLE AS quantity_diff,
       100 - round(100 * (1 - levenshtein(i.d, p.d) / greatest(length(i.d), length(p.d))))::BIGINT AS description_diff
       FROM i JOIN p ON p.po_id = i.po_id)
 """
@@ -296,7 +296,7 @@ MATCH_SQL = """
 
 @register(
     "two_way_scores",
-    f"WITH {MATCH_SQL} SELECT *, round(abs(amount_diff) * 0.25 + abs(quantity_diff) * 0.25 + abs(description_diff) * 0.5, 2) AS weighted_diff FROM x",
+    f"WITH {MATCH_SQL} SELECT *, round(round(abs(amount_diff) * 100) * 0.25::DOUBLE + round(abs(quantity_diff) * 100) * 0.25::DOUBLE + abs(description_diff) * 50.0::DOUBLE) / 100 AS weighted_diff FROM x",
 )
 def two_way_scores(t):
     out = matching.scored_pairs(*match_lines(t))

@@ -78,7 +78,7 @@ def angle_brackets_to_round(t):
 @register(
     "lemmatize",
     r"""
-    WITH l AS (SELECT lower(w) AS word, min(upper(w)) AS lemma FROM (SELECT unnest(string_split_regex(text, '\s+')) AS w FROM benchmark) WHERE w <> '' GROUP BY 1),
+    WITH l AS (SELECT lower(w) AS word, min('L_' || lower(w)) AS lemma FROM (SELECT unnest(string_split_regex(text, '\s+')) AS w FROM benchmark) WHERE w <> '' GROUP BY 1),
     d AS (SELECT doc_id, unnest(list_transform(ws, lambda w, i: {'i': i, 'w': w}), recursive := true) FROM
       (SELECT doc_id, list_filter(string_split_regex(text, '\s+'), lambda w: w <> '') AS ws FROM documents))
     SELECT doc_id, md5(string_agg(coalesce(lemma, w), ' ' ORDER BY i)) AS hash FROM d LEFT JOIN l ON word = w GROUP BY doc_id
@@ -86,7 +86,7 @@ def angle_brackets_to_round(t):
 )
 def lemmatize(t):
     lemmas = t.benchmark.select(F.explode(text.tokens("text")).alias("w")).select(
-        F.lower("w").alias("word"), F.upper("w").alias("lemma")
+        F.lower("w").alias("word"), F.concat(F.lit("L_"), F.lower("w")).alias("lemma")
     )
     out = text.lemmatize(t.documents.select("doc_id", "text"), "doc_id", "text", lemmas, "word", "lemma")
     return out.select("doc_id", F.md5("text").alias("hash"))

@@ -69,7 +69,7 @@ def parsed_values(t):
       (event_id % 6 = 5)::BIGINT AS missing,
       CASE event_id % 6 WHEN 5 THEN 0 WHEN 0 THEN (user_id % 2 = 0)::INT WHEN 1 THEN (floor(value) > 0)::INT WHEN 2 THEN (value > 0)::INT ELSE 1 END::BIGINT AS has_value,
       CASE event_id % 6 WHEN 0 THEN (user_id % 2 = 0)::INT WHEN 1 THEN (floor(value) = 1)::INT WHEN 2 THEN (value = 1)::INT ELSE 0 END::BIGINT AS is_true,
-      CASE event_id % 6 WHEN 0 THEN (user_id % 2 = 1)::INT WHEN 1 THEN (floor(value) = 0)::INT ELSE 0 END::BIGINT AS is_false
+      CASE event_id % 6 WHEN 0 THEN (user_id % 2 = 1)::INT WHEN 1 THEN (floor(value) = 0)::INT WHEN 2 THEN (value = 0)::INT ELSE 0 END::BIGINT AS is_false
     FROM events
     """,
 )
