@@ -32,7 +32,9 @@ _LINE = ("item_id", "item_description", "item_amount", "item_quantity")
 
 def percent_difference(po: Column, invoice: Column) -> Column:
     """Difference in percent of the invoice's value; 100 where that is 0 or missing."""
-    return F.coalesce(F.when(invoice != 0, F.round((po - invoice) / invoice * 100, 2)), F.lit(100.0))
+    # Rounded twice: binary noise must not decide a tie at the second decimal.
+    percent = F.round(F.round((po - invoice) / invoice * 100, 10), 2)
+    return F.coalesce(F.when(invoice != 0, percent), F.lit(100.0))
 
 
 def _sides(invoices: DataFrame, orders: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -15,15 +15,14 @@ _COEF = {"l_quantity": 0.04, "l_discount": -3.0, "l_tax": 5.0}
     WITH m AS (SELECT avg(l_quantity) AS q, avg(l_discount) AS d, avg(l_tax) AS x FROM lineitem),
     c AS (SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_partkey, l_suppkey, l_extendedprice / 200000 AS p, 0.04 * (l_quantity - q) AS c1, -3.0 * (l_discount - d) AS c2, 5.0 * (l_tax - x) AS c3 FROM lineitem, m),
     u AS (SELECT *, 'l_quantity' AS feature, c1 AS c FROM c UNION ALL SELECT *, 'l_discount', c2 FROM c UNION ALL SELECT *, 'l_tax', c3 FROM c)
-    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, feature, sign(c)::BIGINT AS direction,
-      round(c * p * 100 / (abs(c1) + abs(c2) + abs(c3)), 2) <> 0 AS shown FROM u WHERE abs(c * p * 100 / (abs(c1) + abs(c2) + abs(c3))) > 0.006
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, feature, round(c * p * 100 / (abs(c1) + abs(c2) + abs(c3)), 2) AS contribution_percent
+    FROM u WHERE round(c * p * 100 / (abs(c1) + abs(c2) + abs(c3)), 2) <> 0
     """,
 )
 def linear_contributions(t):
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
     rows = t.lineitem.withColumn("p", F.col("l_extendedprice") / 200000).withColumn("l_linenumber", F.col("l_linenumber").cast("long"))
-    out = explain.linear_percent(rows, keys, _COEF, explain.column_means(t.lineitem, list(_COEF)), "p")
-    return out.select(*keys, "feature", F.signum("contribution_percent").cast("long").alias("direction"), (F.col("contribution_percent") != 0).alias("shown"))
+    return explain.linear_percent(rows, keys, _COEF, explain.column_means(t.lineitem, list(_COEF)), "p")
 
 
 @register("sampled_contributions")

@@ -277,7 +277,7 @@ def match_lines(t):
     invoices = named.where("l_returnflag <> 'N'").select(
         (F.col("l_orderkey") + 1000000).alias("invoice_id"), F.col("l_orderkey").alias("po_id"), item,
         F.concat("p_name", F.lit(" "), F.col("p_brand")).alias("item_description"),
-        F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 2).alias("item_amount"), F.col("l_quantity").alias("item_quantity"),
+        F.round(F.col("l_extendedprice") - F.col("l_discount") * 1000, 2).alias("item_amount"), F.col("l_quantity").alias("item_quantity"),
     )
     return invoices, orders
 
@@ -286,9 +286,9 @@ MATCH_SQL = """
     p AS (SELECT l_orderkey AS po_id, concat_ws('-', l_linenumber, l_partkey, l_suppkey) AS item, p_name AS d, l_extendedprice AS a, l_quantity AS q
       FROM lineitem JOIN part ON p_partkey = l_partkey),
     i AS (SELECT l_orderkey AS po_id, concat_ws('-', l_linenumber, l_partkey, l_suppkey) AS item, p_name || ' ' || p_brand AS d,
-      round(l_extendedprice * (1 - l_discount), 2) AS a, l_quantity AS q FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag <> 'N'),
+      round(l_extendedprice - l_discount * 1000, 2) AS a, l_quantity AS q FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag <> 'N'),
     x AS (SELECT i.po_id + 1000000 AS invoice_id, i.po_id, i.item AS item_id_invoice, p.item AS item_id_po,
-      round(((p.a - i.a) / i.a * 100)::DECIMAL(30,14), 2)::DOUBLE AS amount_diff, round(((p.q - i.q) / i.q * 100)::DECIMAL(30,14), 2)::DOUBLE AS quantity_diff,
+      round(round((p.a - i.a) / i.a * 100, 10)::DECIMAL(30,10), 2)::DOUBLE AS amount_diff, round(round((p.q - i.q) / i.q * 100, 10)::DECIMAL(30,10), 2)::DOUBLE AS quantity_diff,
       100 - round(100 * (1 - levenshtein(i.d, p.d) / greatest(length(i.d), length(p.d))))::BIGINT AS description_diff
       FROM i JOIN p ON p.po_id = i.po_id)
 """

@@ -152,11 +152,11 @@ def decade_bins(t):
 
 @register(
     "polynomial_features",
-    "SELECT o_orderkey, round(pow(o_totalprice / 1000, 1), 4) AS \"p^1\", round(pow(o_totalprice / 1000, 2), 4) AS \"p^2\" FROM orders",
+    "SELECT o_orderkey, round(pow(o_totalprice / 7000, 1), 6) AS \"p^1\", round(pow(o_totalprice / 7000, 2), 6) AS \"p^2\" FROM orders",
 )
 def polynomial_features(t):
-    out = t.orders.select("o_orderkey", *encode.powers("p", F.col("o_totalprice") / 1000))
-    return out.select("o_orderkey", F.round("`p^1`", 4).alias("p^1"), F.round("`p^2`", 4).alias("p^2"))
+    out = t.orders.select("o_orderkey", *encode.powers("p", F.col("o_totalprice") / 7000))
+    return out.select("o_orderkey", F.round("`p^1`", 6).alias("p^1"), F.round("`p^2`", 6).alias("p^2"))
 
 
 @register(

@@ -33,8 +33,12 @@ def no_impact_features(df: DataFrame, features: Sequence[str], target: str) -> D
 
 def evidence(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
     """Weight of evidence per (feature, bin): ln((no% + 1e-6) / (yes% + 1e-6))."""
-    binned = discretize(df.select(target, *[F.col(f"`{c}`") for c in features]), features, "")
-    return evidence_of_bins(binned, features, target)
+    binned = discretize(df.select(target, *[F.col(f"`{c}`") for c in features]), features, "_woebin")
+    return evidence_of_bins(_bins_only(binned, features, target), features, target)
+
+
+def _bins_only(binned: DataFrame, features: Sequence[str], target: str) -> DataFrame:
+    return binned.select(target, *[F.col(f"`{c}_woebin`").alias(c) for c in features])
 
 
 def evidence_of_bins(binned: DataFrame, features: Sequence[str], target: str) -> DataFrame:
@@ -52,8 +56,7 @@ def evidence_of_bins(binned: DataFrame, features: Sequence[str], target: str) ->
 def with_evidence(df: DataFrame, features: Sequence[str], target: str, suffix: str = "_WoE") -> DataFrame:
     """Add the weight of evidence of each feature's bin."""
     binned = discretize(df, features, "_woebin")
-    renamed = binned.select(target, *[F.col(f"{c}_woebin").alias(c) for c in features])
-    table = evidence_of_bins(renamed, features, target)
+    table = evidence_of_bins(_bins_only(binned, features, target), features, target)
     out = binned
     for c in features:
         one = table.where(F.col("feature") == c).select(F.col("bin").alias(f"{c}_woebin"), F.col("woe").alias(f"{c}{suffix}"))
