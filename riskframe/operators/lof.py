@@ -36,7 +36,8 @@ def _factors(x: np.ndarray, count: np.ndarray, k: int) -> np.ndarray:
     Ties in distance go to the lower value.
     """
     m = len(x)
-    offsets = np.array([s * o for o in range(1, min(k, m - 1) + 1) for s in (-1, 1)], dtype=int)
+    reachable = min(k, m - 1)
+    offsets = np.array([o for o in range(-reachable, reachable + 1) if o != 0], dtype=int)
     at = np.arange(m)[:, None] + offsets[None, :]
     valid = (at >= 0) & (at < m)
     at = np.clip(at, 0, m - 1)
