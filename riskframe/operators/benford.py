@@ -95,39 +95,43 @@ def conformity(
 
     ``proportions`` tests shares (it hardly ever rejects), ``counts`` raw counts.
     """
-    return _conformity(histogram(df, groups, value, digits), groups, digits, alpha, mode)
+    tested = _with_conformity(histogram(df, groups, value, digits), groups, digits, alpha, mode)
+    return tested.where(_in_range(digits)).select(*groups, "chi_square", "degrees_of_freedom", "rejected").distinct()
 
 
-def _conformity(hist: DataFrame, groups: Sequence[str], digits: int, alpha: float, mode: str) -> DataFrame:
-    inside = hist.where(_in_range(digits)).withColumn("b", expected_share(F.col("digits")))
-    total, mass = F.sum("count").over(_whole(groups)), F.sum("b").over(_whole(groups))
-    observed, expected = F.col("count") / total, F.col("b") / mass
-    scale = total if mode == "counts" else F.lit(1.0)
-    terms = inside.withColumn("_term", scale * (observed - expected) ** 2 / expected)
-    stats = terms.groupBy(*groups).agg(
-        F.sum("_term").alias("chi_square"), (F.count(F.lit(1)) - 1).alias("degrees_of_freedom")
+def _with_conformity(hist: DataFrame, groups: Sequence[str], digits: int, alpha: float, mode: str) -> DataFrame:
+    """Add the group's test to each of its digit counts, all in the histogram's own
+    partitioning: the data is read once."""
+    whole, inside = _whole(groups), _in_range(digits)
+    marked = hist.withColumn("_law", F.when(inside, expected_share(F.col("digits"))))
+    sums = marked.withColumns(
+        {"_total": F.sum(F.when(inside, F.col("count"))).over(whole), "_mass": F.sum("_law").over(whole), "_levels": F.count("_law").over(whole)}
     )
+    observed, expected = F.col("count") / F.col("_total"), F.col("_law") / F.col("_mass")
+    scale = F.col("_total") if mode == "counts" else F.lit(1.0)
+    term = F.when(inside, scale * (observed - expected) ** 2 / expected)
     critical = F.array(*[F.lit(c) for c in critical_values(alpha, 10**digits)])
+    out = sums.withColumn("_term", term).withColumns(
+        {"chi_square": F.sum("_term").over(whole), "degrees_of_freedom": F.col("_levels") - 1}
+    )
     limit = F.get(critical, F.col("degrees_of_freedom").cast("int") - 1)
-    return stats.withColumn("rejected", F.coalesce(F.col("chi_square") > limit, F.lit(False)))
+    out = out.withColumn("rejected", F.coalesce(F.col("chi_square") > limit, F.lit(False)))
+    return out.drop("_law", "_total", "_mass", "_levels", "_term")
 
 
 def digit_scores(
     df: DataFrame, groups: Sequence[str], value: str, digits: int = 2, mode: str = "proportions"
 ) -> DataFrame:
     """Anomaly score 0..1 of each digit of each group."""
-    hist = histogram(df, groups, value, digits)
-    keyed = hist if groups else hist.withColumn("_all", F.lit(0))
-    keys = list(groups) or ["_all"]
-    verdict = _conformity(keyed, keys, digits, 0.01, mode).select(*keys, "rejected")
+    tested = _with_conformity(histogram(df, groups, value, digits), groups, digits, 0.01, mode)
     share = F.col("count") / F.col("n")
     b = F.when(_in_range(digits), expected_share(F.col("digits"))).otherwise(0.0)
     excess = F.greatest(F.lit(0.0), share - (b + UPPER_Z * standard_error(b, F.col("n"))))
     frequent = F.col("count") >= F.greatest(F.lit(float(MIN_DIGIT_COUNT)), MIN_DIGIT_SHARE * F.col("n"))
-    raw = keyed.join(verdict, keys, "left").withColumn("_a", F.when(frequent, excess).otherwise(0.0))
+    raw = tested.withColumn("_a", F.when(frequent, excess).otherwise(0.0))
     # The group maximum is taken before out-of-range digits are zeroed.
-    top = F.max("_a").over(Window.partitionBy(*keys))
-    usable = _in_range(digits) & (F.col("n") >= MIN_SAMPLE) & ~F.coalesce("rejected", F.lit(False)) & (top > 0)
+    top = F.max("_a").over(_whole(groups))
+    usable = _in_range(digits) & (F.col("n") >= MIN_SAMPLE) & ~F.col("rejected") & (top > 0)
     score = F.when(usable, F.round(F.pow(F.col("_a") / top, F.lit(2.0)), 3)).otherwise(0.0)
     return raw.select(*groups, "digits", "count", "n", score.alias("score"))
 

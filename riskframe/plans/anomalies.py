@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from riskframe.operators import benford, distributions, entity, lof, outlier, reduce, scaling
 from riskframe.plans.catalogue import register
+from riskframe.session import durable
 
 _LINES = "l_orderkey, l_linenumber::BIGINT AS l_linenumber"
 
@@ -89,12 +90,15 @@ INVOICE_PARTS = ["CompanyCode", "FiscalYear", "SystemInvoiceNo"]
 )
 def flagship_invoice_benford(t):
     """Invoices from signed lines, Benford score per company, the 100 most anomalous."""
+    # The invoices are read twice, for the digit counts and for their scores: written once.
     invoices = reduce.entity_first_lines(
         invoice_lines(t), "VendorNumber", INVOICE_PARTS, "AmountExcl_RC", "invoice_level", ["line", "part"],
         "DebitCreditIndicator",
     )
     # Totals of doubles may differ in the last bit between runs: digits need cents.
-    invoices = invoices.withColumn("Total_AmountExcl_RC", F.round("Total_AmountExcl_RC", 2))
+    invoices = durable(
+        invoices.select("vendor_level", "invoice_level", "CompanyCode", F.round("Total_AmountExcl_RC", 2).alias("Total_AmountExcl_RC"))
+    )
     scored = benford.with_benford_scores(invoices, ["CompanyCode"], "Total_AmountExcl_RC", "score")
     out = scored.select(
         "vendor_level", "invoice_level", "CompanyCode", "Total_AmountExcl_RC",
