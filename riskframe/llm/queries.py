@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskframe.llm import exact, mixing, urls
+from riskframe.llm import exact, langid, mixing, simhash, urls
+from riskframe.llm.common import in_fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {"op6_mixing": mixing.SQL, "op7_exact_dedup": exact.SQL, "op8_url_filter": urls.SQL}
@@ -21,6 +22,19 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@_query
+def op1_language_id(spark, folder):
+    """Learns from three folds of four; the fourth is held out."""
+    docs, held = _table(spark, folder, "documents"), in_fold("doc_id", 4, 2)
+    model = langid.fit_languages(docs, train=~held)
+    return langid.with_language(docs.select("doc_id", held.alias("held_out"), "text"), model).drop("text")
+
+
+@_query
+def op5_simhash(spark, folder):
+    return simhash.near_duplicates(_table(spark, folder, "documents"))
+
+
 @_query
 def op6_mixing(spark, folder):
     out = mixing.mixed(_table(spark, folder, "documents"))
