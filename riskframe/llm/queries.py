@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskframe.llm import exact, langid, mixing, simhash, urls
+from riskframe.llm import exact, langid, mixing, pieces, simhash, tokens, urls
 from riskframe.llm.common import in_fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {"op6_mixing": mixing.SQL, "op7_exact_dedup": exact.SQL, "op8_url_filter": urls.SQL}
 
 
+#: A public vocabulary; never copied into the repository.
+PIECES = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+
+
 def _query(fn):
     QUERIES[fn.__name__] = fn
     return fn
@@ -30,6 +35,16 @@ def op1_language_id(spark, folder):
     return langid.with_language(docs.select("doc_id", held.alias("held_out"), "text"), model).drop("text")
 
 
+@_query
+def op3_token_counts(spark, folder):
+    return tokens.token_counts(_table(spark, folder, "documents"), pieces.read_vocabulary(PIECES))
+
+
+@_query
+def op4_sentencepiece(spark, folder):
+    return pieces.round_trip(_table(spark, folder, "documents"), pieces.read_vocabulary(PIECES))
+
+
 @_query
 def op5_simhash(spark, folder):
     return simhash.near_duplicates(_table(spark, folder, "documents"))
