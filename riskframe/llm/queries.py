@@ -6,8 +6,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from riskframe.llm import exact, langid, mixing, pieces, simhash, tokens, urls
+from riskframe.llm import exact, katz, langid, mixing, pieces, simhash, tokens, urls
 from riskframe.llm.common import in_fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +65,12 @@ def op7_exact_dedup(spark, folder):
 @_query
 def op8_url_filter(spark, folder):
     return urls.url_verdicts(_table(spark, folder, "pages"), urls.rule_table(spark))
+
+
+@_query
+def op10_katz(spark, folder):
+    """Learns from four folds of five; the fifth is held out."""
+    out = katz.katz_scores(_table(spark, folder, "documents"), ~in_fold("doc_id", 5, 1))
+    return out.withColumn("held_out", ~F.col("trained")).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
