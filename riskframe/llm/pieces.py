@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import re
 from collections.abc import Iterable, Iterator
 
@@ -13,8 +12,8 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-#: Segmentations a task remembers; a bound on memory, without effect on results.
-REMEMBERED = 400_000
+#: Characters segmented at once; a bound on memory, without effect on results.
+CHUNK_CHARACTERS = 1 << 19
 # Kinds of pieces in a model file: fixed values of its format.
 NORMAL, USER_DEFINED, BYTE = 1, 4, 6
 
@@ -48,7 +47,7 @@ def read_vocabulary(path: str) -> Vocabulary:
 
 
 class DoubleArrayTrie:
-    """A trie of UTF-8 pieces in two integer arrays: the child of state s by byte b is base[s] + b if check there is s.
+    """A trie of UTF-8 pieces in integer arrays: the child of state s by byte b is base[s] + b + 1 if check there is s.
 
     ``value`` holds the number of the piece that ends in a state, -1 for none.
     """
@@ -61,48 +60,75 @@ class DoubleArrayTrie:
                 node = node.setdefault(b + 1, {})
             node[0] = number
         size = 1 << 16
-        self.base, self.check, self.value = [0] * size, [-1] * size, [-1] * size
-        self.check[0] = 0
+        base, check, value = [0] * size, [-1] * size, [-1] * size
         taken, first, top = bytearray(size), 1, 1
         taken[0] = 1
         waiting = [(0, root)]
         for state, node in waiting:
             labels = sorted(k for k in node if k)
-            self.value[state] = node.get(0, -1)
+            value[state] = node.get(0, -1)
             if not labels:
                 continue
             # Search the last stretch only: earlier holes are not worth the time.
             first = max(first, top - 512)
             while taken[first]:
                 first += 1
-            base = max(0, first - labels[0])
+            at = max(0, first - labels[0])
             while True:
-                while base + 258 >= size:
-                    self.base += [0] * size
-                    self.check += [-1] * size
-                    self.value += [-1] * size
-                    taken += bytes(size)
+                while at + 258 >= size:
+                    base, check, value, taken = base + [0] * size, check + [-1] * size, value + [-1] * size, taken + bytes(size)
                     size *= 2
-                if not any(taken[base + k] for k in labels):
+                if not any(taken[at + k] for k in labels):
                     break
-                base += 1
-            self.base[state] = base
+                at += 1
+            base[state] = at
             for k in labels:
-                taken[base + k] = 1
-                self.check[base + k] = state
-                waiting.append((base + k, node[k]))
-                top = max(top, base + k)
-
-    def matches(self, data: bytes, start: int) -> Iterator[tuple[int, int]]:
-        """All pieces that begin at a byte, shortest first, as (end, number)."""
-        base, check, value, state = self.base, self.check, self.value, 0
-        for at in range(start, len(data)):
-            child = base[state] + data[at] + 1
-            if check[child] != state:
-                return
-            state = child
-            if value[state] >= 0:
-                yield at + 1, value[state]
+                taken[at + k] = 1
+                check[at + k] = state
+                waiting.append((at + k, node[k]))
+                top = max(top, at + k)
+        # A leaf's base is 0, so the arrays end one full alphabet after the last state.
+        self.base, self.check, self.value = (np.array(x, np.int32) for x in (base, check, value))
+
+    def matches(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All pieces that begin at any of ``starts`` and end by the start's own ``ends``, as (start, end, number)."""
+        found, state, at = [], np.zeros(len(starts), np.int32), starts
+        origin = starts
+        while len(at):
+            live = at < ends
+            origin, at, state, ends = origin[live], at[live], state[live], ends[live]
+            child = self.base[state] + data[at] + 1
+            fits = self.check[child] == state
+            origin, at, state, ends = origin[fits], at[fits] + 1, child[fits], ends[fits]
+            number = self.value[state]
+            some = number >= 0
+            found.append((origin[some], at[some], number[some]))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (starts, starts, starts.astype(np.int32))
+
+
+def best_paths(unit_starts: np.ndarray, size: int, start: np.ndarray, end: np.ndarray, score: np.ndarray, carry=None) -> np.ndarray:
+    """The best way into every place of many units at once: the index of the last match taken, -1 where there is none.
+
+    Matches of one unit meet in order of their start, and one replaces another with the same end only if its score is
+    higher; so of equal paths the one with the longest last match stays.  All units advance together, one start at a
+    time, which is safe as matches with the same start have different ends.  The end of a unit must not be the start of
+    the next.  ``carry(chosen)`` sees each step's matches.
+    """
+    unit = np.searchsorted(unit_starts, start, side="right") - 1
+    offset = start - unit_starts[unit]
+    order = np.argsort(offset, kind="stable")
+    cuts = np.flatnonzero(np.diff(offset[order], prepend=-1)).tolist() + [len(order)]
+    best, via = np.full(size + 1, -np.inf), np.full(size + 1, -1, np.int64)
+    best[unit_starts] = 0.0
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        own = order[low:high]
+        total = best[start[own]] + score[own]
+        better = total > best[end[own]]
+        own = own[better]
+        best[end[own]], via[end[own]] = total[better], own
+        if carry is not None:
+            carry(own)
+    return via
 
 
 def normalised(text: str) -> str:
@@ -112,71 +138,118 @@ def normalised(text: str) -> str:
 
 def units(text: str) -> list[str]:
     """A normalised text cut before every mark that follows another character; no piece crosses such a cut."""
-    return re.findall(f"{MARK}+[^{MARK}]*|^[^{MARK}]+", text)
+    return _UNIT.findall(text)
+
+
+_UNIT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+
+
+def chunks(distinct: Iterable[str]) -> Iterator[list[str]]:
+    """Units in runs of bounded size; a longer unit is a run of its own."""
+    run, size = [], 0
+    for unit in distinct:
+        if run and size + len(unit) > CHUNK_CHARACTERS:
+            yield run
+            run, size = [], 0
+        run.append(unit)
+        size += len(unit) + 1
+    if run:
+        yield run
+
+
+class Ragged:
+    """The distinct units of a batch, numbered, with a row of values for each."""
+
+    def __init__(self, texts: Iterable[str | None], crossing: bool):
+        self.number: dict[str, int] = {}
+        number = self.number
+        self.rows: list[np.ndarray | None] = []
+        for text in texts:
+            parts = None if text is None else ([normalised(text)] if crossing and text else units(normalised(text)))
+            self.rows.append(None if parts is None else np.fromiter((number.setdefault(u, len(number)) for u in parts), np.int64, len(parts)))
 
 
 class Encoder:
-    """Segmentation of units, remembered in the task.  Scores are added in double precision, a unit at a time."""
+    """Segmentation of units in runs.  Scores are added in double precision, a unit at a time."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         self.trie = DoubleArrayTrie(vocabulary.pieces)
-        self.memory: dict[str, tuple[int, ...]] = {}
+        self.scores, self.ids = np.array(vocabulary.scores, float), np.array(vocabulary.ids, np.int32)
+        self.byte_ids = np.array(vocabulary.byte_ids, np.int32) if vocabulary.byte_ids else None
 
-    def segment(self, unit: str) -> tuple[int, ...]:
-        """Ids of the best segmentation of one unit.
+    def segment(self, run: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all units in a row, and how many each unit has.
 
-        A candidate replaces another that ends at the same place only if its score is higher, and candidates come in
-        order of their start; so of equal segmentations the one with the longest last piece stays.  A character that
-        is no piece of its own may also stand as unknown, and is written as its bytes where the model has byte pieces.
+        A character that is no piece of its own may also stand as unknown, and is written as its bytes where the model
+        has byte pieces; else a run of unknown characters is one unknown id.
         """
-        words, data = self.vocabulary, unit.encode()
-        n = len(data)
-        best: list[float | None] = [None] * (n + 1)
-        best[0] = 0.0
-        via: list[tuple[int, int]] = [(0, -1)] * (n + 1)
-        start = 0
-        while start < n:
-            lead = data[start]
-            width = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
-            before, single = best[start], False
-            for end, number in self.trie.matches(data, start):
-                score = before + words.scores[number]
-                if best[end] is None or score > best[end]:
-                    best[end], via[end] = score, (start, number)
-                single = single or end == start + width
-            if not single:
-                score, end = before + words.unknown_score, start + width
-                if best[end] is None or score > best[end]:
-                    best[end], via[end] = score, (start, -1)
-            start += width
-        out: list[int] = []
-        at = n
-        while at:
-            start, number = via[at]
-            if number >= 0:
-                out.append(words.ids[number])
-            elif words.byte_ids:
-                out.extend(words.byte_ids[b] for b in reversed(data[start:at]))
-            elif not out or out[-1] != words.unknown_id:  # a run of unknown characters is one piece
-                out.append(words.unknown_id)
-            at = start
-        return tuple(reversed(out))
-
-    def unit(self, unit: str) -> tuple[int, ...]:
-        got = self.memory.get(unit)
-        if got is None:
-            if len(self.memory) >= REMEMBERED:
-                self.memory.clear()
-            got = self.segment(unit)
-            if len(unit) <= 64:
-                self.memory[unit] = got
-        return got
+        # A zero byte follows each unit: no place belongs to two units.
+        coded = [u.encode() for u in run]
+        data = np.frombuffer(b"\0".join(coded) + b"\0", np.uint8).astype(np.int32)
+        lengths = np.array([len(c) for c in coded], np.int64)
+        unit_starts = np.cumsum(lengths + 1) - lengths - 1
+        unit_ends = unit_starts + lengths
+        begins = (data & 0xC0) != 0x80
+        begins[unit_ends] = False
+        starts = np.flatnonzero(begins)
+        own_end = unit_ends[np.searchsorted(unit_starts, starts, side="right") - 1]
+        width = np.where(data[starts] < 0x80, 1, np.where(data[starts] < 0xE0, 2, np.where(data[starts] < 0xF0, 3, 4)))
+        start, end, number = self.trie.matches(data, starts, own_end)
+        single = np.zeros(len(data) + 1, bool)
+        first = np.searchsorted(starts, start)
+        single[start[end - start == width[first]]] = True
+        lone = ~single[starts]
+        start, end = np.concatenate([start, starts[lone]]), np.concatenate([end, (starts + width)[lone]])
+        number = np.concatenate([number, np.full(lone.sum(), -1, np.int32)])
+        score = np.where(number >= 0, self.scores[number] if len(self.scores) else 0.0, self.vocabulary.unknown_score)
+        via = best_paths(unit_starts, len(data), start, end, score)
+        # Back from every unit's end; what is found first is last.
+        taken, at = [], unit_ends
+        open_units = np.flatnonzero(at > unit_starts)
+        while len(open_units):
+            match = via[at[open_units]]
+            taken.append(match)
+            at = at.copy() if at is unit_ends else at
+            at[open_units] = start[match]
+            open_units = open_units[at[open_units] > unit_starts[open_units]]
+        match = np.sort(np.concatenate(taken)) if taken else np.zeros(0, np.int64)
+        match = match[np.argsort(start[match], kind="stable")]
+        start, end, number = start[match], end[match], number[match]
+        unit = np.searchsorted(unit_starts, start, side="right") - 1
+        unknown = number < 0
+        if self.byte_ids is not None:
+            repeat = np.where(unknown, end - start, 1)
+            place = np.cumsum(repeat) - repeat
+            inner = np.arange(repeat.sum()) - np.repeat(place, repeat)
+            source = np.repeat(np.arange(len(start)), repeat)
+            ids = np.where(unknown[source], self.byte_ids[data[start[source] + inner]], self.ids[number[source]] if len(self.ids) else 0)
+            unit = unit[source]
+        else:
+            joined = unknown & np.concatenate([[False], unknown[:-1]]) & (np.diff(unit, prepend=-1) == 0)
+            ids = np.where(unknown, self.vocabulary.unknown_id, self.ids[number] if len(self.ids) else 0)[~joined]
+            unit = unit[~joined]
+        return ids.astype(np.int32), np.bincount(unit, minlength=len(run))
+
+    def encode_all(self, texts: Iterable[str | None]) -> list[np.ndarray | None]:
+        """Ids of many texts; each distinct unit is segmented once."""
+        batch = Ragged(texts, self.vocabulary.crossing)
+        done = [self.segment(run) for run in chunks(batch.number)]
+        ids = np.concatenate([np.zeros(0, np.int32)] + [x for x, _ in done])
+        lengths = np.concatenate([np.zeros(0, np.int64)] + [n for _, n in done])
+        places = np.cumsum(lengths) - lengths
+        out: list[np.ndarray | None] = []
+        for row in batch.rows:
+            if row is None:
+                out.append(None)
+                continue
+            size = lengths[row]
+            at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            out.append(ids[at + np.repeat(places[row], size)])
+        return out
 
     def encode(self, text: str) -> np.ndarray:
-        text = normalised(text)
-        parts = [text] if self.vocabulary.crossing else units(text)
-        return np.fromiter(itertools.chain.from_iterable(map(self.unit, parts)), np.int32)
+        return self.encode_all([text])[0]
 
 
 class Decoder:
@@ -189,7 +262,7 @@ class Decoder:
         for value, number in enumerate(vocabulary.byte_ids or []):
             self.bytes[number] = bytes([value])
         if not vocabulary.byte_ids:
-            self.bytes[vocabulary.unknown_id] = b" \xe2\x81\x87 "
+            self.bytes[vocabulary.unknown_id] = " \u2047 ".encode()
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD, and the one leading space of the encoder goes."""
@@ -216,7 +289,7 @@ def encoder_column(spark: SparkSession, vocabulary: Vocabulary, text: Column) ->
     @F.pandas_udf("array<int>")
     def encode(texts: pd.Series) -> pd.Series:
         own = _built(shared, Encoder)
-        return pd.Series([None if t is None else own.encode(t) for t in texts], dtype=object)
+        return pd.Series(own.encode_all(None if t is None else t for t in texts), dtype=object)
 
     return encode(text.cast("string"))
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import ahocorasick
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.llm.pieces import REMEMBERED, Vocabulary, normalised, units
+from riskframe.llm.pieces import Ragged, Vocabulary, best_paths, chunks
 
 
 class Counter:
@@ -15,56 +18,61 @@ class Counter:
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.automaton = ahocorasick.Automaton()
-        for piece, score in zip(vocabulary.pieces, vocabulary.scores, strict=True):
-            self.automaton.add_word(piece, (len(piece), score))
+        self.scores = np.array(vocabulary.scores, float)
+        self.lengths = np.array([len(p) for p in vocabulary.pieces], np.int64)
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for number, piece in enumerate(vocabulary.pieces):
+            self.automaton.add_word(piece, number)
         if vocabulary.pieces:
             self.automaton.make_automaton()
-        self.memory: dict[str, int] = {}
 
-    def count(self, unit: str) -> int:
-        """Pieces of the best segmentation of one unit.
+    def count(self, run: list[str]) -> np.ndarray:
+        """Pieces of the best segmentation of each unit, by the encoder's rules.
 
-        The automaton gives the pieces that end at a place, longest first, that is in order of their start.  A later one
-        replaces an earlier one only if its score is higher, and an unknown character comes last: the rules by which
-        the encoder chooses.  An unknown character counts its bytes, or nothing after another one if the model has no
-        byte pieces.
+        The automaton gives all pieces in one pass over the units in a row.  An unknown character counts its bytes; if
+        the model has no byte pieces, it counts 1, or nothing after another one.
         """
-        n, unknown = len(unit), self.vocabulary.unknown_score
-        best, count, open_run = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
-        ending: list[list] = [[] for _ in range(n + 1)]
-        if self.vocabulary.pieces:
-            for last, found in self.automaton.iter(unit):
-                ending[last + 1].append(found)
-        for end in range(1, n + 1):
-            top, pieces, single, run = None, 0, False, False
-            for length, score in ending[end]:
-                total = best[end - length] + score
-                if top is None or total > top:
-                    top, pieces, run = total, count[end - length] + 1, False
-                single = single or length == 1
-            if not single and (top is None or best[end - 1] + unknown > top):
-                top, run = best[end - 1] + unknown, True
-                width = len(unit[end - 1].encode()) if self.vocabulary.byte_ids else int(not open_run[end - 1])
-                pieces = count[end - 1] + width
-            best[end], count[end], open_run[end] = top, pieces, run
-        return count[n]
-
-    def unit(self, unit: str) -> int:
-        got = self.memory.get(unit)
-        if got is None:
-            if len(self.memory) >= REMEMBERED:
-                self.memory.clear()
-            got = self.count(unit)
-            if len(unit) <= 64:
-                self.memory[unit] = got
-        return got
+        # A line of one character apart; matches over it are left out, if a piece should hold that character.
+        joined = "\n".join(run) + "\n"
+        lengths = np.fromiter(map(len, run), np.int64, len(run))
+        unit_starts = np.cumsum(lengths + 1) - lengths - 1
+        found = np.fromiter((last << 32 | number for last, number in self.automaton.iter(joined)), np.int64) if self.vocabulary.pieces else np.zeros(0, np.int64)
+        end, number = (found >> 32) + 1, found & 0xFFFFFFFF
+        start = end - self.lengths[number]
+        unit = np.searchsorted(unit_starts, start, side="right") - 1
+        inside = end <= (unit_starts + lengths)[unit]
+        start, end, number = start[inside], end[inside], number[inside]
+        places = np.ones(len(joined), bool)
+        places[unit_starts + lengths] = False
+        places[start[end - start == 1]] = False
+        lone = np.flatnonzero(places)
+        codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)[lone]
+        width = 1 + (codes >= 0x80).astype(np.int64) + (codes >= 0x800) + (codes >= 0x10000)
+        known = len(start)
+        start, end = np.concatenate([start, lone]), np.concatenate([end, lone + 1])
+        score = np.concatenate([self.scores[number], np.full(len(lone), self.vocabulary.unknown_score)])
+        counts, unknown_before = np.zeros(len(joined) + 1, np.int64), np.zeros(len(joined) + 1, bool)
+
+        def carry(chosen: np.ndarray) -> None:
+            before, unknown = start[chosen], chosen >= known
+            if self.vocabulary.byte_ids:
+                more = np.where(unknown, width[np.maximum(chosen - known, 0)] if len(width) else 1, 1)
+            else:
+                more = np.where(unknown & unknown_before[before], 0, 1)
+            counts[end[chosen]] = counts[before] + more
+            unknown_before[end[chosen]] = unknown
+
+        best_paths(unit_starts, len(joined), start, end, score, carry)
+        return counts[unit_starts + lengths]
+
+    def count_all(self, texts: Iterable[str | None]) -> np.ndarray:
+        """Counts of many texts, 0 for null; each distinct unit is counted once."""
+        batch = Ragged(texts, self.vocabulary.crossing)
+        counts = np.concatenate([np.zeros(0, np.int64)] + [self.count(run) for run in chunks(batch.number)])
+        return np.array([0 if row is None else counts[row].sum() for row in batch.rows], np.int64)
 
     def text(self, text: str | None) -> int:
-        if not text:
-            return 0
-        text = normalised(text)
-        return sum(map(self.unit, [text] if self.vocabulary.crossing else units(text)))
+        return int(self.count_all([text])[0])
 
 
 _BUILT: dict[int, Counter] = {}
@@ -80,6 +88,6 @@ def token_counts(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", t
         if own is None:
             _BUILT.clear()
             own = _BUILT.setdefault(id(shared.value), Counter(shared.value))
-        return pd.Series([own.text(t) for t in texts], dtype="int64")
+        return pd.Series(own.count_all(texts))
 
     return docs.select(F.col(key), counts(F.col(text).cast("string")).alias("n_tokens"))
