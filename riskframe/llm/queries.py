@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import exact, katz, langid, mixing, pieces, simhash, tokens, urls
+from riskframe.llm import ann, exact, katz, langid, mixing, pieces, pii, simhash, tokens, urls
 from riskframe.llm.common import in_fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,12 @@ def op1_language_id(spark, folder):
     return langid.with_language(docs.select("doc_id", held.alias("held_out"), "text"), model).drop("text")
 
 
+@_query
+def op2_nearest(spark, folder):
+    """Every twentieth vector against all others."""
+    return ann.nearest(_table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @_query
 def op3_token_counts(spark, folder):
     return tokens.token_counts(_table(spark, folder, "documents"), pieces.read_vocabulary(PIECES))
@@ -67,6 +73,12 @@ def op8_url_filter(spark, folder):
     return urls.url_verdicts(_table(spark, folder, "pages"), urls.rule_table(spark))
 
 
+@_query
+def op9_personal_data(spark, folder):
+    docs = _table(spark, folder, "documents")
+    return pii.personal_data(docs, pii.fit_tagger(docs))
+
+
 @_query
 def op10_katz(spark, folder):
     """Learns from four folds of five; the fifth is held out."""
