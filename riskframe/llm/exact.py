@@ -40,10 +40,10 @@ def distinct_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     stay = exact_groups(docs, key, text, salts).where("kept")
     stay = durable(stay.select(source_key(key).alias("_key"), F.col("text_sha256").alias("_sha")).distinct())
     sha = F.sha2(ascii_lower(F.coalesce(F.col(text).cast("string"), F.lit(""))), 256)
-    named = docs.withColumn("_key", source_key(key)).withColumn("_sha", sha)
+    # Whole rows travel as one column, so no name of theirs can clash.
+    named = docs.select(source_key(key).alias("_key"), sha.alias("_sha"), F.struct("*").alias("_row"))
     kept = named.join(stay, ["_key", "_sha"], "left_semi")
-    once = kept.groupBy("_key", "_sha").agg(*[F.first(F.col(f"`{c}`")).alias(c) for c in docs.columns])
-    return once.select(*[f"`{c}`" for c in docs.columns])
+    return kept.groupBy("_key", "_sha").agg(F.first("_row").alias("_row")).select("_row.*")
 
 
 SQL = """

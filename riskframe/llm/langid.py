@@ -150,17 +150,22 @@ def with_language(docs: DataFrame, model: LanguageModel, text: str = "text", lan
     without a letter gets ``und`` and score 0, and so does every text where the model knows no language.  Of languages
     with equal probability the first by name is given.
     """
+    out = _told(docs, model, text)
+    return out.select("_row.*", F.col("_told.lang").alias(lang), F.col("_told.score").alias(score))
+
+
+def _told(docs: DataFrame, model: LanguageModel, text: str) -> DataFrame:
+    """Whole rows as one column, and what the model tells."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double")
     def told(texts: pd.Series) -> pd.DataFrame:
         return _predict(shared.value, texts)
 
-    out = docs.withColumn("_told", told(F.col(text).cast("string")))
-    return out.select(*[f"`{c}`" for c in docs.columns], F.col("_told.lang").alias(lang), F.col("_told.score").alias(score))
+    return docs.select(F.struct("*").alias("_row"), told(F.col(text).cast("string")).alias("_told"))
 
 
 def known_languages(docs: DataFrame, model: LanguageModel, text: str = "text", least: float = 0.5) -> DataFrame:
     """The rows whose language the model tells with at least the given score, all columns unchanged."""
-    told = with_language(docs, model, text, "_lang", "_score")
-    return told.where((F.col("_lang") != UNKNOWN) & (F.col("_score") >= least)).drop("_lang", "_score")
+    told = _told(docs, model, text)
+    return told.where((F.col("_told.lang") != UNKNOWN) & (F.col("_told.score") >= least)).select("_row.*")

@@ -98,12 +98,12 @@ def sample_mixture(docs: DataFrame, key: str = "doc_id", source: str = "source",
     turns = chosen.groupBy(source_key(key).alias("_key"), source_key("source").alias("_source"), F.col("size").alias("_size"))
     turns = durable(turns.agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")).where("_copies > 0"))
     size = F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    named = docs.withColumn("_key", source_key(key)).withColumn("_source", source_key(source)).withColumn("_size", size)
+    named = docs.select(source_key(key).alias("_key"), source_key(source).alias("_source"), size.alias("_size"), F.xxhash64(text).alias("_hash"), F.struct("*").alias("_row"))
     joined = named.join(turns, by)
-    nth = F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64(text))) - 1
+    nth = F.row_number().over(Window.partitionBy(*by).orderBy("_hash")) - 1
     own = F.floor(F.col("_copies") / F.col("_rows")) + (nth < F.col("_copies") % F.col("_rows")).cast("int")
     copies = joined.withColumn("_own", own.cast("int")).where("_own > 0")
-    return copies.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_own")))).select(*[f"`{c}`" for c in docs.columns])
+    return copies.select("_row", F.explode(F.sequence(F.lit(1), F.col("_own")))).select("_row.*")
 
 
 SQL = """

@@ -17,7 +17,7 @@ HIDDEN = 16
 #: Labelled windows that the model is trained on, by hash order: the documented bound of its sample.
 TRAIN_DOCUMENTS = 1500
 TRAIN_WINDOWS = 1280
-EPOCHS, BATCH = 10, 64
+STEPS, BATCH = 220, 64
 #: Windows decoded at once.
 BATCH_WINDOWS = 4096
 TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
@@ -288,8 +288,8 @@ def train_tagger(texts: list[str]) -> Tagger:
     chosen = rng.permutation(len(rows))[:TRAIN_WINDOWS]
     x, y = np.stack(rows)[chosen], np.stack(tags)[chosen]
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in tagger.p.items()}
-    step, last = 0, EPOCHS * max(1, len(x) // BATCH)
-    for _ in range(EPOCHS):
+    step = 0
+    while step < STEPS:
         order = rng.permutation(len(x))
         for i in range(0, len(x), BATCH):
             step += 1
@@ -302,7 +302,7 @@ def train_tagger(texts: list[str]) -> Tagger:
                 m += 0.1 * g
                 v *= 0.99
                 v += 0.01 * g * g
-                rate = 0.02 * max(0.05, 1 - step / (last + 1))
+                rate = 0.02 * max(0.05, 1 - step / (STEPS + 1))
                 tagger.p[k] -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
     return tagger
 
