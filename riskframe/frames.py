@@ -2,9 +2,10 @@
 
 ``Window.partitionBy(group)`` sends a whole group to one task.  Everything here
 aggregates first (map-side combined, one row per group leaves each task) and
-joins the small result back, so a hot group is spread over all tasks.  The join
-strategy is left to adaptive execution: it broadcasts the group table only after
-measuring it, and otherwise splits skewed partitions of a sort-merge join.
+joins the small result back, so a hot group is spread over all tasks.  The group
+table is written first: adaptive execution then knows its size before it chooses
+a broadcast, and can split skewed partitions of a sort-merge join, which it never
+does while an aggregation stands between the shuffle and the join.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskframe.session import durable
+
 
 def attach(df: DataFrame, keys: Sequence[str], **aggs: Column) -> DataFrame:
     """Add one column per aggregate, computed over each key's whole group.
@@ -24,7 +27,8 @@ def attach(df: DataFrame, keys: Sequence[str], **aggs: Column) -> DataFrame:
     named = [expr.alias(name) for name, expr in aggs.items()]
     if not keys:
         return with_scalars(df, df.agg(*named))
-    return df.join(df.groupBy(*keys).agg(*named), list(keys), "left").select(*df.columns, *aggs)
+    groups = durable(df.groupBy(*keys).agg(*named))
+    return df.join(groups, list(keys), "left").select(*df.columns, *aggs)
 
 
 def with_scalars(df: DataFrame, stats: DataFrame) -> DataFrame:

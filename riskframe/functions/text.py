@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.functions.predicates import any_of
+from riskframe.session import durable
 
 _SPACES = r"(?U)\s+"
 
@@ -93,7 +94,7 @@ def lemmatize(df: DataFrame, key: str, text: str, lemmas: DataFrame, word: str,
     """
     spread = df.select(key, F.posexplode(tokens(text)).alias("_at", "_w"))
     table = lemmas.groupBy(F.col(word).alias("_w")).agg(F.min(lemma).alias("_l"))
-    named = spread.join(table, "_w", "left").select(key, F.struct("_at", F.coalesce("_l", "_w").alias("w")).alias("_s"))
+    named = spread.join(durable(table), "_w", "left").select(key, F.struct("_at", F.coalesce("_l", "_w").alias("w")).alias("_s"))
     joined = named.groupBy(key).agg(F.sort_array(F.collect_list("_s")).alias("_s"))
     texts = joined.select(key, F.array_join(F.col("_s")["w"], " ").alias("_text"))
     out = df.join(texts, key, "left")
@@ -105,7 +106,9 @@ def lemmatize(df: DataFrame, key: str, text: str, lemmas: DataFrame, word: str,
 def _folding() -> tuple[str, str]:
     """Accented letters whose decomposition is one ASCII letter plus marks, and that letter."""
     source, target = [], []
-    for code in range(0x80, min(sys.maxunicode, 0x2000)):
+    for code in range(0x80, sys.maxunicode + 1):
+        if 0xD800 <= code < 0xE000 or 0xAC00 <= code < 0xD7B0:
+            continue  # surrogates, and Hangul, which holds no ASCII
         plain = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode()
         if len(plain) == 1:
             source.append(chr(code))
@@ -113,6 +116,11 @@ def _folding() -> tuple[str, str]:
     return "".join(source), "".join(target)
 
 
+def folded(value: Column | str) -> Column:
+    """Accented letters as their ASCII letter."""
+    return F.translate(_col(value), *_folding())
+
+
 def category(value: Column | str) -> Column:
     """The compared form of a category: trimmed and in lower case."""
     return F.lower(F.trim(_col(value).cast("string")))
@@ -120,8 +128,7 @@ def category(value: Column | str) -> Column:
 
 def name_part(value: Column | str) -> Column:
     """A category as part of a column name: accents folded, other characters to ``_``."""
-    folded = F.translate(_col(value), *_folding())
-    ascii_only = F.regexp_replace(folded, r"[^\x00-\x7F]", "")
+    ascii_only = F.regexp_replace(folded(value), r"[^\x00-\x7F]", "")
     return F.regexp_replace(ascii_only, "[^a-zA-Z0-9]+", "_")
 
 

@@ -108,19 +108,19 @@ def flag(kind: str, value: Column | str) -> Column:
     return F.coalesce(test, F.lit(False)).cast("int")
 
 
-def differs(value: Column | str, usual: str) -> Column:
-    """1 where a value differs from its usual one; missing counts as usual."""
-    return (F.coalesce(_col(value).cast("string"), F.lit(usual)) != usual).cast("int")
+def differs(value: Column | str, usual: str, missing: str = "0") -> Column:
+    """1 where a value differs from its usual one; what a missing value gives is stated per flag."""
+    return F.coalesce((_col(value).cast("string") != usual).cast("int"), F.lit(int(missing)))
 
 
 # The business quality flags, as output: (column, kind) or, for
-# "differs", output: (column, "differs", usual value).
+# "differs", output: (column, "differs", usual value, flag of a missing value if not 0).
 BUSINESS_FLAGS: dict[str, tuple[str, ...]] = {
     "RoundAmountInvoice": ("FMP2P001", "differs", "No Round Amount"),
-    "RoundAmountPayment": ("FMP2P022", "differs", "No Round Amount"),
+    "RoundAmountPayment": ("FMP2P022", "differs", "No Round Amount", "1"),
     "CreditDebit": ("InvoiceDebitOrCreditIndicator", "differs", "H-Credit"),
     "InvoiceOnHoliday": ("FMP2P018", "differs", "Working Day"),
-    "PaymentOnHoliday": ("FMP2P021", "differs", "Working Day"),
+    "PaymentOnHoliday": ("FMP2P021", "differs", "Working Day", "1"),
     "ValidInvoiceDescription": ("InvoiceDescription", "missing"),
     "ValidPaymentTerms": ("PaymentTerms", "missing"),
     "ValidInvoiceVendorCurrency": ("InvoiceVendorCurrency", "missing"),

@@ -21,26 +21,27 @@ PERMUTATIONS = 20
 def to_percent(contributions: DataFrame, keys: Sequence[str], probability: str) -> DataFrame:
     """Signed share of each contribution in percent of the row's probability.
 
-    Zeros (after rounding to two decimals) are dropped; smallest first.
+    Zeros (after rounding to two decimals) are dropped.  Rows are not sorted.
     """
     total = attach(contributions, keys, _total=F.sum(F.abs("contribution")))
     percent = F.round(F.col("contribution") * F.col(probability) * 100 / F.col("_total"), 2)
     out = total.where(F.col("_total") > 0).select(*keys, "feature", percent.alias("contribution_percent"))
-    return out.where(F.col("contribution_percent") != 0).orderBy(*keys, "contribution_percent")
+    return out.where(F.col("contribution_percent") != 0)
 
 
 def linear_percent(df: DataFrame, keys: Sequence[str], coefficients: Mapping[str, float], means: Mapping[str, float], probability: str) -> DataFrame:
     """Exact contributions of a linear model, coefficient times (value - mean), in
-    percent: the row total is a sum of columns, so nothing is shuffled."""
+    percent, smallest first within each row: the row total is a sum of columns, so nothing
+    is shuffled or sorted beyond the row."""
     parts = {f: F.lit(float(w)) * (F.col(f"`{f}`").cast("double") - float(means[f])) for f, w in coefficients.items()}
     total = sum((F.abs(p) for p in parts.values()), F.lit(0.0))
     shares = [
         F.struct(F.lit(f).alias("feature"), F.round(p * F.col(probability) * 100 / F.col("_total"), 2).alias("contribution_percent"))
         for f, p in parts.items()
     ]
-    rows = df.withColumn("_total", total).where(F.col("_total") > 0).select(*keys, F.explode(F.array(*shares)).alias("s"))
-    out = rows.select(*keys, "s.*").where(F.col("contribution_percent") != 0)
-    return out.orderBy(*keys, "contribution_percent")
+    ordered = F.array_sort(F.array(*shares), lambda a, b: F.when(a["contribution_percent"] < b["contribution_percent"], -1).when(a["contribution_percent"] > b["contribution_percent"], 1).otherwise(0))
+    rows = df.withColumn("_total", total).where(F.col("_total") > 0).select(*keys, F.explode(ordered).alias("s"))
+    return rows.select(*keys, "s.*").where(F.col("contribution_percent") != 0)
 
 
 def column_means(df: DataFrame, features: Sequence[str]) -> dict[str, float]:
@@ -97,7 +98,7 @@ def shown_value(feature: Column, value: Column, amount: Column, onehot: Sequence
 
 
 def failed_tests(df: DataFrame, key: str, patterns: DataFrame) -> DataFrame:
-    """Evidence of every transaction: patterns with a positive score, heaviest first.
+    """Evidence of every transaction: patterns with a positive score, one row each.
 
     ``patterns``: PatternID, description, category and weight.  The first other
     column naming the pattern is shown as additional information.
@@ -113,7 +114,7 @@ def failed_tests(df: DataFrame, key: str, patterns: DataFrame) -> DataFrame:
         *[F.struct(F.lit(p).alias("PatternID"), F.col(f"`{s}`").cast("double").alias("score"), extra(p).alias("additional_info")) for p, s in zip(ids, scores)]
     )
     hits = df.select(key, F.explode(F.filter(entries, lambda e: e["score"] > 0)).alias("h")).select(key, "h.*")
-    return hits.join(patterns, "PatternID").orderBy(key, F.desc("weight"), "PatternID")
+    return hits.join(patterns, "PatternID")
 
 
 def positive_contributions(contributions: DataFrame) -> DataFrame:

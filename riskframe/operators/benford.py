@@ -14,6 +14,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from riskframe.session import durable
 
 # Normal quantiles of the two score variants, smallest sample, and
 # the least count and share a digit needs.
@@ -200,7 +201,8 @@ def _subsets(columns: Sequence[str]):
 
 def _subset_cells(df: DataFrame, columns: Sequence[str], value: str, digits: int):
     """Binary cells of every non-empty subset, all rolled up from one finest count."""
-    finest = _all_digits(df, columns, value, digits)
+    # Written once: every subset is rolled up from this small table, and rows are read one time.
+    finest = durable(_all_digits(df, columns, value, digits))
     for subset in _subsets(columns):
         rolled = finest.groupBy(*subset, "digits").agg(F.sum("count").alias("count"))
         for key in subset:

@@ -1,19 +1,16 @@
 """Two-way match: invoice lines against the lines of the same purchase order.
 
 Lines carry ``item_id, item_description, item_amount, item_quantity``; purchase
-orders are keyed by ``po_id``, invoices by ``invoice_id, po_id``.  Ordinary orders
-are scored pair by pair.  An (invoice, order) whose pair count passes
-``PAIR_LIMIT`` never has all its pairs formed: equal lines are matched first by
-position, then ever wider bands of difference are joined on amount buckets, each
-matched out completely before the next, which is the same greedy order.
+orders are keyed by ``po_id``, invoices by ``invoice_id, po_id``.  Every pair of an
+order is scored, in a join that adaptive execution splits where an order is large.
+The match repeats one step on all orders at once: pairs that are the best open pair
+of both their lines are taken, and the pairs of taken lines go.  Under a strict
+order of pairs that is the greedy match, whatever the size of an order.
 """
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.operators.similarity import fuzzy_ratio
@@ -23,10 +20,6 @@ from riskframe.session import durable
 AMOUNT_WEIGHT = 0.25
 QUANTITY_WEIGHT = 0.25
 DESCRIPTION_WEIGHT = 0.50
-PAIR_LIMIT = 1_000_000
-# Small orders are matched many to a task, about this many pairs at a time.
-PAIRS_PER_BATCH = 200_000
-BANDS = (1.0, 4.0, 12.0, 24.0)
 _LINE = ("item_id", "item_description", "item_amount", "item_quantity")
 
 
@@ -76,120 +69,27 @@ def line_count_comparison(invoices: DataFrame, orders: DataFrame) -> DataFrame:
     return counts.withColumn("same_count", F.col("invoice_lines") == F.col("po_lines"))
 
 
-def _ordinary(invoices: DataFrame, orders: DataFrame, pair_limit: int) -> tuple[DataFrame, DataFrame]:
-    """Invoices within the pair limit, and the keys of those beyond it."""
-    pairs = F.col("invoice_lines") * F.col("po_lines")
-    split = durable(pair_counts(invoices, orders).where(pairs > pair_limit).select("invoice_id", "po_id"))
-    return invoices.join(split, ["invoice_id", "po_id"], "left_anti"), split
-
-
-def scored_pairs(invoices: DataFrame, orders: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
-    """Every line pair with its differences, for orders within the pair limit."""
-    small, _ = _ordinary(invoices, orders, pair_limit)
-    i, o = _sides(small, orders)
+def scored_pairs(invoices: DataFrame, orders: DataFrame) -> DataFrame:
+    """Every pair of an invoice line and a line of its order, with its differences."""
+    i, o = _sides(invoices, orders)
     return _scored(i.join(o, "po_id"))
 
 
-_MATCHED = "invoice_id {i}, po_id {p}, item_id_invoice {l}, item_id_po {q}, weighted_diff double"
-
-
-def _greedy(pairs: pd.DataFrame) -> pd.DataFrame:
-    """One-to-one pairs of each invoice in ascending difference; ties by invoice line,
-    then order line.  Holds many invoices: lines are told apart by invoice and order."""
-    pairs = pairs.sort_values(["weighted_diff", "item_id_invoice", "item_id_po"])
-    invoice = list(zip(pairs["invoice_id"], pairs["po_id"]))
-    used_invoice, used_po, kept = set(), set(), []
-    for doc, i, p in zip(invoice, pairs["item_id_invoice"], pairs["item_id_po"]):
-        take = (doc, i) not in used_invoice and (doc, p) not in used_po
-        if take:
-            used_invoice.add((doc, i))
-            used_po.add((doc, p))
-        kept.append(take)
-    return pairs.loc[kept, ["invoice_id", "po_id", "item_id_invoice", "item_id_po", "weighted_diff"]]
+def two_way_match(invoices: DataFrame, orders: DataFrame) -> DataFrame:
+    """Greedy one-to-one match of invoice lines and order lines.
 
-
-def two_way_match(invoices: DataFrame, orders: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
-    """Greedy one-to-one match of invoice lines and order lines."""
-    small, large = _ordinary(invoices, orders, pair_limit)
-    i, o = _sides(small, orders)
-    kinds = {f.name: f.dataType.simpleString() for f in [*i.schema.fields, *o.schema.fields]}
-    schema = _MATCHED.format(
-        i=kinds["invoice_id"], p=kinds["po_id"], l=kinds["item_id_invoice"], q=kinds["item_id_po"]
-    )
-    counts = pair_counts(small, orders).agg(F.sum(F.col("invoice_lines") * F.col("po_lines"))).first()[0]
-    batches = max(1, (counts or 0) // PAIRS_PER_BATCH)
-    batch = F.pmod(F.xxhash64("invoice_id", "po_id"), F.lit(batches)).alias("_batch")
-    matched = _scored(i.join(o, "po_id")).groupBy(batch).applyInPandas(_greedy, schema)
-    if large.isEmpty():
-        return matched
-    return matched.unionByName(_match_large(invoices, orders, large))
-
-
-def _match_large(invoices: DataFrame, orders: DataFrame, large: DataFrame) -> DataFrame:
-    i, o = _sides(invoices.join(large, ["invoice_id", "po_id"], "left_semi"), orders)
-    o = o.join(large, "po_id")  # each invoice sees its own copy of the order
-    key = ["invoice_id", "po_id"]
-    same = ["item_description", "item_amount", "item_quantity"]
-    found = None
-    open_i, open_o = durable(i), durable(o)
-    # Equal lines: numbered inside salted parts, then whatever the salts left over.
-    for salts in (256, 1):
-        def numbered(df: DataFrame, side: str) -> DataFrame:
-            salted = df.withColumn("_salt", F.pmod(F.xxhash64(f"item_id_{side}"), F.lit(salts)))
-            at = Window.partitionBy(*key, *[f"{c}_{side}" for c in same], "_salt").orderBy(f"item_id_{side}")
-            return salted.withColumn("_place", F.row_number().over(at))
-
-        a, b = numbered(open_i, "invoice"), numbered(open_o, "po").withColumnsRenamed({k: f"_{k}" for k in key})
-        on = [F.col(k) == F.col(f"_{k}") for k in key]
-        on += [F.col(f"{c}_invoice").eqNullSafe(F.col(f"{c}_po")) for c in same]
-        on += [a["_salt"] == b["_salt"], a["_place"] == b["_place"], F.col("item_amount_invoice") != 0, F.col("item_quantity_invoice") != 0]
-        won = a.join(b, on).select(*key, "item_id_invoice", "item_id_po", F.lit(0.0).alias("weighted_diff"))
-        won = durable(won)
-        found = won if found is None else found.unionByName(won)
-        open_i = durable(open_i.join(won, [*key, "item_id_invoice"], "left_anti"))
-        open_o = durable(open_o.join(won, [*key, "item_id_po"], "left_anti"))
-    for limit in (*BANDS, None):
-        if open_i.isEmpty() or open_o.isEmpty():
-            break
-        pairs = _band_pairs(open_i, open_o, limit)
-        while True:
-            best = _mutual_best(pairs)
-            best = durable(best)
-            if best.isEmpty():
-                break
-            found = found.unionByName(best)
-            pairs = durable(
-                pairs.join(best.select(*key, "item_id_invoice"), [*key, "item_id_invoice"], "left_anti").join(
-                    best.select(*key, "item_id_po"), [*key, "item_id_po"], "left_anti"
-                )
-            )
-        open_i = durable(open_i.join(found, [*key, "item_id_invoice"], "left_anti"))
-        open_o = durable(open_o.join(found, [*key, "item_id_po"], "left_anti"))
-    return found
-
-
-def _band_pairs(i: DataFrame, o: DataFrame, limit: float | None) -> DataFrame:
-    """Scored pairs with a weighted difference up to the limit.
-
-    Such a pair's amounts differ by at most ``limit / weight`` percent of the
-    invoice's, so they fall into the same or a neighbouring geometric bucket.
+    Ascending difference; ties by invoice line, then order line.
     """
-    o = o.withColumnsRenamed({"invoice_id": "_inv", "po_id": "_po"})
-    on = [F.col("invoice_id") == F.col("_inv"), F.col("po_id") == F.col("_po")]
-    if limit is not None:
-        share = (limit + 0.01) / AMOUNT_WEIGHT / 100
-        width = -math.log(1 - share) if share < 1 else None
-    else:
-        width = None
-    if width is None:
-        return durable(_scored(i.join(o, on)))
-    # A missing or zero invoice amount counts as 100 % and lies outside every band.
-    bucket = lambda c: F.floor(F.log(F.abs(c)) / width)
-    left = i.where(F.col("item_amount_invoice") != 0).withColumn("_b", bucket(F.col("item_amount_invoice")))
-    left = left.withColumn("_b", F.explode(F.array(F.col("_b") - 1, F.col("_b"), F.col("_b") + 1)))
-    right = o.where(F.col("item_amount_po") != 0).withColumn("_bo", bucket(F.col("item_amount_po")))
-    met = left.join(right, [*on, F.col("_b") == F.col("_bo"), F.signum("item_amount_invoice") == F.signum("item_amount_po")])
-    return durable(_scored(met).where(F.col("weighted_diff") <= limit))
+    key = ["invoice_id", "po_id"]
+    pairs = scored_pairs(invoices, orders).select(*key, "item_id_invoice", "item_id_po", "weighted_diff")
+    pairs, found = durable(pairs), None
+    while True:
+        best = durable(_mutual_best(pairs))
+        found = best if found is None else found.unionByName(best)
+        if best.isEmpty():
+            return found
+        pairs = pairs.join(best.select(*key, "item_id_invoice"), [*key, "item_id_invoice"], "left_anti")
+        pairs = durable(pairs.join(best.select(*key, "item_id_po"), [*key, "item_id_po"], "left_anti"))
 
 
 def _mutual_best(pairs: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from riskframe.frames import attach, with_scalars
 from riskframe.ordered import quantiles_of_counts
+from riskframe.session import durable
 
 
 def with_iqr_outliers(
@@ -28,7 +29,7 @@ def with_iqr_outliers(
     quartiles = quantiles_of_counts(levels, keys, "_x", "_c", {"_q1": 0.25, "_q3": 0.75})
     mean = levels.groupBy(*keys).agg((F.sum(F.col("_x") * F.col("_c")) / F.sum("_c")).alias("_mean"))
     if keys:
-        joined = scaled.join(quartiles.join(mean, keys), keys, "left")
+        joined = scaled.join(durable(quartiles.join(mean, keys)), keys, "left")
     else:
         joined = with_scalars(with_scalars(scaled, quartiles), mean)
     reach = 1.5 * (F.col("_q3") - F.col("_q1"))

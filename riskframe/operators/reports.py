@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.frames import unpivot
+from riskframe.prep.columns import distinct_values
 
 # Smallest training set, per class and in all.
 MIN_PER_CLASS = 2
@@ -79,9 +80,12 @@ def missing_summary(df: DataFrame) -> DataFrame:
 
 def distinct_counts(df: DataFrame, columns: Sequence[str], approximate: bool = False) -> DataFrame:
     """Distinct values per column with the row count, all columns in one pass."""
-    count = F.approx_count_distinct if approximate else F.count_distinct
-    wide = df.agg(F.count(F.lit(1)).alias("rows"), *[count(F.col(f"`{c}`")).alias(c) for c in columns])
-    return unpivot(wide, ["rows"], columns, "column_name", "distinct_values")
+    if approximate:
+        wide = df.agg(F.count(F.lit(1)).alias("rows"), *[F.approx_count_distinct(F.col(f"`{c}`")).alias(c) for c in columns])
+        return unpivot(wide, ["rows"], columns, "column_name", "distinct_values")
+    named = df.agg(F.count(F.lit(1)).alias("rows")).select("rows", F.explode(F.array(*[F.lit(c) for c in columns])).alias("column_name"))
+    counted = named.join(distinct_values(df, columns), "column_name", "left")
+    return counted.select("rows", "column_name", F.coalesce("distinct_values", F.lit(0)).alias("distinct_values"))
 
 
 def describe(df: DataFrame, groups: Sequence[str], column: str) -> DataFrame:

@@ -19,6 +19,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskframe.frames import with_scalars
+from riskframe.session import durable
+
 SKETCH_ACCURACY = 10_000
 # Groups up to this size are ranked whole: no sketch bracket is needed.
 WHOLE_GROUP_ROWS = 20_000
@@ -75,8 +78,10 @@ def exact_quantiles(
     next_low = F.lit(None).cast("double")
     for i in sorted(range(len(probs)), key=lambda j: -probs[j]):
         next_low = F.when(F.col("_lo")[i] > x, F.col("_lo")[i]).otherwise(next_low)
+    # One row without keys: a scalar, not a join.  Else written first, so that a hot key's partition can be split.
+    bracketed = with_scalars(base, brackets.drop("_all")) if keys == ["_all"] else base.join(durable(brackets), keys)
     counted = (
-        base.join(brackets, keys)
+        bracketed
         .select(*keys, "_n", inside.alias("_exact"), F.when(inside, x).otherwise(next_low).alias("_v"))
         .groupBy(*keys, "_exact", "_v")
         .agg(F.count(F.lit(1)).alias("_c"), F.max("_n").alias("_n"))
@@ -125,12 +130,10 @@ def _pick_ranks(counted: DataFrame, keys: list[str], quantiles: dict[str, float]
 
 
 def attach_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: dict[str, float]) -> DataFrame:
-    from riskframe.frames import with_scalars
-
     found = exact_quantiles(df, keys, value, quantiles)
     if not keys:
         return with_scalars(df, found)
-    return df.join(found, list(keys), "left").select(*df.columns, *quantiles)
+    return df.join(durable(found), list(keys), "left").select(*df.columns, *quantiles)
 
 
 def _slice_of(cuts: Column, value: Column, steps: Sequence[int]) -> Column:
@@ -154,11 +157,12 @@ def with_slices(df: DataFrame, keys: Sequence[str], order: str, slice_rows: int
     """
     picked = df.where(F.pmod(F.xxhash64(F.col(order)), F.lit(slice_rows)) == 0)
     cuts = picked.groupBy(*keys).agg(F.sort_array(F.collect_set(order)).alias("_cuts"))
-    widths = [1 << b for b in range(20, -1, -1)]
+    widths = [1 << b for b in range(30, -1, -1)]
     where = F.when(
         F.col("_cuts").isNull() | F.col(order).isNull(), F.lit(0)
     ).otherwise(_slice_of(F.col("_cuts"), F.col(order), widths))
-    return df.join(cuts, list(keys), "left").select(*df.columns, where.alias("_slice"))
+    cut = with_scalars(df, cuts.drop("_all")) if list(keys) == ["_all"] else df.join(durable(cuts), list(keys), "left")
+    return cut.select(*df.columns, where.alias("_slice"))
 
 
 def running_totals(

@@ -44,13 +44,13 @@ def positive_contributions(t):
     "shown_values",
     """
     SELECT event_id, CASE event_id % 3 WHEN 0 THEN CASE WHEN user_id % 2 = 1 THEN 'True' ELSE 'False' END
-      WHEN 1 THEN printf('%.2f%%', (user_id % 2) * 100.0) ELSE round(pow(user_id, 2), 2)::DOUBLE::VARCHAR END AS shown FROM events WHERE user_id > 0 AND user_id < 1000
+      WHEN 1 THEN printf('%.2f%%', (user_id % 2) * 100.0) ELSE round(pow(user_id, 2), 2)::DOUBLE::VARCHAR END AS shown FROM events
     """,
 )
 def shown_values(t):
     kind = F.col("event_id") % 3
     feature = F.when(kind == 0, "type=click").when(kind == 1, "Anmly_Benford").otherwise("amount^2")
-    rows = t.events.where("user_id > 0 AND user_id < 1000").select("event_id", feature.alias("f"), (F.col("user_id") % 2).cast("double").alias("v"), F.col("user_id").cast("double").alias("amount"))
+    rows = t.events.select("event_id", feature.alias("f"), (F.col("user_id") % 2).cast("double").alias("v"), F.col("user_id").cast("double").alias("amount"))
     return rows.select("event_id", explain.shown_value(F.col("f"), F.col("v"), F.col("amount"), ["type=click"]).alias("shown"))
 
 

@@ -251,8 +251,8 @@ def similar_text_groups_closest(t):
     r"""
     WITH term AS (SELECT DISTINCT s AS term FROM (SELECT unnest(string_split_regex(lower(text), '[.,\n]\s*')) AS s FROM benchmark) WHERE s <> ''),
     title AS (SELECT DISTINCT s AS title FROM (SELECT unnest(string_split_regex(lower(text), '[.\n]\s*')) AS s FROM documents) WHERE s <> ''),
-    tw AS (SELECT DISTINCT term, unnest(string_split(term, ' ')) AS w FROM term),
-    iw AS (SELECT DISTINCT title, unnest(string_split_regex(title, '\W+')) AS w FROM title),
+    tw AS (SELECT DISTINCT term, unnest(string_split_regex(term, '[^\p{L}\p{N}_]+')) AS w FROM term),
+    iw AS (SELECT DISTINCT title, unnest(string_split_regex(title, '[^\p{L}\p{N}_]+')) AS w FROM title),
     c AS (SELECT DISTINCT term, title FROM tw JOIN iw ON tw.w = iw.w WHERE tw.w <> ''),
     tc AS (SELECT term, list_distinct(string_split(term, '')) AS cs FROM term),
     ic AS (SELECT title, list_distinct(string_split(title, '')) AS cs FROM title),

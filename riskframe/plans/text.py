@@ -62,8 +62,8 @@ _simple(
     "special_characters_to_space", rf"trim(regexp_replace(text, '[!-/:-@\[-`{{-~\t\n\r]', ' ', 'g'))", text.special_to_space
 )
 _simple(
-    "category_name", "regexp_replace(regexp_replace(strip_accents(lower(trim(text[1:40]))), '[^\\x00-\\x7F]', '', 'g'), '[^a-zA-Z0-9]+', '_', 'g')",
-    lambda c: text.name_part(text.category(F.substring(c, 1, 40))),
+    "category_name", "regexp_replace(regexp_replace(strip_accents(lower(trim(text))), '[^\\x00-\\x7F]', '', 'g'), '[^a-zA-Z0-9]+', '_', 'g')",
+    lambda c: text.name_part(text.category(c)),
 )
 
 
@@ -171,21 +171,21 @@ def fuzzy_ratio(t):
 @register(
     "closest_dictionary_word",
     r"""
-    WITH d AS (SELECT DISTINCT w AS entry FROM (SELECT unnest(string_split_regex(regexp_replace(lower(text), '[^a-z]', ' ', 'g'), ' +')) AS w FROM benchmark) WHERE w <> ''),
-    m AS (SELECT DISTINCT w AS word FROM (SELECT unnest(string_split_regex(regexp_replace(lower(text), '[^a-z]', ' ', 'g'), ' +')) AS w FROM conversations) WHERE w <> '' AND w NOT IN (SELECT entry FROM d)),
-    x AS (SELECT word, entry, levenshtein(word, entry) AS n FROM m JOIN d ON abs(length(word) - length(entry)) <= 2),
-    r AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY n, entry) AS k FROM x WHERE n <= 2)
+    WITH d AS (SELECT DISTINCT w AS entry FROM (SELECT unnest(string_split_regex(strip_accents(replace(lower(text), 'ß', 'ss')), '[^a-z]+')) AS w FROM benchmark) WHERE w <> ''),
+    m AS (SELECT DISTINCT w AS word FROM (SELECT unnest(string_split_regex(strip_accents(replace(lower(text), 'ß', 'ss')), '[^a-z]+')) AS w FROM conversations) WHERE w <> '' AND w NOT IN (SELECT entry FROM d)),
+    x AS (SELECT word, entry, levenshtein(word, entry) AS n FROM m JOIN d ON true),
+    r AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY n, entry) AS k FROM x)
     SELECT word, entry AS closest, n AS distance FROM r WHERE k = 1
     """,
 )
 def closest_dictionary_word(t):
     def vocabulary(df, name):
-        letters = F.regexp_replace(F.lower("text"), "[^a-z]", " ")
+        letters = F.regexp_replace(text.folded(F.replace(F.lower("text"), F.lit("ß"), F.lit("ss"))), "[^a-z]", " ")
         return df.select(F.explode(text.tokens(letters)).alias(name)).distinct()
 
     entries = vocabulary(t.benchmark, "entry")
     unknown = vocabulary(t.conversations, "word").join(entries.withColumnRenamed("entry", "word"), "word", "left_anti")
-    return similarity.closest_words(unknown, "word", entries, "entry", 2)
+    return similarity.closest_words(unknown, "word", entries, "entry")
 
 
 @register("unicode_script")

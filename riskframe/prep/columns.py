@@ -37,7 +37,6 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
         words = F.size(F.filter(F.split(_text(c), r"\s+"), lambda w: w != ""))
         stats += [
             F.count(col).alias(f"present{i}"),
-            F.count_distinct(col).alias(f"distinct{i}"),
             (F.stddev_samp(col) if c in numeric else F.lit(None).cast("double")).alias(f"std{i}"),
             F.max(words).alias(f"words{i}"),
         ]
@@ -45,12 +44,28 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     rows = [
         F.struct(
             F.lit(c).alias("column_name"), F.col("rows"), F.col(f"present{i}").alias("present"),
-            F.col(f"distinct{i}").alias("distinct_values"), F.col(f"std{i}").alias("std"),
-            F.coalesce(F.col(f"words{i}"), F.lit(0)).alias("most_words"), F.lit(c in numeric).alias("numeric"),
+            F.col(f"std{i}").alias("std"), F.coalesce(F.col(f"words{i}"), F.lit(0)).alias("most_words"), F.lit(c in numeric).alias("numeric"),
         )
         for i, c in enumerate(names)
     ]
-    return wide.select(F.inline(F.array(*rows)))
+    facts = wide.select(F.inline(F.array(*rows))).join(distinct_values(df, names), "column_name", "left")
+    return facts.select(
+        "column_name", "rows", "present", F.coalesce("distinct_values", F.lit(0)).alias("distinct_values"), "std", "most_words", "numeric"
+    )
+
+
+def distinct_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(column_name, distinct_values)`` of columns with any present value.
+
+    Values are stacked as two hashes, 96 bits together, and combined before they are
+    shuffled: no row is copied per column and no text leaves its task.
+    """
+    parts = [
+        F.when(F.col(f"`{c}`").isNotNull(), F.struct(F.lit(c).alias("c"), F.xxhash64(f"`{c}`").alias("h"), F.hash(f"`{c}`").alias("g")))
+        for c in columns
+    ]
+    stacked = df.select(F.explode(F.array_compact(F.array(*parts))).alias("s")).select("s.*").distinct()
+    return stacked.groupBy(F.col("c").alias("column_name")).agg(F.count(F.lit(1)).alias("distinct_values"))
 
 
 def top_value_shares(df: DataFrame, columns: Sequence[str]) -> DataFrame:
