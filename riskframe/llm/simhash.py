@@ -85,6 +85,10 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
     return rows.mapInPandas(lambda it: _fingerprints(shingle, it), schema)
 
 
+def _signed(bits: int) -> Column:
+    return F.lit(bits - (1 << BITS) if bits >> (BITS - 1) else bits).cast("long")
+
+
 def _balls(print_: Column) -> Column:
     """All keys of a fingerprint: for each block, the bits outside it, as they are and with each one of them flipped.
 
@@ -95,12 +99,10 @@ def _balls(print_: Column) -> Column:
     for number, (low, high) in enumerate(BLOCKS):
         inside = ((1 << high) - 1) ^ ((1 << low) - 1)
         outside = ~inside & ((1 << BITS) - 1)
-        signed = outside - (1 << BITS) if outside >> 63 else outside
-        centre = print_.bitwiseAND(F.lit(signed)).bitwiseOR(F.lit((number << low) - (1 << BITS) if (number << low) >> 63 else number << low))
-        flips = [1 << bit for bit in range(BITS) if not low <= bit < high]
-        flips = [0] + [f - (1 << BITS) if f >> 63 else f for f in flips]
-        keys.append(F.transform(F.array(*[F.lit(f).cast("long") for f in flips]), lambda f, c=centre: c.bitwiseXOR(f)))
-    return F.flatten(F.array(*keys))
+        centre = print_.bitwiseAND(_signed(outside)).bitwiseOR(_signed(number << low))
+        flips = [0] + [1 << bit for bit in range(BITS) if not low <= bit < high]
+        keys += [centre.bitwiseXOR(_signed(f)) for f in flips]
+    return F.array(*keys)
 
 
 def near_links(prints: DataFrame) -> DataFrame:
@@ -144,7 +146,7 @@ def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text")
     Repeated rows of one key stay once; a group of null keys only keeps one row.
     """
     groups = near_duplicates(docs, key, text).where(F.col(key).eqNullSafe(F.col("component_id")))
-    stay = durable(groups.select(source_key(key).alias("_key"), "fingerprint").distinct())
-    kept = docs.withColumn("_key", source_key(key)).join(stay.groupBy("_key").agg(F.min("fingerprint").alias("_f")), "_key")
-    once = kept.groupBy("_key").agg(*[F.first(F.col(f"`{c}`")).alias(c) for c in docs.columns])
-    return once.select(*[f"`{c}`" for c in docs.columns])
+    stay = durable(groups.select(source_key(key).alias("_key")).distinct())
+    named = docs.select(source_key(key).alias("_key"), F.struct("*").alias("_row"))
+    kept = named.join(stay, "_key", "left_semi")
+    return kept.groupBy("_key").agg(F.first("_row").alias("_row")).select("_row.*")
