@@ -59,3 +59,30 @@ def test_attach_and_top(skewed):
     assert top.count() == 6
     plan = top._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan  # map tasks are cut before the shuffle
+
+
+def test_a_hot_key_is_split(spark):
+    """With broadcasts off and nine tenths of all rows in one key, no task holds more than a fair share."""
+    names = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+    }
+    before = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        df = spark.range(200_000).repartition(8).select(F.when(F.col("id") % 10 > 0, 0).otherwise(F.col("id")).alias("k"), F.xxhash64("id").alias("v"))
+        out = attach(df, ["k"], total=F.count(F.lit(1))).withColumn("task", F.spark_partition_id())
+        tasks = out.groupBy("task").agg(F.count(F.lit(1)).alias("n"), F.max("v"), F.max("total")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert sum(r["n"] for r in tasks) == 200_000 and max(r["n"] for r in tasks) < 90_000
+
+
+def test_statistics_without_keys_need_no_cross_join(spark):
+    df = spark.range(1000).select(F.col("id").cast("double").alias("x"))
+    plan = exact_quantiles(df, [], "x", {"m": 0.5})
+    text = plan._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in text and "NestedLoopJoin" not in text
+    assert plan.first()["m"] == 499.5
