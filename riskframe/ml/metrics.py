@@ -141,8 +141,8 @@ def best_threshold(sweep: DataFrame) -> DataFrame:
 
 
 def threshold_by_precision(df: DataFrame, key: str, target: str, score: str, folds: int = 5, seed: int = 42) -> DataFrame:
-    """Per fold the threshold of best precision (most true positives, then lowest
-    threshold, among equals), and their mean: cross-validated decision threshold."""
+    """Per fold the threshold of best precision: most true positives, then lowest
+    threshold, among equals.  ``decision_threshold`` is their mean."""
     from riskframe.ml.split import hash_unit
 
     fold = F.floor(hash_unit(key, F.lit(seed)) * folds).cast("int").alias("fold")
@@ -151,3 +151,9 @@ def threshold_by_precision(df: DataFrame, key: str, target: str, score: str, fol
         F.max(F.struct("precision", "tp", (-F.col("threshold")).alias("t"))).alias("_b")
     )
     return best.select("fold", (-F.col("_b")["t"]).alias("threshold"), F.col("_b")["precision"].alias("precision"))
+
+
+def decision_threshold(df: DataFrame, key: str, target: str, score: str, folds: int = 5, seed: int = 42) -> DataFrame:
+    """One row: the mean of the folds' thresholds, to three decimals; null without a positive row."""
+    found = threshold_by_precision(df, key, target, score, folds, seed)
+    return found.groupBy().agg(F.round(F.avg("threshold"), 3).alias("threshold"))

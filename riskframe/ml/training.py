@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import itertools
+import json
 import math
 import random
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.ml.classification import (
@@ -17,13 +18,14 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator
+from pyspark.ml.util import DefaultParamsReader
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.ml.metrics import METRICS, confusion, metrics
-from riskframe.ml.split import stratified_split
+from riskframe.ml.metrics import METRICS, confusion, decision_threshold, metrics
+from riskframe.ml.split import balanced, hash_unit, stratified_split
 from riskframe.session import durable
 
 SEED = 42
@@ -120,8 +122,12 @@ def score(model: Model, df: DataFrame, threshold: float = 0.5) -> DataFrame:
     return out.select(*df.columns, (F.col("ML_Prediction_Probability") >= threshold).cast("int").alias("ML_Prediction"), "ML_Prediction_Probability")
 
 
-def tune(estimator: Estimator, grid: Mapping[str, Sequence], train: DataFrame, label: str = "label", trials: int = 10, folds: int = 3, parallelism: int = 4):
-    """Random sample of a grid, cross-validated for the positive class's F1."""
+def tune(estimator: Estimator, grid: Mapping[str, Sequence], train: DataFrame, label: str = "label", trials: int = 10, folds: int = 3, parallelism: int = 4, key: str | None = None):
+    """Random sample of a grid, cross-validated for the positive class's F1.
+
+    With a key, a row's fold is its hash: folds are then the same on every run and
+    however the rows are partitioned.
+    """
     combos = [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
     random.Random(SEED).shuffle(combos)
     maps = [{estimator.getParam(k): v for k, v in c.items()} for c in combos[: min(trials, MAX_TRIALS)]]
@@ -129,6 +135,9 @@ def tune(estimator: Estimator, grid: Mapping[str, Sequence], train: DataFrame, l
     search = CrossValidator(
         estimator=estimator, estimatorParamMaps=maps, evaluator=judge, numFolds=folds, parallelism=parallelism, seed=SEED
     )
+    if key is not None:
+        train = train.withColumn("_fold", F.floor(hash_unit(key, F.lit(f"fold{SEED}")) * folds).cast("int"))
+        search = search.setFoldCol("_fold")
     return search.fit(train).bestModel
 
 
@@ -151,14 +160,19 @@ def better(new: Mapping[str, float], best: Mapping[str, float] | None) -> bool:
 
 def train(
     df: DataFrame, key: str, target: str, features: Sequence[str], algorithms: Sequence[str] | None = None,
-    repeats: int = 1, trials: int = 0, folds: int = 3,
+    repeats: int = 1, trials: int = 0, folds: int = 3, balance: bool = False, own_threshold: bool = False,
 ) -> list[TrainedModel]:
     """Best model of each algorithm over repeated splits.
 
+    ``balance`` makes minority rows and cleans up neighbours before the split, so made
+    rows also reach the test part; keys are then text.  ``own_threshold`` sets each model's
+    decision threshold by precision over folds of the training rows, else it is 0.5; models
+    are judged, stored and applied with it.
+
     Constant predictions and an F1 of 0 or 1 are rejected.  Data is assembled and
     written once; fitting runs on the cluster.
     """
-    data = durable(assemble(df.select(key, F.col(target).cast("double").alias("label"), *[F.col(f"`{f}`") for f in features]), features).select(key, "label", "features"))
+    data = durable(_balanced(assemble(df.select(key, F.col(target).cast("double").alias("label"), *[F.col(f"`{f}`") for f in features]), features).select(key, "label", "features"), key, balance))
     best: dict[str, TrainedModel] = {}
     for repeat in range(repeats):
         split = durable(stratified_split(data, key, "label", seed=SEED + repeat))
@@ -167,18 +181,47 @@ def train(
             if algorithms and name not in algorithms:
                 continue
             tuned = trials and name in GRIDS
-            model = tune(estimator, GRIDS[name], fit_rows, trials=trials, folds=folds) if tuned else estimator.fit(fit_rows)
-            judged = score(model, test_rows).select("label", "ML_Prediction")
+            model = tune(estimator, GRIDS[name], fit_rows, trials=trials, folds=folds, key=key) if tuned else estimator.fit(fit_rows)
+            threshold = _threshold(model, fit_rows, key) if own_threshold else 0.5
+            judged = score(model, test_rows, threshold).select("label", "ML_Prediction")
             row = metrics(judged, "label", "ML_Prediction").first().asDict()
             cells = confusion(judged, "label", "ML_Prediction").first().asDict()
             predicted, total = cells["tp"] + cells["fp"], sum(cells.values())
             if predicted in (0, total) or row["f1"] in (0, 1):
                 continue
             if better(row, best[name].metrics if name in best else None):
-                best[name] = TrainedModel(name, model, row, list(features), {k: v / total for k, v in cells.items()})
+                best[name] = TrainedModel(name, model, row, list(features), {k: v / total for k, v in cells.items()}, threshold)
     return list(best.values())
 
 
+def _balanced(data: DataFrame, key: str, balance: bool) -> DataFrame:
+    if not balance:
+        return data
+    rows = balanced(durable(data.withColumn("features", vector_to_array("features"))), key, "label", "features")
+    return rows.select(key, "label", array_to_vector("features").alias("features"))
+
+
+def _threshold(model: Model, rows: DataFrame, key: str) -> float:
+    scored = score(model, rows).select(key, "label", "ML_Prediction_Probability")
+    found = decision_threshold(scored, key, "label", "ML_Prediction_Probability").first()["threshold"]
+    return 0.5 if found is None else float(found)
+
+
+def save_trained(trained: TrainedModel, spark: SparkSession, path: str) -> None:
+    """Write a model and what scoring needs besides, for another session to load.
+
+    Any model of Spark ML; the boosted stumps defined here have no writer.
+    """
+    trained.model.write().overwrite().save(f"{path}/model")
+    facts = {k: v for k, v in asdict(replace(trained, model=None)).items() if k != "model"}
+    spark.createDataFrame([(json.dumps(facts),)], "facts string").coalesce(1).write.mode("overwrite").text(f"{path}/facts")
+
+
+def load_trained(spark: SparkSession, path: str) -> TrainedModel:
+    facts = json.loads(spark.read.text(f"{path}/facts").first()[0])
+    return TrainedModel(model=DefaultParamsReader.loadParamsInstance(f"{path}/model", spark.sparkContext), **facts)
+
+
 def run_table(spark: SparkSession, models: Sequence[TrainedModel], submodule: str, experiment: str) -> DataFrame:
     """One row per trained model."""
     rows = [(submodule, experiment, m.name, *[float(m.metrics[k]) for k in METRICS], m.threshold) for m in models]

@@ -216,6 +216,18 @@ def threshold_by_precision(t):
     return out.select(F.col("fold").cast("long").alias("fold"), F.round("threshold", 9).alias("threshold"), F.round("precision", 6).alias("precision"))
 
 
+@register(
+    "decision_threshold",
+    f"WITH {_SCORES}, f AS (SELECT floor({_HASH.format(k='event_id::VARCHAR')} * 5)::BIGINT AS fold, score, target FROM s), "
+    "g AS (SELECT fold, score, sum(target) AS p, count(*) - sum(target) AS n FROM f GROUP BY ALL), "
+    "r AS (SELECT fold, score, sum(p) OVER w AS tp, sum(n) OVER w AS fp FROM g WINDOW w AS (PARTITION BY fold ORDER BY score DESC)), "
+    "k AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY tp / (tp + fp) DESC, tp DESC, score) AS rn FROM r WHERE tp > 0) "
+    "SELECT round(avg(score), 3) AS threshold FROM k WHERE rn = 1",
+)
+def decision_threshold(t):
+    return metrics.decision_threshold(scores(t), "event_id", "target", "score")
+
+
 def runs(t):
     """A run table derived from customers: one run per customer, submodule by nation."""
     share = lambda m: F.round((F.col("c_custkey") * m % 997) / 1000, 3)

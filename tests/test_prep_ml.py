@@ -149,6 +149,29 @@ def test_training_and_explanation(spark, learnable):
     assert np.allclose(share.t, share.p * 100, atol=0.05)
 
 
+def test_rare_class_is_balanced_before_the_split(spark):
+    """193 rows of one class and 7 of the other become 203 in all, split 162 to 41."""
+    data = [(i, 0, float(i % 50), float(i % 7)) for i in range(193)] + [(1000 + i, 1, 500.0 + i, 90.0 + i) for i in range(7)]
+    rows = spark.createDataFrame(data, "id long, y int, a double, b double")
+    assembled = training.assemble(rows.select("id", F.col("y").cast("double").alias("label"), "a", "b"), ["a", "b"]).select("id", "label", "features")
+    made = training._balanced(assembled, "id", True)
+    assert made.count() == 203
+    parts = {r["is_test"]: r["count"] for r in split.stratified_split(made, "id", "label").groupBy("is_test").count().collect()}
+    assert parts == {False: 162, True: 41}
+    assert training._balanced(assembled, "id", False) is assembled
+
+
+def test_saved_models_score_alike(spark, learnable, tmp_path):
+    models = training.train(learnable, "id", "y", ["a", "b"], ["Logistic Regression"], trials=2, folds=2, own_threshold=True)
+    assert models and 0 <= models[0].threshold <= 1 and models[0].threshold == round(models[0].threshold, 3)
+    training.save_trained(models[0], spark, str(tmp_path / "m"))
+    again = training.load_trained(spark, str(tmp_path / "m"))
+    assert (again.name, again.features, again.threshold, again.metrics) == (models[0].name, models[0].features, models[0].threshold, models[0].metrics)
+    key = ["id", "ML_Prediction", "ML_Prediction_Probability"]
+    score = lambda m: sorted(map(tuple, training.batch_score(m, learnable.select("id", "a"), "id", "2024-01-01 00:00:00", "e").select(*key).collect()))
+    assert score(again) == score(models[0])
+
+
 def test_curves(spark, learnable):
     df = learnable.withColumn("s", F.round(1 / (1 + F.exp(-F.col("a"))), 2))
     rows = df.toPandas()
