@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from riskframe.session import durable
 
-BLOCK_TOKENS = 1 << 21
+BLOCK_TOKENS = 1 << 20
 #: Bytes of text for each bucket of a table.
 BUCKET_BYTES = 16 << 20
 #: Good-Turing discounts apply to counts up to this one.
@@ -35,18 +35,29 @@ _MESSAGE = "block string, kind string, bucket long, number long, a binary, b bin
 
 
 def _pack(values: np.ndarray | bytes) -> bytes:
-    raw = values.tobytes() if isinstance(values, np.ndarray) else values
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    """Compressed values; all first bytes come first, then all second bytes, as most high bytes are zero."""
+    if isinstance(values, np.ndarray):
+        values = np.ascontiguousarray(values).reshape(-1).view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+    return len(values).to_bytes(8, "little") + pa.compress(values, codec="zstd", asbytes=True)
 
 
 def _unpack(data: bytes, kind=np.int64) -> np.ndarray:
-    return np.frombuffer(_unpack_bytes(data), kind)
+    planes = np.frombuffer(_unpack_bytes(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
 
 
 def _unpack_bytes(data: bytes) -> bytes:
     return pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
 
 
+def _steps(ascending: np.ndarray) -> bytes:
+    return _pack(np.diff(ascending, prepend=0).astype(np.int64))
+
+
+def _from_steps(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(data))
+
+
 def _rows(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["block", "kind", "bucket", "number", "a", "b", "c", "d"])
 
@@ -90,7 +101,7 @@ class _Block:
         for low, high in zip(cuts, cuts[1:], strict=False):
             own = order[low:high]
             named = b"\x00".join(words[i].replace(b"\x01", b"\x01\x01").replace(b"\x00", b"\x01\x02") for i in own.tolist())
-            yield _message(name, "words", int(place[own[0]]), len(own), _pack(named), _pack(own.astype(np.int32)), _pack(counts[own].astype(np.int64)))
+            yield _message(name, "words", int(place[own[0]]), len(own), _pack(named), _steps(own), _pack(counts[own].astype(np.int64)))
         keys = pa.array(self.keys, pa.int64(), from_pandas=True)
         yield _message(
             name, "texts", int(train.sum()), int(lengths[train].sum()), _pack(tokens), _pack(lengths),
@@ -152,8 +163,11 @@ class Words:
 # Rounds ---------------------------------------------------------------------------------------------------------------
 
 
-def _count_words(buckets: int, group: pd.DataFrame) -> pd.DataFrame:
-    """Add up a bucket's words over all blocks; answer each block in its own order with number and count of its words."""
+def _count_words(group: pd.DataFrame) -> pd.DataFrame:
+    """Add up a bucket's words over all blocks; answer each block in its own order with rank and count of its words.
+
+    A word's number is its rank in the bucket times the number of buckets, plus the bucket.
+    """
     total: dict[bytes, int] = {}
     asked = []
     for row in group.itertuples(index=False):
@@ -165,9 +179,9 @@ def _count_words(buckets: int, group: pd.DataFrame) -> pd.DataFrame:
     place = {word: i for i, word in enumerate(sorted(total))}
     out = []
     for row, words in zip(group.itertuples(index=False), asked, strict=True):
-        ids = np.fromiter((place[w] for w in words), np.int64, len(words)) * buckets + bucket
+        ranks = np.fromiter((place[w] for w in words), np.int64, len(words))
         counts = np.fromiter((total[w] for w in words), np.int64, len(words))
-        out.append(_message(row.block, "word-counts", bucket, len(words), _pack(ids), row.b, _pack(counts)))
+        out.append(_message(row.block, "word-counts", bucket, len(words), _pack(ranks), row.b, _pack(counts)))
     counts = np.fromiter(total.values(), np.int64, len(total))
     out.append(_message("", "word-table", bucket, len(total), _pack(b"\x00".join(sorted(total))), None, _pack(np.fromiter((total[w] for w in sorted(total)), np.int64, len(total)))))
     out += _count_of_counts(bucket, counts)
@@ -183,7 +197,7 @@ def _count_of_counts(bucket: int, counts: np.ndarray) -> list[tuple]:
 class _Read:
     """A block with the answers of the first round: documents as sequences of local words."""
 
-    def __init__(self, group: pd.DataFrame):
+    def __init__(self, buckets: int, group: pd.DataFrame):
         text = group[group["kind"] == "texts"].iloc[0]
         self.name = text["block"]
         self.tokens, self.lengths = _unpack(text["a"], np.int32).astype(np.int64), _unpack(text["b"])
@@ -192,8 +206,8 @@ class _Read:
         answers = group[group["kind"] == "word-counts"]
         self.ids, self.counts = np.zeros(int(answers["number"].sum()), np.int64), np.zeros(int(answers["number"].sum()), np.int64)
         for row in answers.itertuples(index=False):
-            own = _unpack(row.b, np.int32)
-            self.ids[own], self.counts[own] = _unpack(row.a), _unpack(row.c)
+            own = _from_steps(row.b)
+            self.ids[own], self.counts[own] = _unpack(row.a) * buckets + row.bucket, _unpack(row.c)
         # Distinct pairs of the block: local first word (0: start of text) times local words, plus local second word.
         starts = np.cumsum(self.lengths) - self.lengths
         first = np.roll(self.tokens, 1) + 1
@@ -211,12 +225,12 @@ class _Read:
         spread = np.where(first_counts > hot, first_counts // hot + 1, 1).astype(np.uint64)
         step = (seconds.astype(np.uint64) + np.uint64(7)) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(32)
         place = (((mixed >> np.uint64(32)) + step % spread) % np.uint64(buckets)).astype(np.int64)
-        return np.lexsort((seconds, self.first_ids, place)), place
+        return np.lexsort((self.first_ids, seconds, place)), place
 
 
 def _ask_pairs(buckets: int, hot: int, documents: int, group: pd.DataFrame) -> pd.DataFrame:
     """The distinct pairs of one block: both words' numbers, training count, and counts of both words."""
-    block = _Read(group)
+    block = _Read(buckets, group)
     counts = np.bincount(block.pair_of[np.repeat(block.train, block.lengths)], minlength=len(block.pairs))
     first_counts = np.concatenate([[documents], block.counts])[block.first]
     order, place = block.order(buckets, hot, first_counts)
@@ -224,10 +238,12 @@ def _ask_pairs(buckets: int, hot: int, documents: int, group: pd.DataFrame) -> p
     out = []
     for low, high in zip(cuts, cuts[1:], strict=False):
         own = order[low:high]
-        known = np.stack([counts[own], block.counts[block.second[own]], first_counts[own] > hot])
+        firsts, index, which = np.unique(block.first_ids[own], return_index=True, return_inverse=True)
+        hot_first = first_counts[own][index] > hot
+        seconds, lower = block.ids[block.second[own]], block.counts[block.second[own]]
         out.append(_message(
-            block.name, "pairs", int(place[own[0]]), len(own), _pack(np.diff(block.first_ids[own], prepend=0)),
-            _pack(block.ids[block.second[own]]), _pack(known.astype(np.int64)),
+            block.name, "pairs", int(place[own[0]]), len(own), _pack(np.stack([np.diff(firsts, prepend=0), hot_first])),
+            _pack(which.astype(np.int32)), _steps(seconds), _pack(np.stack([counts[own], np.diff(lower, prepend=0)])),
         ))
     return _rows(out)
 
@@ -239,12 +255,17 @@ def _count_pairs(words: Words, group: pd.DataFrame) -> pd.DataFrame:
     many of its pairs occur 1, 2, ... times, from which the discounted mass follows once discounts are known.  Sums of a
     word that is spread over buckets are parts, and are also given under ``hot``.
     """
-    firsts, seconds, known = [], [], []
+    asked, first, second, count, lower, hot_words = [], [], [], [], [], set()
     for row in group.itertuples(index=False):
-        firsts.append(np.cumsum(_unpack(row.a)))
-        seconds.append(_unpack(row.b))
-        known.append(_unpack(row.c).reshape(3, -1))
-    first, second, (count, lower, hot) = np.concatenate(firsts), np.concatenate(seconds), np.concatenate(known, axis=1)
+        steps, hot = _unpack(row.a).reshape(2, -1)
+        asked.append(np.cumsum(steps))
+        hot_words.update(asked[-1][hot > 0].tolist())
+        first.append(asked[-1][_unpack(row.b, np.int32)])
+        second.append(_from_steps(row.c))
+        known, steps = _unpack(row.d).reshape(2, -1)
+        count.append(known)
+        lower.append(np.cumsum(steps))
+    first, second, count, lower = (np.concatenate(x) for x in (first, second, count, lower))
     order = np.lexsort((second, first))
     new_first = np.diff(first[order], prepend=first[order[0]] - 1) != 0
     new_pair = new_first | (np.diff(second[order], prepend=second[order[0]] - 1) != 0)
@@ -261,15 +282,13 @@ def _count_pairs(words: Words, group: pd.DataFrame) -> pd.DataFrame:
     for r in range(1, DISCOUNTED + 1):
         sums[1 + r] = np.bincount(history, weights=total == r, minlength=len(histories))
     bucket = int(group["bucket"].iat[0])
-    out = [_message("", "pair-table", bucket, len(total), _pack(np.diff(first[order][at], prepend=0)), _pack(second[order][at]), _pack(total))]
-    out += _count_of_counts(bucket, total[seen])
-    for i in np.flatnonzero(hot[order][new_first]).tolist():
-        out.append(_message("", "hot", bucket, int(histories[i]), _pack(sums[:, i].copy())))
-    place, low = np.searchsorted(histories, first), 0
-    for row in group.itertuples(index=False):
-        own = slice(low, low + row.number)
-        runs = np.flatnonzero(np.diff(place[own], prepend=-1))
-        out.append(_message(row.block, "pair-counts", bucket, row.number, _pack(total[pair_of[own]]), _pack(sums[:, place[own][runs]])))
+    out = _count_of_counts(bucket, total[seen])
+    for word in sorted(hot_words):
+        out.append(_message("", "hot", bucket, word, _pack(sums[:, np.searchsorted(histories, word)])))
+    low = 0
+    for row, firsts in zip(group.itertuples(index=False), asked, strict=True):
+        own = sums[:, np.searchsorted(histories, firsts)]
+        out.append(_message(row.block, "pair-counts", bucket, row.number, _pack(total[pair_of[low : low + row.number]]), _pack(own)))
         low += row.number
     return _rows(out)
 
@@ -279,11 +298,11 @@ def _add_parts(group: pd.DataFrame) -> pd.DataFrame:
     return _rows([_message("", "hot", 0, int(group["number"].iat[0]), _pack(total))])
 
 
-def _hot_wanted(hot: int, documents: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _hot_wanted(buckets: int, hot: int, documents: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Which blocks hold which first words that are spread over several buckets."""
     for batch in batches:
         for row in batch.itertuples(index=False):
-            ids = _unpack(row.a)[_unpack(row.c) > hot]
+            ids = _unpack(row.a)[_unpack(row.c) > hot] * buckets + row.bucket
             if documents > hot:
                 ids = np.append(ids, START_ID)
             yield pd.DataFrame({"block": row.block, "number": ids})
@@ -291,7 +310,7 @@ def _hot_wanted(hot: int, documents: int, batches: Iterator[pd.DataFrame]) -> It
 
 def _score(buckets: int, hot: int, documents: int, words: Words, factors: np.ndarray, group: pd.DataFrame) -> pd.DataFrame:
     """Scores of a block's documents, token by token: the pair if it was seen, else the backoff weight times the word."""
-    block = _Read(group)
+    block = _Read(buckets, group)
     first_counts = np.concatenate([[documents], block.counts])[block.first]
     order, place = block.order(buckets, hot, first_counts)
     answers = {row.bucket: row for row in group[group["kind"] == "pair-counts"].itertuples(index=False)}
@@ -302,8 +321,8 @@ def _score(buckets: int, hot: int, documents: int, words: Words, factors: np.nda
         own = order[low:high]
         answer = answers[int(place[own[0]])]
         total[own] = _unpack(answer.a)
-        runs = np.cumsum(np.diff(block.first_ids[own], prepend=block.first_ids[own[0]] - 1) != 0) - 1
-        sums[:, own] = _unpack(answer.b, np.float64).reshape(DISCOUNTED + 2, -1)[:, runs]
+        which = np.unique(block.first_ids[own], return_inverse=True)[1]
+        sums[:, own] = _unpack(answer.b, np.float64).reshape(DISCOUNTED + 2, -1)[:, which]
     for i in np.flatnonzero(first_counts > hot).tolist():
         sums[:, i] = parts[int(block.first_ids[i])]
     history, followed, repeats = sums[0], sums[1], sums[2:]
@@ -357,7 +376,7 @@ def katz_scores(docs: DataFrame, train: Column, key: str = "doc_id", text: str =
     total, documents = sizes["n"] or 0, sizes["d"] or 0
     hot = max(1, int(HOT_SHARE * total / buckets))
 
-    word_table = durable(texts.where("kind = 'words'").groupBy("bucket").applyInPandas(lambda g: _count_words(buckets, g), _MESSAGE))
+    word_table = durable(texts.where("kind = 'words'").groupBy("bucket").applyInPandas(lambda g: _count_words(g), _MESSAGE))
     repeats = _repeats(word_table)
     factors = good_turing(repeats)
     words = Words(total, sum(repeats.values()), factors).settle(_discounted(repeats, factors, total))
@@ -368,8 +387,8 @@ def katz_scores(docs: DataFrame, train: Column, key: str = "doc_id", text: str =
     pair_factors = good_turing(_repeats(pair_table))
 
     parts = pair_table.where("kind = 'hot'").groupBy("number").applyInPandas(_add_parts, _MESSAGE)
-    wanted = word_table.where("kind = 'word-counts'").select("block", "a", "c")
-    wanted = wanted.mapInPandas(lambda it: _hot_wanted(hot, documents, it), "block string, number long").distinct()
+    wanted = word_table.where("kind = 'word-counts'").select("block", "bucket", "a", "c")
+    wanted = wanted.mapInPandas(lambda it: _hot_wanted(buckets, hot, documents, it), "block string, number long").distinct()
     parts = wanted.join(parts.drop("block"), "number").select(*parts.columns)
     answered = blocks.union(pair_table.where("kind = 'pair-counts'")).union(parts)
     schema = "_key long, _train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
