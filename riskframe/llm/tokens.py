@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -10,7 +11,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.llm.pieces import Ragged, Vocabulary, best_paths, chunks
+from riskframe.llm.pieces import Ragged, Vocabulary, best_paths, chunks, slices
+
+
+#: Units whose counts a task remembers; a bound on memory, without effect on results.
+REMEMBERED = 1 << 19
 
 
 class Counter:
@@ -25,6 +30,7 @@ class Counter:
             self.automaton.add_word(piece, number)
         if vocabulary.pieces:
             self.automaton.make_automaton()
+        self.memory: dict[str, int] = {}
 
     def count(self, run: list[str]) -> np.ndarray:
         """Pieces of the best segmentation of each unit, by the encoder's rules.
@@ -36,8 +42,8 @@ class Counter:
         joined = "\n".join(run) + "\n"
         lengths = np.fromiter(map(len, run), np.int64, len(run))
         unit_starts = np.cumsum(lengths + 1) - lengths - 1
-        found = np.fromiter((last << 32 | number for last, number in self.automaton.iter(joined)), np.int64) if self.vocabulary.pieces else np.zeros(0, np.int64)
-        end, number = (found >> 32) + 1, found & 0xFFFFFFFF
+        found = np.fromiter(chain.from_iterable(self.automaton.iter(joined) if self.vocabulary.pieces else ()), np.int64).reshape(-1, 2)
+        end, number = found[:, 0] + 1, found[:, 1]
         start = end - self.lengths[number]
         unit = np.searchsorted(unit_starts, start, side="right") - 1
         inside = end <= (unit_starts + lengths)[unit]
@@ -66,10 +72,19 @@ class Counter:
         return counts[unit_starts + lengths]
 
     def count_all(self, texts: Iterable[str | None]) -> np.ndarray:
-        """Counts of many texts, 0 for null; each distinct unit is counted once."""
+        """Counts of many texts, 0 for null; each distinct unit of a run of texts is counted once."""
+        return np.array([n for run in slices(texts) for n in self._count_run(run)], np.int64)
+
+    def _count_run(self, texts: list[str | None]) -> list[int]:
         batch = Ragged(texts, self.vocabulary.crossing)
-        counts = np.concatenate([np.zeros(0, np.int64)] + [self.count(run) for run in chunks(batch.number)])
-        return np.array([0 if row is None else counts[row].sum() for row in batch.rows], np.int64)
+        new = [u for u in batch.number if u not in self.memory]
+        if len(self.memory) + len(new) > REMEMBERED:
+            self.memory.clear()
+            new = list(batch.number)
+        for run in chunks(new):
+            self.memory.update(zip(run, self.count(run).tolist(), strict=True))
+        counts = np.fromiter(map(self.memory.__getitem__, batch.number), np.int64, len(batch.number))
+        return [0 if row is None else int(counts[row].sum()) for row in batch.rows]
 
     def text(self, text: str | None) -> int:
         return int(self.count_all([text])[0])
