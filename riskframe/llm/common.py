@@ -28,6 +28,15 @@ def source_key(column: str) -> Column:
     return F.when(F.col(column).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col(column).cast("string")))
 
 
+def first_by_hash(rows: DataFrame, n: int) -> DataFrame:
+    """The rows with the ``n`` smallest distinct values of their column ``_h``, one row each.
+
+    Only hashes are ranked, so tasks send numbers, not rows, before the cut is known.
+    """
+    cut = rows.select("_h").distinct().orderBy("_h").limit(n).agg(F.max("_h")).first()[0]
+    return rows.where(F.col("_h") <= F.lit(cut)).dropDuplicates(["_h"])
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """Components of an undirected graph: ``(node, root)`` for each node with an edge, root the smallest node.
 
