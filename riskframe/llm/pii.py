@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskframe.llm.common import first_by_hash
+
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE = 96, 48
 HIDDEN = 16
@@ -396,7 +398,7 @@ def fit_tagger(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Tagg
     """Train on documents that hold a digit or an @ sign, the TRAIN_DOCUMENTS first by hash of key and text."""
     marked = docs.select(F.col(text).cast("string").alias("_text"), F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("_h")).where(F.col("_text").rlike("[@0-9]"))
     near = F.regexp_extract_all(F.col("_text"), F.lit("(?s).{0,160}[@0-9][@0-9 +().a-zA-Z-]{6}.{0,160}"), F.lit(0))
-    drawn = marked.orderBy("_h").limit(TRAIN_DOCUMENTS).select(F.slice(near, 1, 4).alias("parts")).collect()
+    drawn = first_by_hash(marked, TRAIN_DOCUMENTS).select("_h", F.slice(near, 1, 4).alias("parts")).orderBy("_h").collect()
     return train_tagger([part for row in drawn for part in row["parts"]])
 
 
