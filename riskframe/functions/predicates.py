@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskframe.session import durable
+
 # The fourteen filter operators.
 OPERATORS = (
     "EQUALS",
@@ -100,6 +102,33 @@ def contains_any(column: str, terms: Sequence[str], chunk: int = 200) -> Column:
     return F.coalesce(any_of(tests), F.lit(False)) if tests else F.lit(False)
 
 
+def with_any_term(df: DataFrame, key: str, text: str, terms: DataFrame, term: str) -> DataFrame:
+    """Rows whose text holds any term of a table, in any case, however long the table is.
+
+    Each term is listed under the rarest of its first pieces of three characters (or all
+    of a shorter term), counted over all texts; a text's own pieces fetch terms, and
+    each fetched term is then looked for whole.  Null text and blank terms match nothing.
+    """
+    wanted = terms.select(F.lower(term).alias("_t")).where(F.length(F.trim("_t")) > 0).distinct()
+    texts = df.where(F.col(text).isNotNull()).select(F.col(key).alias("_k"), F.lower(text).alias("_x"))
+
+    def pieces(size: int) -> Column:
+        # Characters are told apart once; a substring of a long text would read it from its start.
+        whole = F.slice("_c", 1, F.greatest(F.lit(0), F.size("_c") - (size - 1)))
+        after = [lambda i, n=n: F.get(F.col("_c"), i + n) for n in range(1, size)]
+        return F.array_distinct(F.transform(whole, lambda c, i: F.concat(c, *[next_one(i) for next_one in after])))
+
+    short = F.when(F.length("_t") == 1, pieces(1)).when(F.length("_t") == 2, pieces(2)).otherwise(pieces(3))
+    own = wanted.withColumn("_c", F.split("_t", "")).select("_t", F.explode(F.slice(short, 1, 8)).alias("_p"))
+    held = texts.withColumn("_c", F.split("_x", "")).select("_k", F.explode(F.concat(*[pieces(n) for n in (1, 2, 3)])).alias("_p"))
+    held = held.join(own.select("_p").distinct(), "_p", "left_semi")
+    common = held.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = own.join(common, "_p").groupBy("_t").agg(F.min(F.struct("_n", "_p"))["_p"].alias("_p"))
+    fetched = held.join(durable(rarest), "_p").select("_k", "_t").distinct()
+    hits = fetched.join(texts, "_k").where(F.contains("_x", "_t")).select("_k").distinct()
+    return df.join(hits, F.col(key) == F.col("_k"), "left_semi")
+
+
 def blank_to_null(df: DataFrame) -> DataFrame:
     """Empty or white-space text becomes null in every text column."""
     text = {f.name for f in df.schema.fields if f.dataType.simpleString() == "string"}

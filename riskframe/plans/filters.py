@@ -85,6 +85,17 @@ def substring_list_filter(t):
     return t.documents.where(p.contains_any("text", _TERMS)).select("doc_id")
 
 
+@register(
+    "substring_table_filter",
+    "WITH t AS (SELECT DISTINCT lower(p_name) AS term FROM part UNION SELECT DISTINCT lower(s) FROM (SELECT unnest(string_split(text, '.')) AS s FROM benchmark) WHERE trim(s) <> '') "
+    "SELECT doc_id FROM documents WHERE EXISTS (SELECT 1 FROM t WHERE contains(lower(text), term))",
+)
+def substring_table_filter(t):
+    sentences = t.benchmark.select(F.explode(F.split("text", r"\.")).alias("term"))
+    terms = t.part.select(F.col("p_name").alias("term")).union(sentences)
+    return p.with_any_term(t.documents, "doc_id", "text", terms, "term").select("doc_id")
+
+
 @register("distinct_modules", "SELECT DISTINCT r_name AS module FROM region JOIN nation ON n_regionkey = r_regionkey")
 def distinct_modules(t):
     meta = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
@@ -119,10 +130,10 @@ def drop_helper_columns(t):
 @register(
     "blank_to_null",
     r"SELECT doc_id, line, count(*) AS copies FROM (SELECT doc_id, CASE WHEN regexp_full_match(l, '\s*') THEN NULL ELSE l END AS line "
-    "FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents)) WHERE line IS NULL GROUP BY ALL",
+    "FROM (SELECT doc_id, unnest(string_split(text, '.')) AS l FROM documents)) WHERE line IS NULL GROUP BY ALL",
 )
 def blank_to_null(t):
-    lines = t.documents.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    lines = t.documents.select("doc_id", F.explode(F.split("text", r"\.")).alias("line"))
     blank = p.blank_to_null(lines).where(F.col("line").isNull())
     return blank.groupBy("doc_id", "line").agg(F.count(F.lit(1)).alias("copies"))
 
