@@ -6,14 +6,16 @@ import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Characters segmented at once; a bound on memory, without effect on results.
-CHUNK_CHARACTERS = 1 << 19
+CHUNK_CHARACTERS = 1 << 17
+#: Characters of the texts whose distinct units are gathered before that.
+BATCH_CHARACTERS = 1 << 22
 # Kinds of pieces in a model file: fixed values of its format.
 NORMAL, USER_DEFINED, BYTE = 1, 4, 6
 
@@ -157,6 +159,19 @@ def chunks(distinct: Iterable[str]) -> Iterator[list[str]]:
         yield run
 
 
+def slices(texts: Iterable[str | None]) -> Iterator[list[str | None]]:
+    """Texts in runs of bounded size; a longer text is a run of its own."""
+    run, size = [], 0
+    for text in texts:
+        if run and size + len(text or "") > BATCH_CHARACTERS:
+            yield run
+            run, size = [], 0
+        run.append(text)
+        size += len(text or "")
+    if run:
+        yield run
+
+
 class Ragged:
     """The distinct units of a batch, numbered, with a row of values for each."""
 
@@ -232,21 +247,22 @@ class Encoder:
         return ids.astype(np.int32), np.bincount(unit, minlength=len(run))
 
     def encode_all(self, texts: Iterable[str | None]) -> list[np.ndarray | None]:
-        """Ids of many texts; each distinct unit is segmented once."""
+        """Ids of many texts; each distinct unit of a run of texts is segmented once."""
+        return [ids for run in slices(texts) for ids in self._encode_run(run)]
+
+    def _encode_run(self, texts: list[str | None]) -> Iterator[np.ndarray | None]:
         batch = Ragged(texts, self.vocabulary.crossing)
         done = [self.segment(run) for run in chunks(batch.number)]
         ids = np.concatenate([np.zeros(0, np.int32)] + [x for x, _ in done])
         lengths = np.concatenate([np.zeros(0, np.int64)] + [n for _, n in done])
         places = np.cumsum(lengths) - lengths
-        out: list[np.ndarray | None] = []
         for row in batch.rows:
             if row is None:
-                out.append(None)
+                yield None
                 continue
             size = lengths[row]
             at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            out.append(ids[at + np.repeat(places[row], size)])
-        return out
+            yield ids[at + np.repeat(places[row], size)]
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_all([text])[0]
@@ -270,26 +286,34 @@ class Decoder:
         return text.removeprefix(" ")
 
 
-_BUILT: dict[tuple[int, str], object] = {}
+_BUILT: dict[tuple, object] = {}
 
 
 def _built(shared, kind):
     """One encoder or decoder per Python worker."""
-    key = (shared.value.size, id(shared.value), kind.__name__)
+    key = (id(shared.value), kind.__name__)
     if key not in _BUILT:
-        _BUILT.clear() if len(_BUILT) > 4 else None
+        if len(_BUILT) >= 4:
+            _BUILT.clear()
         _BUILT[key] = kind(shared.value)
     return _BUILT[key]
 
 
+def _lists(rows: list[np.ndarray | None]) -> pa.ListArray:
+    """Rows of ids as one Arrow array, without a Python number for each id."""
+    lengths = np.array([0 if r is None else len(r) for r in rows], np.int64)
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    values = np.concatenate([np.zeros(0, np.int32)] + [r for r in rows if r is not None])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=pa.array(np.array([r is None for r in rows], bool)))
+
+
 def encoder_column(spark: SparkSession, vocabulary: Vocabulary, text: Column) -> Column:
     """Ids of a text as an array of integers.  Null gives null, an empty text an empty array."""
     shared = spark.sparkContext.broadcast(vocabulary)
 
-    @F.pandas_udf("array<int>")
-    def encode(texts: pd.Series) -> pd.Series:
-        own = _built(shared, Encoder)
-        return pd.Series(own.encode_all(None if t is None else t for t in texts), dtype=object)
+    @F.arrow_udf("array<int>")
+    def encode(texts: pa.Array) -> pa.Array:
+        return _lists(_built(shared, Encoder).encode_all(texts.to_pylist()))
 
     return encode(text.cast("string"))
 
@@ -298,22 +322,33 @@ def decoder_column(spark: SparkSession, vocabulary: Vocabulary, ids: Column) ->
     """The text of an array of ids; null gives null.  Undoes ``encoder_column`` but for U+2581, which returns as a space."""
     shared = spark.sparkContext.broadcast(vocabulary)
 
-    @F.pandas_udf("string")
-    def decode(rows: pd.Series) -> pd.Series:
+    @F.arrow_udf("string")
+    def decode(rows: pa.Array) -> pa.Array:
         own = _built(shared, Decoder)
-        return pd.Series([None if r is None else own.decode(r.tolist()) for r in rows], dtype=object)
+        return pa.array([None if not r.is_valid else own.decode(r.as_py()) for r in rows], pa.string())
 
     return decode(ids)
 
 
 def encoded(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str = "ids") -> DataFrame:
-    """All rows and columns of ``docs`` with the ids of the whole text added."""
+    """All rows and columns of ``docs`` with the ids of the whole text added, in place of a column of that name."""
     return docs.withColumn(ids, encoder_column(docs.sparkSession, vocabulary, F.col(text)))
 
 
 def round_trip(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Key, ``ids``, ``n_tokens`` and ``same``: whether decoding gives back the text, spaces for U+2581."""
-    out = encoded(docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text")), vocabulary, "_text", "ids")
-    back = decoder_column(docs.sparkSession, vocabulary, F.col("ids"))
-    same = back.eqNullSafe(F.translate("_text", MARK, " "))
-    return out.select(F.col("_key").alias(key), "ids", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), same.alias("same"))
+    """Key, ``ids``, ``n_tokens`` and ``same``: whether decoding gives back the text, spaces for U+2581.
+
+    Null has null ids, 0 tokens, and comes back the same.  Ids are decoded where they are made, so a text is encoded once.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    @F.arrow_udf("ids array<int>, same boolean")
+    def both(texts: pa.Array) -> pa.Array:
+        encoder, decoder, strings = _built(shared, Encoder), _built(shared, Decoder), texts.to_pylist()
+        ids = encoder.encode_all(strings)
+        same = [t is None or decoder.decode(i.tolist()) == t.replace(MARK, " ") for t, i in zip(strings, ids, strict=True)]
+        return pa.StructArray.from_arrays([_lists(ids), pa.array(same, pa.bool_())], ["ids", "same"])
+
+    out = docs.select(F.col(key).alias("_key"), both(F.col(text).cast("string")).alias("_out"))
+    ids = F.col("_out.ids")
+    return out.select(F.col("_key").alias(key), ids.alias("ids"), F.coalesce(F.size(ids), F.lit(0)).cast("long").alias("n_tokens"), "_out.same")
