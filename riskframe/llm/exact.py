@@ -16,13 +16,14 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", salts
     stays.  A null key never wins against another; a group of null keys only keeps null.  Repeated rows of one key are
     one document: they count in ``group_size`` and are all marked alike (``distinct_documents`` keeps one of them).
 
-    Copies are combined three times, by their whole content each time: within a map task, within a salt of the digest,
-    and over the salts.  So a text that a third of all rows share reaches the last task once per salt.  Rows then find
+    Copies are combined three times, by their whole content each time: within a map task, within a salt, which is the
+    map task's number modulo ``salts``, and over the salts.  So a text that a third of all rows share leaves each map task
+    once, and reaches the last task once per salt.  Results do not depend on the salts.  Rows then find
     their group by digest, length and a second hash, in a join that adaptive execution splits where a group is large.
     """
     rows = docs.select(F.col(key).alias("_key"), ascii_lower(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("_text"))
     rows = rows.withColumn("_digest", F.unhex(F.sha2("_text", 256)))
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("_key"), F.lit(salts)))
+    salted = rows.withColumn("_salt", F.spark_partition_id() % salts)
     merged = salted.groupBy("_digest", "_text", "_salt").agg(F.max("_key").alias("_keep"), F.count(F.lit(1)).alias("_n"))
     groups = merged.groupBy("_digest", "_text").agg(F.max("_keep").alias("keep_id"), F.sum("_n").alias("group_size"))
     by = ["_digest", "_length", "_check"]
