@@ -140,13 +140,27 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     return found.select(F.col("_key").alias(key), F.lower(F.lpad(F.hex("_print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents whose key is the smallest of their group, all columns unchanged.
+def linked_by_fingerprint(texts: DataFrame) -> DataFrame:
+    """``(_node, _root)`` for each text ``(_node, _text)``: the least fingerprint that links reach."""
+    own = durable(fingerprints(texts, "_node", "_text").distinct())
+    roots = durable(connected(near_links(own.select("_print").distinct())))
+    found = own.join(roots.withColumnRenamed("node", "_print"), "_print", "left")
+    return found.select(F.col("_key").alias("_node"), F.coalesce("root", "_print").alias("_root"))
 
-    Repeated rows of one key stay once; a group of null keys only keeps one row.
+
+def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text", groups=linked_by_fingerprint) -> DataFrame:
+    """One document of each group of texts: the one with the smallest key, all columns unchanged.
+
+    The survivor is chosen per group and carries its text's hash, so every group keeps exactly one row, whatever keys
+    are null or shared by different texts.  A null key stays only where a group has no other.
     """
-    groups = near_duplicates(docs, key, text).where(F.col(key).eqNullSafe(F.col("component_id")))
-    stay = durable(groups.select(source_key(key).alias("_key")).distinct())
-    named = docs.select(source_key(key).alias("_key"), F.struct("*").alias("_row"))
-    kept = named.join(stay, "_key", "left_semi")
-    return kept.groupBy("_key").agg(F.first("_row").alias("_row")).select("_row.*")
+    content = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    roots = durable(groups(docs.select(F.xxhash64(content).alias("_node"), content.alias("_text"))))
+    rows = docs.select(F.col(key).alias("_key"), F.xxhash64(content).alias("_node")).join(roots, "_node")
+    first = F.min(F.struct(F.col("_key").isNull().alias("_null"), "_key", "_node")).alias("_s")
+    stay = rows.groupBy("_root").agg(first).select("_s.*")
+    stay = durable(stay.select(source_key("_key").alias("_key"), "_node"))
+    # Whole rows travel as one column, so no name of theirs can clash.
+    named = docs.select(source_key(key).alias("_key"), F.xxhash64(content).alias("_node"), F.struct("*").alias("_row"))
+    kept = named.join(stay, ["_key", "_node"], "left_semi")
+    return kept.groupBy("_key", "_node").agg(F.first("_row").alias("_row")).select("_row.*")
