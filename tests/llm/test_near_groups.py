@@ -25,3 +25,36 @@ def test_a_null_key_yields_to_any_other(spark):
     text = " ".join(words(9))
     kept = simhash.one_of_each_group(spark.createDataFrame([(None, text), (7, text.upper()), (7, text.upper())], SCHEMA)).collect()
     assert [r["doc_id"] for r in kept] == [7]
+
+
+def shingles(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def alike(a, b):
+    a, b = shingles(a), shingles(b)
+    return len(a & b) / len(a | b)
+
+
+def test_stage_reaches_similarity_of_four_fifths_and_verifies(spark):
+    """Copies with two changed words per hundred meet; texts below 0.8 stay apart, whatever their fingerprints."""
+    rng, rows, want = random.Random(5), [], set()
+    for g in range(60):
+        own = words(g, 200)
+        copy, far = list(own), list(own)
+        for i in rng.sample(range(200), 4):
+            copy[i] = "changed"
+        for i in range(0, 200, 20):
+            far[i] = f"far{g}"
+        assert alike(" ".join(own), " ".join(copy)) >= 0.8 > alike(" ".join(own), " ".join(far))
+        rows += [(3 * g, " ".join(own)), (3 * g + 1, " ".join(copy)), (3 * g + 2, " ".join(far))]
+        want |= {3 * g, 3 * g + 2}
+    # One group of copies, and a passage that differing texts share.
+    hot = words(1000, 100)
+    rows += [(1000 + i, " ".join([*hot, f"end{i}"])) for i in range(100)]
+    rows += [(2000 + i, " ".join(hot[:30] + words(2000 + i, 30))) for i in range(50)]
+    want |= {1000, *range(2000, 2050)}
+    docs = spark.createDataFrame(rows, SCHEMA)
+    kept = {r["doc_id"] for r in simhash.one_of_each_group(docs, groups=simhash.linked_by_shingles).collect()}
+    assert kept == want
