@@ -28,10 +28,10 @@ def stratified_split(t):
 
 
 def vectors(t, minority=0.03):
-    """Embeddings with a rare class: the first two numbers as a vector."""
+    """Embeddings with a rare class: the whole embedding as a vector."""
     e = F.transform("embedding", lambda x: x.cast("double"))
     rare = ((F.col("label") == 0) & (split.hash_unit("vec_id", F.lit("rare")) < minority * 10)).cast("int")
-    return t.embeddings.select("vec_id", rare.alias("target"), F.slice(e, 1, 4).alias("v"))
+    return t.embeddings.select("vec_id", rare.alias("target"), e.alias("v"))
 
 
 @register("minority_oversampling")
