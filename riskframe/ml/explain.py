@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Model
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskframe.frames import attach
 from riskframe.ml.training import positive_probability
+from riskframe.session import durable
 
 SCORE_SUFFIX = "_Tran_Score"
-BACKGROUND_ROWS = 100
+BACKGROUND_CENTRES = 100
 PERMUTATIONS = 20
 
 
@@ -49,6 +52,28 @@ def column_means(df: DataFrame, features: Sequence[str]) -> dict[str, float]:
     return {f: float(row[f] or 0.0) for f in features}
 
 
+def summarised_background(rows: DataFrame, vector: str, seed: int = 42) -> list[tuple[list[float], int]]:
+    """At most 100 k-means centres of all rows, each with the number of rows it stands for.
+
+    Equal rows are one weighted point; up to 100 distinct points are their own centres.  Only centres reach the driver.
+    """
+    points = durable(rows.groupBy(F.col(vector).alias("_b")).agg(F.count(F.lit(1)).alias("_n")))
+    few = points.limit(BACKGROUND_CENTRES + 1).collect()
+    if len(few) <= BACKGROUND_CENTRES:
+        return sorted((list(r["_b"]), r["_n"]) for r in few)
+    # Features count alike in the distance: each is divided by its spread.
+    size = len(few[0]["_b"])
+    total = lambda i: F.sum(F.col("_n") * F.col("_b")[i]) / F.sum("_n")
+    means = points.agg(*[total(i).alias(f"m{i}") for i in range(size)]).first()
+    spread = points.agg(*[F.sqrt(F.sum(F.col("_n") * F.pow(F.col("_b")[i] - means[i], 2)) / F.sum("_n")).alias(f"s{i}") for i in range(size)]).first()
+    scaled = F.array(*[(F.col("_b")[i] - means[i]) / (spread[i] or 1.0) for i in range(size)])
+    data = durable(points.select("_b", "_n", F.col("_n").cast("double").alias("_w"), scaled.alias("_z")))
+    data = data.select("_b", "_n", "_w", array_to_vector("_z").alias("_z"))
+    model = KMeans(k=BACKGROUND_CENTRES, featuresCol="_z", weightCol="_w", predictionCol="_c", seed=seed).fit(data)
+    centres = model.transform(data).groupBy("_c").agg(F.array(*[total(i) for i in range(size)]).alias("_b"), F.sum("_n").alias("_n"))
+    return sorted((list(r["_b"]), r["_n"]) for r in centres.collect())
+
+
 def sampled_contributions(
     model: Model, df: DataFrame, keys: Sequence[str], features: Sequence[str], background: DataFrame,
     permutations: int = PERMUTATIONS, seed: int = 42,
@@ -63,13 +88,15 @@ def sampled_contributions(
     rng = random.Random(seed)
     orders = [rng.sample(range(n), n) for _ in range(permutations)]
     vector = lambda d: F.array(*[F.coalesce(F.col(f"`{f}`").cast("double"), F.lit(0.0)) for f in d])
-    # The background is capped by its meaning: at most 100 reference rows.
-    sample = background.orderBy(F.xxhash64(*[f"`{f}`" for f in features])).limit(BACKGROUND_ROWS)
-    packed = sample.select(vector(features).alias("b")).agg(F.collect_list("b").alias("b")).scalar()
+    # All rows, summarised; a centre is drawn as often as rows belong to it.
+    centres = summarised_background(background.select(vector(features).alias("_b")), "_b", seed)
+    ends = list(itertools.accumulate(n for _, n in centres))
+    table = F.array(*[F.struct(F.array(*[F.lit(float(x)) for x in c]).alias("b"), F.lit(e).alias("end")) for (c, _), e in zip(centres, ends, strict=True)])
     walks = F.array(*[F.struct(F.lit(i).alias("w"), F.array(*[F.lit(j) for j in o]).alias("order")) for i, o in enumerate(orders)])
-    rows = df.select(*keys, vector(features).alias("_x"), packed.alias("_bg"), F.explode(walks).alias("_walk"))
-    pick = F.pmod(F.xxhash64(*keys, F.col("_walk")["w"]), F.size("_bg")).cast("int")
-    rows = rows.select(*keys, "_x", F.get("_bg", pick).alias("_b"), F.col("_walk")["w"].alias("_w"), F.col("_walk")["order"].alias("_order"))
+    rows = df.select(*keys, vector(features).alias("_x"), F.explode(walks).alias("_walk"))
+    drawn = F.pmod(F.xxhash64(*keys, F.col("_walk")["w"]), F.lit(ends[-1]))
+    pick = F.filter(table, lambda c: c["end"] > drawn)
+    rows = rows.select(*keys, "_x", F.get(pick, F.lit(0))["b"].alias("_b"), F.col("_walk")["w"].alias("_w"), F.col("_walk")["order"].alias("_order"))
     # Place of each feature in the order: feature i is the row's own once its place is passed.
     place = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.array_position(F.col("_order"), i).cast("int"))
     steps = rows.withColumn("_place", place).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(n))))
