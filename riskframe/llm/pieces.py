@@ -335,12 +335,12 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: st
     return docs.withColumn(ids, encoder_column(docs.sparkSession, vocabulary, F.col(text)))
 
 
-def round_trip(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Key, ``ids``, ``n_tokens`` and ``same``: whether decoding gives back the text, spaces for U+2581.
+def round_trip_column(spark: SparkSession, vocabulary: Vocabulary, text: Column) -> Column:
+    """A struct of ``ids`` and ``same``: whether decoding gives back the text, spaces for U+2581.
 
-    Null has null ids, 0 tokens, and comes back the same.  Ids are decoded where they are made, so a text is encoded once.
+    Null has null ids and comes back the same.  Ids are decoded where they are made, so a text is encoded once.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = spark.sparkContext.broadcast(vocabulary)
 
     @F.arrow_udf("ids array<int>, same boolean")
     def both(texts: pa.Array) -> pa.Array:
@@ -349,6 +349,11 @@ def round_trip(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", tex
         same = [t is None or decoder.decode(i.tolist()) == t.replace(MARK, " ") for t, i in zip(strings, ids, strict=True)]
         return pa.StructArray.from_arrays([_lists(ids), pa.array(same, pa.bool_())], ["ids", "same"])
 
-    out = docs.select(F.col(key).alias("_key"), both(F.col(text).cast("string")).alias("_out"))
+    return both(text.cast("string"))
+
+
+def round_trip(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Key, ``ids``, ``n_tokens`` and ``same``, as ``round_trip_column`` has them; null has 0 tokens."""
+    out = docs.select(F.col(key).alias("_key"), round_trip_column(docs.sparkSession, vocabulary, F.col(text)).alias("_out"))
     ids = F.col("_out.ids")
     return out.select(F.col("_key").alias(key), ids.alias("ids"), F.coalesce(F.size(ids), F.lit(0)).cast("long").alias("n_tokens"), "_out.same")
