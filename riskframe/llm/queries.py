@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import ann, exact, katz, langid, mixing, pieces, pii, simhash, tokens, urls
+from riskframe.llm import ann, exact, katz, langid, mixing, periodic, pieces, pii, simhash, tokens, urls
 from riskframe.llm.common import in_fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,9 @@ def op10_katz(spark, folder):
     return out.withColumn("held_out", ~F.col("trained")).select(
         "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
     )
+
+
+@_query
+def op13_periodic_runs(spark, folder):
+    """Runs of every text, one in ten of which gets a periodic tail first."""
+    return periodic.run_digests(periodic.repeated_tails(_table(spark, folder, "documents")))
