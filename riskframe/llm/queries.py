@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import ann, embed_dups, exact, katz, langid, mixing, periodic, pieces, pii, simhash, tokens, urls
+from riskframe.llm import ann, embed_dups, exact, katz, langid, mixing, periodic, pieces, pii, simhash, tokens, urls, whitening
 from riskframe.llm.common import in_fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,6 +93,11 @@ def op11_near_vectors(spark, folder):
     return embed_dups.near_vectors(_table(spark, folder, "embeddings"))
 
 
+@_query
+def op12_whitening(spark, folder):
+    return whitening.whiten(_table(spark, folder, "embeddings"))
+
+
 @_query
 def op13_periodic_runs(spark, folder):
     """Runs of every text, one in ten of which gets a periodic tail first."""
