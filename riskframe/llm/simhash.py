@@ -5,12 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskframe.frames import top_per_key
 from riskframe.llm.common import connected, source_key
 from riskframe.session import durable
 
@@ -21,12 +20,6 @@ BITS = 64
 # Three blocks of bits; two fingerprints within 3 bits differ in 2 bits or fewer outside at least one of them.
 BLOCKS = ((0, 21), (21, 42), (42, 64))
 BATCH_SHINGLES = 1 << 20
-# The pipeline's stage: shingles of five words, and texts that share 4 of 5 of their distinct shingles are near copies.
-# Bands of least values find a pair at 0.8 with 1 - (1 - 0.8**5)**20 = 0.9996.
-STAGE_SHINGLE = 5
-STAGE_BANDS, STAGE_ROWS = 20, 5
-_DRAWN = np.random.default_rng(SEED).integers(0, 1 << 64, (2, STAGE_BANDS * STAGE_ROWS, 1), np.uint64)
-_FACTOR, _SHIFT = _DRAWN[0] | np.uint64(1), _DRAWN[1]
 
 
 def _hashes(text: str, shingle: int, digest) -> list[int]:
@@ -67,29 +60,31 @@ def _long_fingerprint(hashes: list[int]) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def _fingerprints(shingle: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _fingerprints(shingle: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     digest = xxhash.xxh64_intdigest
     for batch in batches:
-        prints = np.zeros(len(batch), np.uint64)
+        prints = np.zeros(batch.num_rows, np.uint64)
         hashes, counts, first = [], [], 0
-        for i, text in enumerate(batch["_text"]):
+        for i, text in enumerate(batch.column(1)):
+            text = text.as_py()
             own = _hashes(text, shingle, digest) if text else []
             if len(own) > BATCH_SHINGLES:
                 prints[i] = _long_fingerprint(own)
                 own = []
             hashes += own
             counts.append(len(own))
-            if len(hashes) > BATCH_SHINGLES or i + 1 == len(batch):
+            if len(hashes) > BATCH_SHINGLES or i + 1 == batch.num_rows:
                 prints[first : i + 1] |= _majorities(hashes, counts)
                 hashes, counts, first = [], [], i + 1
-        yield pd.DataFrame({"_key": batch["_key"], "_print": prints.view(np.int64)})
+        # Keys stay Arrow values: beside a null, pandas would turn longs into floats.
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["_key", "_print"])
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """``(_key, _print)``: the 64-bit SimHash of each whole text, as a signed long.  Null and wordless texts get zero."""
     rows = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"))
     schema = rows.select("_key").schema.add("_print", "long")
-    return rows.mapInPandas(lambda it: _fingerprints(shingle, it), schema)
+    return rows.mapInArrow(lambda it: _fingerprints(shingle, it), schema)
 
 
 def _signed(bits: int) -> Column:
@@ -147,95 +142,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     return found.select(F.col("_key").alias(key), F.lower(F.lpad(F.hex("_print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def linked_by_fingerprint(texts: DataFrame) -> DataFrame:
-    """``(_node, _root)`` for each text ``(_node, _text)``: the least fingerprint that links reach."""
-    own = durable(fingerprints(texts, "_node", "_text").distinct())
-    roots = durable(connected(near_links(own.select("_print").distinct())))
-    found = own.join(roots.withColumnRenamed("node", "_print"), "_print", "left")
-    return found.select(F.col("_key").alias("_node"), F.coalesce("root", "_print").alias("_root"))
+def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """One document of each group of linked fingerprints: the one with the smallest key, all columns unchanged.
 
-
-def _bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Keys of every text's bands: each stands for the least values of its shingles under five functions."""
-    digest = xxhash.xxh64_intdigest
-    for batch in batches:
-        keys = np.zeros((len(batch), STAGE_BANDS), np.uint64)
-        for i, text in enumerate(batch["_text"]):
-            own = np.array(_hashes(text, STAGE_SHINGLE, digest), np.uint64)
-            least = np.full(len(_FACTOR), (1 << 64) - 1, np.uint64)
-            for at in range(0, len(own), 2048):
-                least = np.minimum(least, (own[at : at + 2048] * _FACTOR + _SHIFT).min(axis=1))
-            keys[i] = [digest(least[b * STAGE_ROWS : (b + 1) * STAGE_ROWS].tobytes(), b) for b in range(STAGE_BANDS)]
-        yield pd.DataFrame({"_node": batch["_node"], "_keys": list(keys.view(np.int64))})
-
-
-def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    digest = xxhash.xxh64_intdigest
-    for batch in batches:
-        sets = [np.unique(np.array(_hashes(t, STAGE_SHINGLE, digest), np.uint64)).view(np.int64) for t in batch["_text"]]
-        yield pd.DataFrame({"_node": batch["_node"], "_set": sets})
-
-
-def _in_company(members: DataFrame) -> DataFrame:
-    """Rows of buckets that hold two nodes or more."""
-    full = members.groupBy("_bucket").agg(F.min("_node").alias("a"), F.max("_node").alias("b")).where("a < b")
-    return members.join(durable(full.select("_bucket")), "_bucket")
-
-
-def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` that share at least 4 of 5 of their distinct shingles; two texts without words do."""
-    right = pairs.join(sets.select(F.col("_node").alias("b"), F.col("_set").alias("_y")), "b")
-    both = right.join(sets.select(F.col("_node").alias("a"), F.col("_set").alias("_x")), "a")
-    shared = F.size(F.array_intersect("_x", "_y"))
-    return both.where(5 * shared >= 4 * (F.size("_x") + F.size("_y") - shared)).select("a", "b")
-
-
-def similar_links(texts: DataFrame) -> DataFrame:
-    """Verified pairs ``(a, b)`` of texts ``(_node, _text)`` that share 4 of 5 of their distinct five-word shingles.
-
-    Texts meet in buckets: those of a band, or of fingerprints of five-word shingles that links of 3 bits reach.  Each
-    text of a bucket is compared with the bucket's first; who is not similar meets the first 8 of those left, then 64 and
-    so on until none is left.  So a large group of copies costs one comparison a text, and a small bucket, or one of
-    texts that are not alike, is compared in full.
-    """
-    kept = durable(fingerprints(texts, "_node", "_text", STAGE_SHINGLE).distinct())
-    roots = durable(connected(near_links(kept.select("_print").distinct()))).withColumnRenamed("node", "_print")
-    printed = kept.join(roots, "_print", "left").select(F.coalesce("root", "_print").alias("_bucket"), F.col("_key").alias("_node"))
-    banded = texts.mapInPandas(_bands, "_node long, _keys array<long>").select(F.explode("_keys").alias("_bucket"), "_node")
-    members = durable(_in_company(durable(banded.union(printed).distinct())))
-    asked = durable(members.select("_node").distinct())
-    sets = durable(texts.join(asked, "_node", "left_semi").dropDuplicates(["_node"]).mapInPandas(_sets, "_node long, _set array<long>"))
-    links, firsts = None, 1
-    while links is None or members.take(1):
-        heads = durable(top_per_key(members, ["_bucket"], [F.col("_node")], firsts))
-        met = members.withColumnRenamed("_node", "b").join(heads.withColumnRenamed("_node", "a"), "_bucket").where("a < b")
-        found = durable(_similar(durable(met.select("a", "b").distinct()), sets))
-        links = found if links is None else links.union(found)
-        done = met.join(found, ["a", "b"]).select("_bucket", F.col("b").alias("_node")).union(heads.select("_bucket", "_node")).distinct()
-        members = durable(_in_company(durable(members.join(done, ["_bucket", "_node"], "left_anti"))))
-        firsts *= 8
-    return links
-
-
-def linked_by_shingles(texts: DataFrame) -> DataFrame:
-    """``(_node, _root)`` for each text ``(_node, _text)``: the least node that verified links reach."""
-    roots = durable(connected(similar_links(texts))).withColumnRenamed("node", "_node")
-    return texts.select("_node").distinct().join(roots, "_node", "left").select("_node", F.coalesce("root", "_node").alias("_root"))
-
-
-def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text", groups=linked_by_fingerprint) -> DataFrame:
-    """One document of each group of texts: the one with the smallest key, all columns unchanged.
-
-    The survivor is chosen per group and carries its text's hash, so every group keeps exactly one row, whatever keys
+    The survivor is chosen per group and carries a digest of its text, so every group keeps exactly one row, whatever keys
     are null or shared by different texts.  A null key stays only where a group has no other.
     """
-    content = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    roots = durable(groups(docs.select(F.xxhash64(content).alias("_node"), content.alias("_text"))))
-    rows = docs.select(F.col(key).alias("_key"), F.xxhash64(content).alias("_node")).join(roots, "_node")
-    first = F.min(F.struct(F.col("_key").isNull().alias("_null"), "_key", "_node")).alias("_s")
-    stay = rows.groupBy("_root").agg(first).select("_s.*")
-    stay = durable(stay.select(source_key("_key").alias("_key"), "_node"))
+    digest = F.unhex(F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256))
+    own = docs.select(F.struct(F.col(key).alias("k"), digest.alias("d")).alias("_id"), F.col(text).alias("_text"))
+    own = durable(fingerprints(own, "_id", "_text", shingle))
+    roots = durable(connected(near_links(durable(own.select("_print").distinct())))).withColumnRenamed("node", "_print")
+    # Copies of a text are one candidate before roots are looked up, so a large group of them is no hot key of the join.
+    first = F.min(F.struct(F.col("_key.k").isNull().alias("_null"), F.col("_key.k").alias("_key"), F.col("_key.d").alias("_digest")))
+    best = durable(own.groupBy("_print").agg(first.alias("_s")))
+    grouped = best.join(roots, "_print", "left").groupBy(F.coalesce("root", "_print").alias("_root")).agg(F.min("_s").alias("_s"))
+    stay = durable(grouped.select(source_key("_s._key").alias("_key"), F.col("_s._digest").alias("_digest")))
     # Whole rows travel as one column, so no name of theirs can clash.
-    named = docs.select(source_key(key).alias("_key"), F.xxhash64(content).alias("_node"), F.struct("*").alias("_row"))
-    kept = named.join(stay, ["_key", "_node"], "left_semi")
-    return kept.groupBy("_key", "_node").agg(F.first("_row").alias("_row")).select("_row.*")
+    named = docs.select(source_key(key).alias("_key"), digest.alias("_digest"), F.struct("*").alias("_row"))
+    kept = named.join(stay, ["_key", "_digest"], "left_semi")
+    return kept.groupBy("_key", "_digest").agg(F.first("_row").alias("_row")).select("_row.*")

@@ -2,6 +2,8 @@
 
 import random
 
+import xxhash
+
 from riskframe.llm import simhash
 
 SCHEMA = "doc_id long, text string"
@@ -27,34 +29,43 @@ def test_a_null_key_yields_to_any_other(spark):
     assert [r["doc_id"] for r in kept] == [7]
 
 
-def shingles(text):
-    words = text.lower().split()
-    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
-
-
-def alike(a, b):
-    a, b = shingles(a), shingles(b)
-    return len(a & b) / len(a | b)
-
-
-def test_stage_reaches_similarity_of_four_fifths_and_verifies(spark):
-    """Copies with two changed words per hundred meet; texts below 0.8 stay apart, whatever their fingerprints."""
-    rng, rows, want = random.Random(5), [], set()
-    for g in range(60):
-        own = words(g, 200)
-        copy, far = list(own), list(own)
-        for i in rng.sample(range(200), 4):
-            copy[i] = "changed"
-        for i in range(0, 200, 20):
-            far[i] = f"far{g}"
-        assert alike(" ".join(own), " ".join(copy)) >= 0.8 > alike(" ".join(own), " ".join(far))
-        rows += [(3 * g, " ".join(own)), (3 * g + 1, " ".join(copy)), (3 * g + 2, " ".join(far))]
-        want |= {3 * g, 3 * g + 2}
-    # One group of copies, and a passage that differing texts share.
-    hot = words(1000, 100)
-    rows += [(1000 + i, " ".join([*hot, f"end{i}"])) for i in range(100)]
-    rows += [(2000 + i, " ".join(hot[:30] + words(2000 + i, 30))) for i in range(50)]
-    want |= {1000, *range(2000, 2050)}
-    docs = spark.createDataFrame(rows, SCHEMA)
-    kept = {r["doc_id"] for r in simhash.one_of_each_group(docs, groups=simhash.linked_by_shingles).collect()}
-    assert kept == want
+def bits(text):
+    """The fingerprint by its definition."""
+    own = text.lower().split()
+    parts = [" ".join(own[i : i + 3]) for i in range(max(1, len(own) - 2))] if own else []
+    hashes = [xxhash.xxh64_intdigest(p.encode(), 42) for p in parts]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_stage_keeps_one_of_every_group_of_near_fingerprints(spark):
+    """Long texts with one changed word are within 3 bits or not: the stage follows the bits, in chains too."""
+    rng, rows = random.Random(5), []
+    for g in range(40):
+        own = words(g, 700)
+        for i in range(6):
+            copy = list(own)
+            if i:
+                copy[rng.randrange(700)] = "changed"
+            rows.append((10 * g + i, " ".join(copy)))
+    rows += [(1000 + i, rows[0][1].upper()) for i in range(50)] + [(2000, None), (2001, ""), (2002, " \t")]
+    prints = {k: bits(t or "") for k, t in rows}
+    root = {k: k for k in prints}
+    for a in prints:
+        for b in prints:
+            if (prints[a] ^ prints[b]).bit_count() <= 3:
+                low, high = sorted((root[a], root[b]))
+                root = {k: low if r == high else r for k, r in root.items()}
+    linked = sum(root[10 * g + i] != 10 * g + i for g in range(40) for i in range(6))
+    assert 20 < linked < 200
+    kept = {r["doc_id"] for r in simhash.one_of_each_group(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()}
+    assert kept == set(root.values())
+
+
+def test_keys_beside_a_null_stay_exact(spark):
+    text = " ".join(words(1))
+    rows = [(None, text), (2**60 + 1, text), (2**60 + 3, " ".join(words(2))), (None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    assert {r["_key"] for r in simhash.fingerprints(docs).collect()} == {None, 2**60 + 1, 2**60 + 3}
+    got = {(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(docs).collect()}
+    assert got == {(None, 2**60 + 1), (2**60 + 1, 2**60 + 1), (2**60 + 3, 2**60 + 3), (None, None)}
+    assert {r["doc_id"] for r in simhash.one_of_each_group(docs).collect()} == {2**60 + 1, 2**60 + 3, None}
