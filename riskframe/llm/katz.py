@@ -112,8 +112,8 @@ class _Block:
 def _blocks(buckets: int, block_tokens: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     block, task, done = _Block(), TaskContext.get().partitionId(), 0
     for batch in batches:
-        for key, train, text in zip(batch["_key"].array, batch["_train"], batch["_text"], strict=True):
-            block.add(None if key is pd.NA or key != key else key, train, text)
+        for key, null, train, text in zip(batch["_key"].tolist(), batch["_null"], batch["_train"], batch["_text"], strict=True):
+            block.add(None if null else key, train, text)
             if block.tokens >= block_tokens:
                 yield _rows(list(block.messages(f"{task}-{done}", buckets)))
                 block, done = _Block(), done + 1
@@ -337,7 +337,7 @@ def _score(buckets: int, hot: int, documents: int, words: Words, factors: np.nda
     known = (block.counts > 0)[block.tokens]
     at = block.starts
     return pd.DataFrame({
-        "_key": pd.array(block.keys, "Int64").copy() if not block.null.any() else pd.array(np.where(block.null, None, block.keys), "Int64"),
+        "_key": pd.arrays.IntegerArray(block.keys.copy(), np.array(block.null, bool)),
         "_train": block.train, "n_tokens": block.lengths, "n_known": np.add.reduceat(known.astype(np.int64), at), "train_tokens": words.total,
         "base_score": np.add.reduceat(base, at), "score": np.add.reduceat(logs, at),
     })
@@ -367,7 +367,12 @@ def katz_scores(docs: DataFrame, train: Column, key: str = "doc_id", text: str =
     Counts cover all rows.  The tables lie in the shared folder, partitioned into buckets whose number follows the bytes
     of text; what reaches the driver is sums and counts of counts.
     """
-    rows = docs.select(F.col(key).cast("long").alias("_key"), train.alias("_train"), F.col(text).cast("string").alias("_text"))
+    number = F.col(key).cast("long")
+    # No null among the keys on their way to Python, which would make floats of the others.
+    rows = docs.select(
+        F.coalesce(number, F.lit(0)).alias("_key"), number.isNull().alias("_null"), F.coalesce(train, F.lit(False)).alias("_train"),
+        F.col(text).cast("string").alias("_text"),
+    )
     size = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     buckets = max(1, math.ceil(size / BUCKET_BYTES))
     block_tokens = BLOCK_TOKENS

@@ -98,3 +98,11 @@ def test_nothing_to_learn(spark):
     row = katz.katz_scores(docs, F.lit(False)).first()
     assert (row["n_tokens"], row["n_known"], row["score"]) == (3, 0, 0.0)
     assert katz.katz_scores(docs.limit(0), F.lit(True)).count() == 0
+
+
+def test_keys_beside_a_null_stay_exact(spark):
+    rows = [(2**60 + 1, "a b"), (None, "a b"), (2**60 + 3, "b"), (None, None), (-(2**63), "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = sorted(((r["doc_id"], r["n_tokens"]) for r in katz.katz_scores(docs, F.lit(True)).collect()), key=str)
+    assert got == sorted([(2**60 + 1, 3), (None, 3), (2**60 + 3, 2), (None, 1), (-(2**63), 2)], key=str)
+    assert katz.katz_scores(docs, F.lit(None).cast("boolean")).where("score = 0").count() == 5
