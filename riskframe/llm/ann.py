@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskframe.llm.common import first_by_hash
+from riskframe.llm.common import Shared, first_by_hash
 from riskframe.session import durable
 
 #: Vectors that the partitions are learned on: a bound on the driver's work, not on what is indexed or searched.
@@ -242,7 +242,7 @@ def nearest(vectors: DataFrame, query: Column, k: int = 20, key: str = "vec_id",
     distinct = durable(distinct.groupBy("vector").agg(F.sort_array(F.collect_set("vec_id")).alias("ids")))
 
     drawn = first_by_hash(distinct.select("vector", F.xxhash64("vector").alias("_h")), SAMPLE).orderBy("_h").toPandas()
-    shared = spark.sparkContext.broadcast(learn_router(_matrix(drawn["vector"]), k, parts))
+    shared = Shared(spark, learn_router(_matrix(drawn["vector"]), k, parts))
 
     placed = durable(distinct.mapInPandas(lambda it: _placed(shared, it), "vector array<double>, ids array<long>, part long"))
     routed = rows.where("_query").select(F.col("vec_id").alias("query_id"), "vector").dropDuplicates(["query_id", "vector"])

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pickle
+
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskframe.session import durable
@@ -73,3 +76,26 @@ def _small_star(stars: DataFrame) -> DataFrame:
     return moved.union(least.select("a", F.col("low").alias("b"))).distinct()
 
 
+
+
+class Shared:
+    """A model, broadcast with its class: executors need not have this package.
+
+    Spark pickles what it broadcasts by the name of its class.  Here it gets bytes, in which the class travels by value;
+    a worker unpacks them once and keeps the model, and what is built from it, with the broadcast for its next tasks.
+    """
+
+    def __init__(self, spark: SparkSession, model):
+        self._data = spark.sparkContext.broadcast(cloudpickle.dumps(model))
+
+    @property
+    def value(self):
+        return self.built(None)
+
+    def built(self, kind):
+        """What ``kind`` makes of the model, made once."""
+        kept = self._data.__dict__.setdefault("_kept", {})
+        name = kind and kind.__name__
+        if name not in kept:
+            kept[name] = kind(self.value) if kind else pickle.loads(self._data.value)
+        return kept[name]

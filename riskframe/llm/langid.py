@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskframe.llm.common import Shared
+
 UNKNOWN = "und"
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15
@@ -144,19 +146,20 @@ def _predict(model: LanguageModel, texts: pd.Series) -> pd.DataFrame:
 
 
 def with_language(docs: DataFrame, model: LanguageModel, text: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
-    """All rows and columns of ``docs``, with the language and its score.
+    """All rows and columns of ``docs``, with the language and its score in place of columns of those names.
 
     The score is the posterior probability of the language given, between 0 and 1.  A text that is null, empty or
     without a letter gets ``und`` and score 0, and so does every text where the model knows no language.  Of languages
     with equal probability the first by name is given.
     """
     out = _told(docs, model, text)
-    return out.select("_row.*", F.col("_told.lang").alias(lang), F.col("_told.score").alias(score))
+    kept = [F.col("_row").getField(c).alias(c) for c in docs.columns if c.lower() not in (lang.lower(), score.lower())]
+    return out.select(*kept, F.col("_told.lang").alias(lang), F.col("_told.score").alias(score))
 
 
 def _told(docs: DataFrame, model: LanguageModel, text: str) -> DataFrame:
     """Whole rows as one column, and what the model tells."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(docs.sparkSession, model)
 
     @F.pandas_udf("lang string, score double")
     def told(texts: pd.Series) -> pd.DataFrame:

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskframe.llm.common import Shared
+
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Characters segmented at once; a bound on memory, without effect on results.
@@ -286,19 +288,6 @@ class Decoder:
         return text.removeprefix(" ")
 
 
-_BUILT: dict[tuple, object] = {}
-
-
-def _built(shared, kind):
-    """One encoder or decoder per Python worker."""
-    key = (id(shared.value), kind.__name__)
-    if key not in _BUILT:
-        if len(_BUILT) >= 4:
-            _BUILT.clear()
-        _BUILT[key] = kind(shared.value)
-    return _BUILT[key]
-
-
 def _lists(rows: list[np.ndarray | None]) -> pa.ListArray:
     """Rows of ids as one Arrow array, without a Python number for each id."""
     lengths = np.array([0 if r is None else len(r) for r in rows], np.int64)
@@ -309,22 +298,22 @@ def _lists(rows: list[np.ndarray | None]) -> pa.ListArray:
 
 def encoder_column(spark: SparkSession, vocabulary: Vocabulary, text: Column) -> Column:
     """Ids of a text as an array of integers.  Null gives null, an empty text an empty array."""
-    shared = spark.sparkContext.broadcast(vocabulary)
+    shared = Shared(spark, vocabulary)
 
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
-        return _lists(_built(shared, Encoder).encode_all(texts.to_pylist()))
+        return _lists(shared.built(Encoder).encode_all(texts.to_pylist()))
 
     return encode(text.cast("string"))
 
 
 def decoder_column(spark: SparkSession, vocabulary: Vocabulary, ids: Column) -> Column:
     """The text of an array of ids; null gives null.  Undoes ``encoder_column`` but for U+2581, which returns as a space."""
-    shared = spark.sparkContext.broadcast(vocabulary)
+    shared = Shared(spark, vocabulary)
 
     @F.arrow_udf("string")
     def decode(rows: pa.Array) -> pa.Array:
-        own = _built(shared, Decoder)
+        own = shared.built(Decoder)
         return pa.array([None if not r.is_valid else own.decode(r.as_py()) for r in rows], pa.string())
 
     return decode(ids)
@@ -340,11 +329,11 @@ def round_trip_column(spark: SparkSession, vocabulary: Vocabulary, text: Column)
 
     Null has null ids and comes back the same.  Ids are decoded where they are made, so a text is encoded once.
     """
-    shared = spark.sparkContext.broadcast(vocabulary)
+    shared = Shared(spark, vocabulary)
 
     @F.arrow_udf("ids array<int>, same boolean")
     def both(texts: pa.Array) -> pa.Array:
-        encoder, decoder, strings = _built(shared, Encoder), _built(shared, Decoder), texts.to_pylist()
+        encoder, decoder, strings = shared.built(Encoder), shared.built(Decoder), texts.to_pylist()
         ids = encoder.encode_all(strings)
         same = [t is None or decoder.decode(i.tolist()) == t.replace(MARK, " ") for t, i in zip(strings, ids, strict=True)]
         return pa.StructArray.from_arrays([_lists(ids), pa.array(same, pa.bool_())], ["ids", "same"])

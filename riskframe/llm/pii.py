@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.llm.common import first_by_hash
+from riskframe.llm.common import Shared, first_by_hash
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE = 96, 48
@@ -415,7 +415,7 @@ def personal_data(docs: DataFrame, tagger: Tagger, key: str = "doc_id", text: st
     Counts and digest are those of the base patterns, which the model never changes; it adds plausible spans that
     overlap none of them.  Repeated rows give repeated results.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(tagger)
+    shared = Shared(docs.sparkSession, tagger)
 
     @F.pandas_udf(_RESULT)
     def tagged(texts: pd.Series) -> pd.DataFrame:
@@ -427,7 +427,7 @@ def personal_data(docs: DataFrame, tagger: Tagger, key: str = "doc_id", text: st
 
 def redacted(docs: DataFrame, tagger: Tagger, text: str = "text") -> DataFrame:
     """All rows and columns, every span of personal data replaced by its kind in angle brackets."""
-    shared = docs.sparkSession.sparkContext.broadcast(tagger)
+    shared = Shared(docs.sparkSession, tagger)
 
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:

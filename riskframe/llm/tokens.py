@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskframe.llm.common import Shared
 from riskframe.llm.pieces import Ragged, Vocabulary, best_paths, chunks, slices
 
 
@@ -90,19 +91,12 @@ class Counter:
         return int(self.count_all([text])[0])
 
 
-_BUILT: dict[int, Counter] = {}
-
-
 def token_counts(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Key and ``n_tokens`` of every row: how many ids the encoder gives for the whole text, 0 for null or empty."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = Shared(docs.sparkSession, vocabulary)
 
     @F.pandas_udf("long")
     def counts(texts: pd.Series) -> pd.Series:
-        own = _BUILT.get(id(shared.value))
-        if own is None:
-            _BUILT.clear()
-            own = _BUILT.setdefault(id(shared.value), Counter(shared.value))
-        return pd.Series(own.count_all(texts))
+        return pd.Series(shared.built(Counter).count_all(texts))
 
     return docs.select(F.col(key), counts(F.col(text).cast("string")).alias("n_tokens"))
