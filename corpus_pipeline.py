@@ -28,8 +28,8 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts that share 4 of 5 five-word shingles: the one with the smallest doc_id."""
-    return simhash.one_of_each_group(docs, groups=simhash.linked_by_shingles)
+    """One document of each group whose fingerprints of three-word shingles link within 3 bits: the smallest doc_id."""
+    return simhash.one_of_each_group(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
