@@ -1,81 +1,187 @@
-"""Nearest neighbours without forming all pairs.
+"""Exact nearest neighbours by pivots and the triangle inequality.
 
-Rows are laid along a few random directions; each query row looks at a fixed number
-of base rows on either side along every direction and keeps its ``k`` closest by true
-distance.  Work grows with rows, not with their square.  The result is exact
-whenever a window spans the base, and a row's share of true neighbours grows with
-``window`` and ``directions``.
+Equal vectors are one point, with its lowest keys.  Every point goes to its nearest pivot, and a pivot's cell is cut into
+blocks by distance from the pivot.  A first block gives each query a bound on its ``k``-th distance; after that it visits
+the blocks that its ball can reach and no others:
+
+* a block with distances ``lo`` to ``hi`` from a pivot at distance ``d`` from the query holds nothing nearer than
+  ``lo - d`` or ``d - hi``;
+* no point of another pivot's cell is nearer than the plane halfway between that pivot and the query's own.
+
+Blocks are compared as matrices, so no pair of rows is ever a row.  How many blocks a ball reaches depends on the data:
+few with few dimensions or clear clusters, all of them where distances hardly differ.
 """
 
 from __future__ import annotations
 
-import random
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.frames import top_per_key
 from riskframe.ordered import with_slices
+from riskframe.session import durable
+
+#: Pivots, drawn by hash of the vector: about one for every CELL points, and about MOST_PIVOTS at most; they are broadcast.
+CELL = 256
+MOST_PIVOTS = 1024
+#: Expected points of a block, and queries that one task compares with it.
+BLOCK_POINTS = 4096
+BLOCK_QUERIES = 2048
+#: Bounds give way by this share, so that rounding excludes nothing.
+SLACK = 1e-9
 
-SLICE_ROWS = 500_000
 
+def distance(a: Column, b: Column) -> Column:
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
-def _directions(count: int, size: int, seed: int) -> list[list[float]]:
-    rng = random.Random(seed)
-    return [[rng.gauss(0, 1) for _ in range(size)] for _ in range(count)]
 
+def _matrix(vectors: pd.Series) -> np.ndarray:
+    return np.stack(vectors.to_numpy()).astype(np.float64)
 
-def distance(a, b):
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+
+def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T), 0)
+
+
+def _lengths(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of rows, summed in order as Spark does."""
+    apart = a - b
+    return np.sqrt(np.cumsum(apart * apart, axis=1)[:, -1])
+
+
+def _placed(pivots: np.ndarray, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        if len(batch):
+            points = _matrix(batch["_v"])
+            cell = _squared(points, pivots).argmin(axis=1)
+            yield batch.assign(_pivot=cell.astype(np.int32), _d=_lengths(points, pivots[cell]))
+
+
+def _bounded(pivots: np.ndarray, radius: np.ndarray, keys: np.ndarray, k: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The cell of each query, and a distance within which there are ``k`` keys: whole cells, by their far ends."""
+    for batch in batches:
+        if len(batch):
+            points = _matrix(batch["_v"])
+            apart = np.sqrt(_squared(points, pivots))
+            cell = apart.argmin(axis=1)
+            far = np.where(keys > 0, apart + radius, np.inf)
+            order = np.argsort(far, axis=1)
+            enough = np.cumsum(keys[order], axis=1) >= k
+            last = np.where(enough.any(axis=1), enough.argmax(axis=1), 0)
+            bound = np.where(enough.any(axis=1), far[np.arange(len(far)), order[np.arange(len(far)), last]], np.inf)
+            yield pd.DataFrame({"_q": batch["_q"], "_pivot": cell.astype(np.int32), "_d": _lengths(points, pivots[cell]), "_bound": bound * (1 + SLACK)})
 
 
-def nearest(
-    queries: DataFrame,
-    base: DataFrame,
-    key: str,
-    vector: str,
-    k: int,
-    window: int = 25,
-    directions: int = 3,
-    size: int | None = None,
-    seed: int = 42,
-) -> DataFrame:
-    """(key, neighbour, neighbour_vector, distance): up to ``k`` base rows per query row.
-
-    A row is never its own neighbour.  Ties go to the lower key.
+def _reached(pivots: np.ndarray, radius: np.ndarray, keys: np.ndarray, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Cells that the ball of each query reaches, with the distance of their pivots."""
+    between = np.sqrt(_squared(pivots, pivots))
+    for batch in batches:
+        if not len(batch):
+            continue
+        points, bound = _matrix(batch["_v"]), batch["_bound"].to_numpy()[:, None]
+        apart = np.sqrt(_squared(points, pivots))
+        own = apart.argmin(axis=1)
+        nearest = apart[np.arange(len(own)), own][:, None]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            plane = np.nan_to_num((apart**2 - nearest**2) / (2 * between[own]), nan=0.0, posinf=0.0)
+        ease = SLACK * (1 + apart + np.abs(pivots).max(initial=0))
+        reached = (keys > 0) & (apart - radius <= bound + ease) & (plane <= bound + ease)
+        query, pivot = np.nonzero(reached)
+        yield pd.DataFrame({
+            "_q": batch["_q"].to_numpy()[query], "_pivot": pivot.astype(np.int32), "_d": apart[query, pivot], "_bound": bound[query, 0] + ease[query, pivot],
+        })
+
+
+def _best(k: int, queries: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
+    """The ``k`` nearest keys of each query within one block, ties to the lower key."""
+    out = {"_q": [], "_distance": [], "_neighbour": []}
+    if len(queries) and len(points):
+        found, asked, keys = _matrix(points["_v"]), _matrix(queries["_v"]), points["_keys"].to_numpy()
+        counts = np.array([len(x) for x in keys])
+        size = (found * found).sum(1).max()
+        for i in range(0, len(asked), 256):
+            rough = _squared(asked[i : i + 256], found)
+            # The points that surely hold the k nearest keys: one key each is enough to say so.
+            take = min(k, rough.shape[1]) - 1
+            cut = np.partition(rough, take, axis=1)[:, take]
+            cut = cut + 1e-12 * (size + (asked[i : i + 256] ** 2).sum(1)) + SLACK * cut
+            for row in range(len(rough)):
+                near = np.flatnonzero(rough[row] <= cut[row])
+                lengths = np.repeat(_lengths(found[near], asked[i + row]), counts[near])
+                names = np.concatenate([keys[j] for j in near])
+                # Text is ranked first: arrays of objects cannot be sorted by two columns.
+                order = np.lexsort((np.unique(names, return_inverse=True)[1] if names.dtype == object else names, lengths))[:k]
+                out["_q"].append(np.full(len(order), queries["_q"].iat[i + row]))
+                out["_distance"].append(lengths[order])
+                out["_neighbour"].append(names[order])
+    return pd.DataFrame({c: np.concatenate(v) if v else np.zeros(0, object) for c, v in out.items()})
+
+
+def _searched(wanted: DataFrame, asked: DataFrame, placed: DataFrame, k: int, kind: str) -> DataFrame:
+    """``(_q, _distance, _neighbour)``: the best of every query in every block that it wants; queries come in chunks."""
+    block = ["_pivot", "_slice"]
+    chunks = durable(wanted.groupBy(*block).agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).alias("_chunks")))
+    left = wanted.join(chunks, block).withColumn("_chunk", F.pmod(F.xxhash64("_q"), F.col("_chunks"))).join(asked, "_q")
+    right = placed.join(chunks, block).withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_chunks") - 1)))
+    by = [*block, "_chunk"]
+    left, right = left.select(*by, "_q", "_v").groupBy(*by), right.select(*by, "_v", "_keys").groupBy(*by)
+    found = left.cogroup(right).applyInPandas(lambda a, b: _best(k, a, b), f"_q long, _distance double, _neighbour {kind}")
+    return durable(found)
+
+
+def nearest(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int) -> DataFrame:
+    """``(key, neighbour, distance)``: the ``k`` nearest base rows of every query row, all of them where there are fewer.
+
+    Exact at every size.  A row is never its own neighbour, and ties go to the lower key.  Keys are unique and not null;
+    vectors have one width and finite entries.  Rows without a vector neither ask nor answer.
     """
-    both = queries.select(key, F.col(vector).alias("_v"), F.lit(True).alias("_ask"), F.lit(False).alias("_is_base"))
-    both = both.unionByName(base.select(key, F.col(vector).alias("_v"), F.lit(False).alias("_ask"), F.lit(True).alias("_is_base")))
-    merged = both.groupBy(key).agg(F.first("_v").alias("_v"), F.max("_ask").alias("_ask"), F.max("_is_base").alias("_is_base"))
-    size = size or merged.select(F.size("_v")).first()[0]
-    candidates = None
-    for d, axis in enumerate(_directions(directions, size, seed)):
-        spot = F.aggregate(
-            F.zip_with("_v", F.array(*[F.lit(x) for x in axis]), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x
-        )
-        # The key breaks ties, so equal rows are sliced like any others.
-        laid = merged.withColumn("_p", F.struct(spot.alias("p"), F.col(key).alias("k")))
-        sliced = with_slices(laid.withColumn("_all", F.lit(0)), ["_all"], "_p", SLICE_ROWS)
-        order = Window.partitionBy("_slice").orderBy("_p")
-        back = Window.partitionBy("_slice").orderBy(F.desc("_p"))
-        upto = (Window.unboundedPreceding, Window.currentRow)
-        # Each base row lists its base neighbours on the line; a query row reads the
-        # list of the base row before it, or after it at a slice's start.
-        around = Window.partitionBy("_slice").orderBy("_p").rowsBetween(-window, window)
-        lists = sliced.where("_is_base").select(
-            "_slice", "_p", F.collect_list(F.struct(F.col(key).alias("key"), F.col("_v").alias("v"))).over(around).alias("_list")
-        )
-        placed = sliced.join(lists, ["_slice", "_p"], "left")
-        near = F.coalesce(
-            F.last("_list", True).over(order.rowsBetween(*upto)), F.last("_list", True).over(back.rowsBetween(*upto))
-        )
-        listed = placed.withColumn("_near", near).where("_ask")
-        part = listed.select(F.col(key), "_v", F.explode("_near").alias("_n")).where(F.col("_n")["key"] != F.col(key))
-        part = part.select(
-            key, F.col("_n")["key"].alias("neighbour"), F.col("_n")["v"].alias("neighbour_vector"),
-            distance(F.col("_v"), F.col("_n")["v"]).alias("distance"),
-        )
-        part = top_per_key(part, [key], [F.col("distance"), F.col("neighbour")], k)
-        candidates = part if candidates is None else candidates.unionByName(part)
-    unique = candidates.dropDuplicates([key, "neighbour"])
-    return top_per_key(unique, [key], [F.col("distance"), F.col("neighbour")], k)
+    spark, kind = queries.sparkSession, dict(base.dtypes)[key]
+    values = F.col(vector).cast("array<double>")
+    rows = base.select(F.col(key).alias("_k"), values.alias("_v")).where("_k IS NOT NULL AND _v IS NOT NULL")
+    # A query leaves out its own key, so one more is looked for; of equal vectors no more keys than that can be among the nearest.
+    k += 1
+    lowest = top_per_key(rows, ["_v"], [F.col("_k")], k)
+    points = durable(lowest.groupBy("_v").agg(F.sort_array(F.collect_list("_k")).alias("_keys")))
+    asking = queries.select(F.col(key).alias("_key"), values.alias("_v")).where("_v IS NOT NULL")
+    many = points.count()
+    if not many:
+        return asking.where("false").select(F.col("_key").alias(key), F.lit(None).cast(kind).alias("neighbour"), F.lit(0.0).alias("distance"))
+    every = max(CELL, many // MOST_PIVOTS)
+    drawn = points.where(F.pmod(F.xxhash64("_v"), F.lit(every)) == 0).select("_v").orderBy("_v").collect() or points.select("_v").orderBy("_v").take(1)
+    pivots = spark.sparkContext.broadcast(np.array([r["_v"] for r in drawn], np.float64))
+
+    placed = points.mapInPandas(lambda it: _placed(pivots.value, it), f"_v array<double>, _keys array<{kind}>, _pivot int, _d double")
+    placed = placed.withColumn("_at", F.struct("_d", F.xxhash64("_v").alias("h")))
+    placed = durable(with_slices(durable(placed), ["_pivot"], "_at", BLOCK_POINTS).drop("_at"))
+    blocks = durable(placed.groupBy("_pivot", "_slice").agg(F.min("_d").alias("_lo"), F.max("_d").alias("_hi"), F.sum(F.size("_keys")).alias("_n")))
+    radius, keys = np.zeros(len(drawn)), np.zeros(len(drawn), np.int64)
+    for r in blocks.groupBy("_pivot").agg(F.max("_hi").alias("r"), F.sum("_n").alias("n")).collect():
+        radius[r["_pivot"]], keys[r["_pivot"]] = r["r"], r["n"]
+
+    # Numbers of queries are fixed once the table is written.
+    asked = durable(asking.select("_v").distinct().withColumn("_q", F.monotonically_increasing_id()))
+    route = "_q long, _pivot int, _d double, _bound double"
+    started = durable(asked.mapInPandas(lambda it: _bounded(pivots.value, radius, keys, k, it), route))
+    gap = F.greatest(F.col("_lo") - F.col("_d"), F.col("_d") - F.col("_hi"), F.lit(0.0))
+    first = started.join(blocks, "_pivot").groupBy("_q", "_pivot").agg(F.min(F.struct(gap.alias("g"), "_slice")).alias("_s"))
+    first = durable(first.select("_q", "_pivot", F.col("_s._slice").alias("_slice")))
+    begun = _searched(first, asked, placed, k, kind)
+
+    kth = begun.groupBy("_q").agg(F.count(F.lit(1)).alias("_n"), F.max("_distance").alias("_far"))
+    bound = F.when(F.col("_n") >= k, F.least("_bound", F.col("_far") * (1 + SLACK))).otherwise(F.col("_bound"))
+    tight = started.join(kth, "_q", "left").select("_q", bound.alias("_bound")).join(asked, "_q")
+    cells = tight.mapInPandas(lambda it: _reached(pivots.value, radius, keys, it), route)
+    ring = (F.col("_lo") - F.col("_d") <= F.col("_bound")) & (F.col("_d") - F.col("_hi") <= F.col("_bound"))
+    more = cells.join(blocks, "_pivot").where(ring).select("_q", "_pivot", "_slice").join(first, ["_q", "_pivot", "_slice"], "left_anti")
+    found = begun.unionByName(_searched(durable(more), asked, placed, k, kind))
+
+    best = top_per_key(found, ["_q"], [F.col("_distance"), F.col("_neighbour")], k)
+    best = best.groupBy("_q").agg(F.sort_array(F.collect_list(F.struct("_distance", "_neighbour"))).alias("_best"))
+    answers = durable(best.join(asked, "_q").select("_v", "_best"))
+    others = F.slice(F.filter("_best", lambda x: x["_neighbour"] != F.col("_key")), 1, k - 1)
+    listed = asking.join(answers, "_v").select("_key", F.explode(others).alias("_n"))
+    return listed.select(F.col("_key").alias(key), F.col("_n._neighbour").alias("neighbour"), F.col("_n._distance").alias("distance"))

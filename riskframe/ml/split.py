@@ -96,6 +96,7 @@ def oversample(df: DataFrame, key: str, target: str, vector: str, share: float =
     copies = F.lit(each) + F.col("_extra").cast("int")
     seeds = picked.where(copies > 0).select(key, F.col(vector).alias("_v"), F.explode(F.sequence(F.lit(1), copies)).alias("_i"))
     found = nearest(small, small, key, vector, k)
+    found = found.join(small.select(F.col(key).alias("neighbour"), F.col(vector).alias("neighbour_vector")), "neighbour")
     near = found.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("distance", "neighbour", "neighbour_vector"))).alias("_near"))
     made = seeds.join(near, key)
     choice = F.floor(hash_unit(key, "_i", F.lit(f"pick{seed}")) * F.size("_near")).cast("int")

@@ -34,14 +34,62 @@ def vectors(t, minority=0.03):
     return t.embeddings.select("vec_id", rare.alias("target"), e.alias("v"))
 
 
-@register("minority_oversampling")
+def _unit(*parts):
+    """The share of 1 that ``hash_unit`` gives, in SQL."""
+    return f"(('0x' || substr(md5(concat_ws(':', {', '.join(parts)})), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
+
+
+_VECTORS = f"""
+    e AS (SELECT vec_id, CASE WHEN label = 0 AND {_unit('vec_id', "'rare'")} < 0.3 THEN 1 ELSE 0 END AS target,
+          list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)"""
+
+
+def _near(asking, answering, k):
+    """The ``k`` nearest of every row, by comparing it with all."""
+    return f"""
+    SELECT a.vec_id, b.vec_id AS neighbour, b.target, b.v, d, row_number() OVER (PARTITION BY a.vec_id ORDER BY d, b.vec_id) AS place
+    FROM {asking} a JOIN {answering} b ON a.vec_id <> b.vec_id, LATERAL (SELECT list_distance(a.v, b.v) AS d) QUALIFY place <= {k}"""
+
+
+@register(
+    "minority_oversampling",
+    f"""
+    WITH {_VECTORS},
+    c AS (SELECT sum(target) AS have, count(*) - sum(target) AS majority FROM e),
+    w AS (SELECT have, ceil(round(0.05 * majority * 1e6) / 1e6)::BIGINT - have AS needed FROM c WHERE have <= 0.05 * (have + majority)),
+    m AS (SELECT * FROM e WHERE target = 1),
+    s AS (SELECT m.*, needed // have + (row_number() OVER (ORDER BY {_unit('vec_id', "'extra42'")}, vec_id) <= needed % have)::INT AS copies FROM m, w WHERE needed > 0),
+    i AS (SELECT vec_id, v, unnest(range(1, copies::BIGINT + 1)) AS i FROM s),
+    n AS ({_near('m', 'm', 'least(5, (SELECT have - 1 FROM c))')}),
+    k AS (SELECT vec_id, count(*) AS near FROM n GROUP BY vec_id),
+    made AS (
+        SELECT 'synthetic:' || i.vec_id || ':' || i AS vec_id, i.v AS a, n.v AS b, {_unit('i.vec_id', 'i', "'gap42'")} AS gap
+        FROM i JOIN k ON k.vec_id = i.vec_id JOIN n ON n.vec_id = i.vec_id AND n.place = 1 + floor({_unit('i.vec_id', 'i', "'pick42'")} * near)
+    )
+    SELECT vec_id::VARCHAR AS vec_id, target, false AS synthetic, unnest(range(64)) AS place, round(unnest(v), 6) AS number FROM e
+    UNION ALL
+    SELECT vec_id, 1, true, unnest(range(64)), round(unnest(list_transform(list_zip(a, b), lambda p: p[1] + (p[2] - p[1]) * gap)), 6) FROM made
+    """,
+)
 def minority_oversampling(t):
-    return split.oversample(vectors(t), "vec_id", "target", "v")
+    """One row for each number of every vector, made ones too."""
+    out = split.oversample(vectors(t), "vec_id", "target", "v")
+    out = out.select("vec_id", "target", "synthetic", F.posexplode("v").alias("place", "number"))
+    return out.withColumns({"place": F.col("place").cast("long"), "number": F.round("number", 6)})
 
 
-@register("neighbour_clean_up")
+@register(
+    "neighbour_clean_up",
+    f"""
+    WITH {_VECTORS},
+    n AS ({_near('e', 'e', 3)}),
+    j AS (SELECT vec_id, min(target) AS lo, max(target) AS hi FROM n GROUP BY vec_id)
+    SELECT e.vec_id, e.target FROM e LEFT JOIN j ON j.vec_id = e.vec_id WHERE lo IS NULL OR (lo = e.target AND hi = e.target)
+    """,
+)
 def neighbour_clean_up(t):
-    return split.clean_by_neighbours(vectors(t), "vec_id", "target", "v")
+    """Rows that stay; their vectors are unchanged."""
+    return split.clean_by_neighbours(vectors(t), "vec_id", "target", "v").select("vec_id", "target")
 
 
 def training_rows(t):

@@ -114,13 +114,25 @@ def date_median_imputation(t):
     return impute.impute_dates(rows, ["d"]).select("o_orderkey", F.unix_micros("d").alias("micros"))
 
 
-@register("knn_imputation")
+@register(
+    "knn_imputation",
+    """
+    WITH r AS (SELECT p_partkey, p_size::DOUBLE AS p_size, CASE WHEN p_partkey % 10 <> 0 THEN p_retailprice END AS y FROM part),
+    n AS (
+        SELECT g.p_partkey, b.y, row_number() OVER (PARTITION BY g.p_partkey ORDER BY abs(g.p_size - b.p_size), b.p_partkey) AS place
+        FROM r g JOIN r b ON b.y IS NOT NULL WHERE g.y IS NULL
+    ),
+    f AS (SELECT p_partkey, avg(y) AS fill FROM n WHERE place <= 5 GROUP BY p_partkey)
+    SELECT r.p_partkey, r.p_size, round(coalesce(r.y, f.fill)::DOUBLE, 6) AS p_retailprice FROM r LEFT JOIN f ON f.p_partkey = r.p_partkey
+    """,
+)
 def knn_imputation(t):
     rows = t.part.select(
         "p_partkey", F.col("p_size").cast("double").alias("p_size"),
         F.when(F.col("p_partkey") % 10 != 0, F.col("p_retailprice")).alias("p_retailprice"),
     )
-    return impute.knn_impute(rows, "p_partkey", "p_retailprice", ["p_size"], 5)
+    out = impute.knn_impute(rows, "p_partkey", "p_retailprice", ["p_size"], 5)
+    return out.withColumn("p_retailprice", F.round("p_retailprice", 6))
 
 
 _SCALE = "(SELECT quantile_cont(o_totalprice, 0.5) AS m, quantile_cont(o_totalprice, 0.75) - quantile_cont(o_totalprice, 0.25) AS s FROM orders)"

@@ -65,12 +65,12 @@ def impute_dates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return rows.select(*[filled(c) if c in columns else F.col(f"`{c}`") for c in df.columns])
 
 
-def knn_impute(df: DataFrame, key: str, target: str, features: Sequence[str], k: int = 5, window: int = 25) -> DataFrame:
-    """Missing values of one column become the mean of their ``k`` nearest complete rows."""
+def knn_impute(df: DataFrame, key: str, target: str, features: Sequence[str], k: int = 5) -> DataFrame:
+    """Missing values of one column become the mean of their ``k`` nearest complete rows; ties go to the lower key."""
     vector = F.array(*[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) for c in features])
     rows = df.select(F.col(key), vector.alias("_v"), F.col(f"`{target}`").cast("double").alias("_y"))
     known, gaps = rows.where(F.col("_y").isNotNull()), rows.where(F.col("_y").isNull())
-    found = nearest(gaps, known, key, "_v", k, window)
+    found = nearest(gaps, known, key, "_v", k)
     values = known.select(F.col(key).alias("neighbour"), "_y")
     means = found.join(values, "neighbour").groupBy(key).agg(F.avg("_y").alias("_fill"))
     out = df.join(means, key, "left")

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from riskframe.ml.neighbours import nearest
+from riskframe.ml import neighbours
 from riskframe.operators import matching, similarity
 
 
@@ -125,15 +125,58 @@ def test_closest_words(spark):
     assert got == {"invoce": ("invoice", 1), "paymnet": ("payment", 2), "vndr": ("vendor", 2), "ordder": ("order", 1), "a": ("an", 1), "xyzzyx": ("an", 6)}
 
 
-def test_nearest_is_exact_within_its_window(spark):
-    rng = np.random.default_rng(0)
-    v = rng.normal(size=(60, 3))
-    df = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "id long, v array<double>")
-    got = nearest(df, df, "id", "v", 4, window=60).toPandas()
-    d = np.linalg.norm(v[:, None] - v[None], axis=2)
-    np.fill_diagonal(d, np.inf)
-    for i, part in got.groupby("id"):
-        assert set(part.neighbour) == set(np.argsort(d[i])[:4])
+def all_distances(queries, base, k):
+    """The ``k`` nearest of every query by comparing it with every row, ties to the lower key."""
+    out = {}
+    for q, v in queries:
+        near = sorted((sum((x - y) ** 2 for x, y in zip(v, w)) ** 0.5, b) for b, w in base if b != q)[:k]
+        out[q] = [(b, d) for d, b in near]
+    return out
+
+
+def listed(frame, key="id"):
+    out = {}
+    for r in frame.collect():
+        out.setdefault(r[key], []).append((r["neighbour"], r["distance"]))
+    return {q: sorted(v, key=lambda p: (p[1], p[0])) for q, v in out.items()}
+
+
+@pytest.mark.parametrize("cell, block", [(256, 4096), (10, 8)])
+@pytest.mark.parametrize("width, levels", [(1, 9), (2, 4), (6, 1000)])
+def test_nearest_is_exact(spark, monkeypatch, cell, block, width, levels):
+    """Many cells and blocks or one of each; ties, repeated vectors, keys beyond 2^53, and a far cluster."""
+    for name, value in (("CELL", cell), ("BLOCK_POINTS", block), ("BLOCK_QUERIES", block)):
+        monkeypatch.setattr(neighbours, name, value)
+    rng = np.random.default_rng(width)
+    rows = [(2**60 + int(i), [float(x) for x in rng.integers(0, levels, width)]) for i in rng.permutation(150)]
+    rows += [(int(i), [1e6 + float(x) for x in rng.integers(0, levels, width)]) for i in range(40)]
+    asked = rows[::3] + [(-5, [500.0] * width), (-6, list(rows[0][1]))]
+    schema = "id long, v array<double>"
+    base, queries = spark.createDataFrame(rows, schema).repartition(3), spark.createDataFrame(asked, schema)
+    assert listed(neighbours.nearest(queries, base, "id", "v", 4)) == all_distances(asked, rows, 4)
+
+
+def test_nearest_few_rows_text_keys_and_none(spark):
+    rows = [("b", [0.0]), ("a", [0.0]), ("é", [0.0]), ("c", [1.0]), ("d", None)]
+    df = spark.createDataFrame(rows, "id string, v array<double>")
+    got = listed(neighbours.nearest(df, df, "id", "v", 2))
+    assert got == all_distances(rows[:4], rows[:4], 2) and len(listed(neighbours.nearest(df, df, "id", "v", 9))["a"]) == 3
+    assert neighbours.nearest(df, df.where("false"), "id", "v", 2).collect() == []
+    assert neighbours.nearest(df.where("false"), df, "id", "v", 2).collect() == []
+
+
+def test_nearest_finds_all_true_neighbours_of_whole_embeddings(spark, monkeypatch):
+    """2000 vectors of 64 numbers, in cells and in blocks: recall 1."""
+    monkeypatch.setattr(neighbours, "BLOCK_POINTS", 200)
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    rows = df.toPandas()
+    points, ids = np.stack(rows["embedding"]).astype(float), rows["vec_id"].to_numpy()
+    got = listed(neighbours.nearest(df, df, "vec_id", "embedding", 3), "vec_id")
+    assert len(got) == len(ids)
+    for i in range(len(ids)):
+        d = np.sqrt(((points - points[i]) ** 2).sum(axis=1))
+        d[i] = np.inf
+        assert {n for n, _ in got[ids[i]]} == set(ids[np.argsort(d)[:3]].tolist())
 
 
 def test_prefix_filter_misses_nothing(spark):
