@@ -3,17 +3,24 @@
 Lines carry ``item_id, item_description, item_amount, item_quantity``; purchase
 orders are keyed by ``po_id``, invoices by ``invoice_id, po_id``.  Every pair of an
 order is scored, in a join that adaptive execution splits where an order is large.
-The match repeats one step on all orders at once: pairs that are the best open pair
-of both their lines are taken, and the pairs of taken lines go.  Under a strict
-order of pairs that is the greedy match, whatever the size of an order.
+The match works on classes of equal lines: lines of one class have the same
+difference to every other line, so they are taken in order of their ids and only
+classes are paired.  One step is repeated on all orders at once: two classes whose
+first open lines are each other's best are matched line by line, as far as no other
+class has as good a line with a lower id.  Under a strict order of pairs that is the
+greedy match.  Steps do not grow with the number of equal lines.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskframe.frames import top_per_key
 from riskframe.operators.similarity import fuzzy_ratio
+from riskframe.ordered import running_totals
 from riskframe.session import durable
 
 # Weights of the amount, quantity and description differences.
@@ -75,28 +82,78 @@ def scored_pairs(invoices: DataFrame, orders: DataFrame) -> DataFrame:
     return _scored(i.join(o, "po_id"))
 
 
+def _ranked(lines: DataFrame, key: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Lines with their class (all but the id, as text) and rank in it, and the classes with size, content and first id."""
+    content = F.to_json(F.struct(*_LINE[1:]))
+    named = lines.select(*key, content.alias("class"), "item_id", F.lit(1).alias("one"))
+    ranked = durable(running_totals(named, [*key, "class"], "item_id", {"rank": "one"}).drop("one"))
+    first = [F.first(c).alias(c) for c in _LINE[1:]]
+    classes = lines.withColumn("class", content).groupBy(*key, "class").agg(F.count(F.lit(1)).alias("size"), F.min("item_id").alias("head"), *first)
+    return ranked, durable(classes)
+
+
 def two_way_match(invoices: DataFrame, orders: DataFrame) -> DataFrame:
     """Greedy one-to-one match of invoice lines and order lines.
 
-    Ascending difference; ties by invoice line, then order line.
+    Ascending difference; ties by invoice line, then order line.  Line ids are unique
+    in an invoice and in an order.
     """
     key = ["invoice_id", "po_id"]
-    pairs = scored_pairs(invoices, orders).select(*key, "item_id_invoice", "item_id_po", "weighted_diff")
-    pairs, found = durable(pairs), None
+    lines_a, classes_a = _ranked(invoices, key)
+    lines_b, classes_b = _ranked(orders, ["po_id"])
+    pairs = scored_pairs(*[c.withColumn("item_id", F.col("class")) for c in (classes_a, classes_b)])
+    pairs = pairs.select(*key, F.col("item_id_invoice").alias("a"), F.col("item_id_po").alias("b"), F.col("weighted_diff").alias("w"))
+    state = [F.lit(0).cast("long").alias("used"), "size", "head"]
+    for side, classes, by in (("a", classes_a, key), ("b", classes_b, ["po_id"])):
+        own = classes.select(*by, F.col("class").alias(side), F.struct(*state).alias(f"{side}_at"))
+        pairs = pairs.join(own, [*by, side])
+    pairs, taken = durable(pairs), None
     while True:
-        best = durable(_mutual_best(pairs))
-        found = best if found is None else found.unionByName(best)
-        if best.isEmpty():
-            return found
-        pairs = pairs.join(best.select(*key, "item_id_invoice"), [*key, "item_id_invoice"], "left_anti")
-        pairs = durable(pairs.join(best.select(*key, "item_id_po"), [*key, "item_id_po"], "left_anti"))
-
-
-def _mutual_best(pairs: DataFrame) -> DataFrame:
-    """Pairs that are the best open pair of both their lines."""
-    key = ["invoice_id", "po_id"]
-    order = F.struct("weighted_diff", "item_id_invoice", "item_id_po")
-    a = pairs.groupBy(*key, "item_id_invoice").agg(F.min(order).alias("_o")).select(*key, "_o")
-    b = pairs.groupBy(*key, "item_id_po").agg(F.min(order).alias("_o")).select(*key, "_o")
-    both = a.join(b, [*key, "_o"])
-    return both.select(*key, "_o.item_id_invoice", "_o.item_id_po", "_o.weighted_diff")
+        matched = durable(_matched(pairs, lines_a, lines_b))
+        taken = matched if taken is None else taken.unionByName(matched)
+        if matched.isEmpty():
+            break
+        pairs = durable(_left_open(pairs, matched, lines_a, lines_b))
+    own = taken.select(*key, F.col("a").alias("class"), "b", "w", "n", F.col("a_at.used").alias("from_a"), F.col("b_at.used").alias("from_b"))
+    found = own.join(lines_a, [*key, "class"]).where("rank > from_a AND rank <= from_a + n")
+    found = found.select(*key, F.col("b").alias("class"), F.col("item_id").alias("item_id_invoice"), "w", (F.col("rank") - F.col("from_a") + F.col("from_b")).alias("rank"))
+    found = found.join(lines_b, ["po_id", "class", "rank"])
+    return found.select(*key, "item_id_invoice", F.col("item_id").alias("item_id_po"), F.col("w").alias("weighted_diff"))
+
+
+def _best_two(pairs: DataFrame, side: str, other: str) -> DataFrame:
+    """The best open pair of each class, and the first line of another class that is as good (null if none)."""
+    key = ["invoice_id", "po_id", side]
+    order = [F.col("w"), F.col(f"{other}_at.head"), F.col(other)]
+    two = top_per_key(pairs, key, order, 2)
+    listed = F.sort_array(F.collect_list(F.struct(F.col("w"), F.col(f"{other}_at.head").alias("head"), F.col(other).alias("class"))))
+    two = two.groupBy(*key).agg(listed.alias("_two"))
+    rival = F.when(F.get("_two", F.lit(1))["w"] == F.get("_two", F.lit(0))["w"], F.get("_two", F.lit(1))["head"])
+    return two.select(*key, F.get("_two", F.lit(0))["class"].alias(other), rival.alias(f"{other}_rival"))
+
+
+def _matched(pairs: DataFrame, lines_a: DataFrame, lines_b: DataFrame) -> DataFrame:
+    """Pairs of classes that are each other's best, with the number ``n`` of lines that can be matched at once."""
+    key = ["invoice_id", "po_id", "a", "b"]
+    best = pairs.join(_best_two(pairs, "a", "b"), key).join(_best_two(pairs, "b", "a"), key)
+    best = durable(best)
+    for side, lines, by in (("a", lines_a, ["invoice_id", "po_id"]), ("b", lines_b, ["po_id"])):
+        # Lines of the class before the rival's first one.
+        own = lines.withColumnRenamed("class", side)
+        early = best.where(F.col(f"{side}_rival").isNotNull()).join(own, [*by, side]).where(F.col("item_id") < F.col(f"{side}_rival"))
+        best = best.join(early.groupBy(*key).agg(F.max("rank").alias(f"{side}_early")), key, "left")
+    left = [F.col(f"{s}_at.size") - F.col(f"{s}_at.used") for s in "ab"]
+    early = [F.when(F.col(f"{s}_rival").isNotNull(), F.coalesce(f"{s}_early", F.lit(0)) - F.col(f"{s}_at.used")) for s in "ab"]
+    return best.select(*key, "w", "a_at", "b_at", F.least(*left, *early).alias("n"))
+
+
+def _left_open(pairs: DataFrame, matched: DataFrame, lines_a: DataFrame, lines_b: DataFrame) -> DataFrame:
+    """Pairs whose classes both have lines left, with the classes' new first lines."""
+    for side, lines, by in (("a", lines_a, ["invoice_id", "po_id"]), ("b", lines_b, ["po_id"])):
+        now = matched.select("invoice_id", "po_id", side, f"{side}_at", (F.col(f"{side}_at.used") + F.col("n")).alias("_used"))
+        heads = lines.select(*by, F.col("class").alias(side), (F.col("rank") - 1).alias("_used"), F.col("item_id").alias("_head"))
+        now = now.join(heads, [*by, side, "_used"], "left")
+        new = F.struct(F.col("_used").alias("used"), F.col(f"{side}_at.size").alias("size"), F.col("_head").alias("head"))
+        now = durable(now.select("invoice_id", "po_id", side, new.alias("_now")))
+        pairs = pairs.join(now, ["invoice_id", "po_id", side], "left").withColumn(f"{side}_at", F.coalesce("_now", f"{side}_at")).drop("_now")
+    return pairs.where("a_at.used < a_at.size AND b_at.used < b_at.size")

@@ -303,7 +303,24 @@ def two_way_scores(t):
     return out.withColumn("description_diff", F.col("description_diff").cast("long"))
 
 
-@register("two_way_match")
+@register(
+    "two_way_match",
+    f"""
+    WITH RECURSIVE {MATCH_SQL},
+    s AS (SELECT *, round(round(abs(amount_diff) * 100) * 0.25::DOUBLE + round(abs(quantity_diff) * 100) * 0.25::DOUBLE + abs(description_diff) * 50.0::DOUBLE) / 100 AS w FROM x),
+    r AS (SELECT *, row_number() OVER (PARTITION BY invoice_id, po_id ORDER BY w, item_id_invoice, item_id_po) AS k FROM s),
+    g AS (
+        SELECT invoice_id, po_id, k, item_id_invoice, item_id_po, w, [item_id_invoice] AS a, [item_id_po] AS b, true AS hit FROM r WHERE k = 1
+        UNION ALL
+        SELECT invoice_id, po_id, k, item_id_invoice, item_id_po, w, CASE WHEN free THEN list_append(a, item_id_invoice) ELSE a END,
+               CASE WHEN free THEN list_append(b, item_id_po) ELSE b END, free
+        FROM (SELECT r.invoice_id, r.po_id, r.k, r.item_id_invoice, r.item_id_po, r.w, g.a, g.b,
+                     NOT list_contains(g.a, r.item_id_invoice) AND NOT list_contains(g.b, r.item_id_po) AS free
+              FROM g JOIN r ON r.invoice_id = g.invoice_id AND r.po_id = g.po_id AND r.k = g.k + 1)
+    )
+    SELECT invoice_id, po_id, item_id_invoice, item_id_po, w AS weighted_diff FROM g WHERE hit
+    """,
+)
 def two_way_match(t):
     return matching.two_way_match(*match_lines(t))
 

@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from riskframe.ml import neighbours
 from riskframe.operators import matching, similarity
@@ -115,6 +116,38 @@ def test_two_way_match(spark):
     assert {tuple(r) for r in got.collect()} == want
 
 
+def test_two_way_match_of_equal_lines(spark, monkeypatch):
+    """Thousands of equal lines take no more steps than two, and ties between different classes interleave."""
+    item = "item_id string, item_description string, item_amount double, item_quantity double"
+    rng, inv, po, want = random.Random(4), [], [], set()
+    for d in range(12):
+        # Amounts above and below by as much are equally far: classes that differ tie.
+        kinds = [("same", 90.0, 1.0), ("same", 110.0, 1.0), ("same", 100.0, 1.0), ("same", 100.0, None), ("other", 100.0, 1.0)]
+        i = [(f"i{n:03}", *rng.choice(kinds)) for n in rng.sample(range(999), rng.randint(1, 14))]
+        p = [(f"p{n:03}", *rng.choice(kinds)) for n in rng.sample(range(999), rng.randint(1, 14))]
+        inv += [(100 + d, d, *x) for x in i] + [(500 + d, d, *x) for x in i[:3]]
+        po += [(d, *x) for x in p]
+    invoices, orders = spark.createDataFrame(inv, f"invoice_id long, po_id long, {item}"), spark.createDataFrame(po, f"po_id long, {item}")
+    pairs = matching.scored_pairs(invoices, orders).select("weighted_diff", "item_id_invoice", "item_id_po", "invoice_id").collect()
+    used = set()
+    for w, a, b, group in sorted(tuple(r) for r in pairs):
+        if (group, 0, a) not in used and (group, 1, b) not in used:
+            used |= {(group, 0, a), (group, 1, b)}
+            want.add((group, a, b, w))
+    got = matching.two_way_match(invoices, orders).select("invoice_id", "item_id_invoice", "item_id_po", "weighted_diff").collect()
+    assert {tuple(r) for r in got} == want
+
+    steps, matched = [], matching._matched
+    monkeypatch.setattr(matching, "_matched", lambda *a: steps.append(1) or matched(*a))
+    rows = spark.range(5000).select(F.lit(1).alias("po_id"), F.format_string("%05d", "id").alias("item_id"), F.lit("bolt").alias("item_description"),
+                                    F.lit(9.5).alias("item_amount"), F.lit(2.0).alias("item_quantity"))
+    got = matching.two_way_match(rows.where("item_id < '04000'").withColumn("invoice_id", F.lit(7)), rows).agg(
+        F.count(F.lit(1)), F.count_if(F.col("item_id_invoice") == F.col("item_id_po"))
+    )
+    assert tuple(got.first()) == (4000, 4000) and len(steps) <= 2
+    assert matching.two_way_match(rows.where("false").withColumn("invoice_id", F.lit(7)), rows).count() == 0
+
+
 def test_closest_words(spark):
     entries = ["invoice", "payment", "vendor", "order", "an", "to"]
     words = ["invoce", "paymnet", "vndr", "ordder", "xyzzyx", "a"]
