@@ -236,12 +236,37 @@ def similar_text_pairs(t):
     return out.withColumn("similarity", F.round("similarity", 6))
 
 
-@register("similar_text_groups")
+def _groups_sql(limit):
+    """The greedy rule one key after another, by recursion over the keys that may claim any; ``limit`` is the least similarity taken."""
+    return f"""
+    WITH RECURSIVE raw AS (SELECT doc_id::VARCHAR AS k, {_WORDS} AS w FROM documents),
+    sig AS (SELECT list_sort(list_distinct(w)) AS tokens, len(w) AS wc, max(k) AS sid, list(k) AS ks FROM raw GROUP BY ALL),
+    tok AS (SELECT sid, len(tokens) AS n, wc, unnest(tokens) AS token FROM sig),
+    com AS (SELECT a.sid AS a, b.sid AS b, any_value(a.n) AS na, any_value(b.n) AS nb, any_value(a.wc) AS ca, any_value(b.wc) AS cb, count(*) AS c
+            FROM tok a JOIN tok b ON a.token = b.token GROUP BY a.sid, b.sid),
+    near AS (SELECT a, b, c / (na + nb - c) AS s FROM com WHERE c / (na + nb - c) >= 0.75 AND cb >= ceil(round(ca * 0.75, 9))),
+    e AS (SELECT x.k AS a, y.k AS b, s FROM near JOIN (SELECT sid, unnest(ks) AS k FROM sig) x ON x.sid = near.a
+          JOIN (SELECT sid, unnest(ks) AS k FROM sig) y ON y.sid = near.b WHERE x.k <> y.k),
+    v AS MATERIALIZED (SELECT a AS k, list({{'b': b, 's': s}}) AS found, row_number() OVER (ORDER BY a DESC) AS i FROM e GROUP BY a),
+    g AS (
+        SELECT 0::BIGINT AS i, NULL::VARCHAR AS k, []::VARCHAR[] AS got, []::VARCHAR[] AS claimed
+        UNION ALL
+        SELECT i, k, got, list_concat(claimed, got) FROM (
+            SELECT i, k, claimed, CASE WHEN len(free) > 0 THEN list_concat([k], list_transform(list_filter(free, lambda f: f.s >= {limit} - 1e-12), lambda f: f.b)) ELSE []::VARCHAR[] END AS got
+            FROM (SELECT v.i, v.k, g.claimed, CASE WHEN list_contains(g.claimed, v.k) THEN [] ELSE list_filter(v.found, lambda f: NOT list_contains(g.claimed, f.b)) END AS free
+                  FROM g JOIN v ON v.i = g.i + 1))
+    ),
+    m AS (SELECT k AS similar_key, unnest(got) AS doc_id FROM g)
+    SELECT raw.k AS doc_id, m.similar_key FROM raw LEFT JOIN m ON m.doc_id = raw.k
+    """
+
+
+@register("similar_text_groups", _groups_sql("0.75"))
 def similar_text_groups(t):
     return similarity.similar_groups(t.documents.select("doc_id", "text"), "doc_id", "text", 0.75)
 
 
-@register("similar_text_groups_closest")
+@register("similar_text_groups_closest", _groups_sql("greatest(0.75, list_max(list_transform(free, lambda x: x.s)))"))
 def similar_text_groups_closest(t):
     return similarity.similar_groups(t.documents.select("doc_id", "text"), "doc_id", "text", 0.75, only_max=True)
 

@@ -65,6 +65,33 @@ def test_similar_groups_closest_only(spark):
     assert got == greedy_groups(rows, 0.5, True)
 
 
+def test_settling_takes_few_rounds_in_chains(spark, monkeypatch):
+    """A chain of 10 000, a tree, and random claims settle as one after another would; chains in logarithmically many rounds."""
+    rng, written, real = random.Random(6), [], similarity.durable
+    monkeypatch.setattr(similarity, "durable", lambda df: written.append(1) or real(df))
+
+    def settled(n, edges):
+        name = "{:06d}".format
+        nodes = spark.range(n).select(F.format_string("%06d", "id").alias("sid"))
+        written.clear()
+        frame = spark.createDataFrame([(name(a), name(b)) for a, b in edges] + [(name(b), name(a)) for a, b in edges[:50]], "a string, b string")
+        got = {r["sid"] for r in similarity._settle(frame, nodes).collect()}
+        before, anchors = {}, set()
+        for a, b in edges:
+            before.setdefault(b, []).append(a)
+        for node in range(n - 1, -1, -1):
+            if not anchors.intersection(before.get(node, ())):
+                anchors.add(node)
+        assert got == {name(a) for a in anchors}
+        return (len(written) - 3) / 5
+
+    assert settled(10_000, [(i + 1, i) for i in range(9_999)]) <= 16
+    assert settled(3_000, [(rng.randrange(i + 1, min(i + 4, 3_000)), i) for i in range(2_999)]) <= 16
+    settled(300, sorted({tuple(sorted(rng.sample(range(300), 2), reverse=True)) for _ in range(500)}))
+    settled(60, [(i + d, i) for i in range(60) for d in (1, 2) if i + d < 60])
+    settled(20, [])
+
+
 def lines(rng, n, prefix):
     return [
         (f"{prefix}{i}", rng.choice(["steel bolt", "steel nut", "red paint", "blue paint"]), float(rng.randint(50, 90)), float(rng.randint(1, 4)))
