@@ -188,8 +188,8 @@ def _placed(shared, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _routed(shared, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         if len(batch):
-            ranked = shared.value.ranked(_matrix(batch["vector"]))[:, : shared.value.probes]
-            yield batch.assign(part=list(ranked.astype(np.int64)))
+            ranked = shared.value.ranked(_matrix(batch["vector"])).astype(np.int64)
+            yield batch.assign(part=list(ranked[:, : shared.value.probes]), rest=list(ranked[:, shared.value.probes :]))
 
 
 def _best(k: int, queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
@@ -220,35 +220,48 @@ def nearest(vectors: DataFrame, query: Column, k: int = 20, key: str = "vec_id",
     """The ``k`` nearest rows of every row where ``query`` holds: ``query_id``, ``rank``, ``vec_id``, ``score``.
 
     Nearness is the inner product in double precision of the original vectors.  Rows with a null key, and vectors that
-    are null, empty, zero or hold null or non-finite components take no part, and neither do vectors whose length is not the
-    most frequent one.  Repeated rows count once.  Without any usable row the result is empty.
+    are null, empty, zero or hold null or non-finite components take no part.  Vectors of each width are searched among
+    themselves, one index after another.  Repeated rows count once.  Without any usable row the result is empty.
 
     Equal vectors are one entry of the index, with their ``k + 1`` smallest ids, so a vector that a third of all rows share
     is no hot partition; as only ties to the smallest ids can be returned, nothing is lost.  The sample for learning is
-    taken by hash and bounded by SAMPLE; every row is indexed.  Partitions are searched in blocks of bounded size.
+    taken by hash and bounded by SAMPLE; every row is indexed.  Partitions are searched in blocks of bounded size.  A query
+    whose probed partitions hold fewer than ``k`` other rows is searched in all that are left.
     """
-    spark = vectors.sparkSession
     values = F.col(vector).cast("array<double>")
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), values.alias("vector"), F.coalesce(query, F.lit(False)).alias("_query"))
-    rows = rows.where(F.col("vec_id").isNotNull() & _usable(F.col("vector")))
-    width = rows.groupBy(F.size("vector").alias("w")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").first()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if width is None:
-        return spark.createDataFrame([], schema)
-    # -0.0 and 0.0 are one value in groupings.
-    rows = durable(rows.where(F.size("vector") == width["w"]))
+    rows = durable(rows.where(F.col("vec_id").isNotNull() & _usable(F.col("vector"))))
+    out = None
+    for width in [r[0] for r in rows.select(F.size("vector")).distinct().orderBy(F.size("vector")).collect()]:
+        # -0.0 and 0.0 are one value in groupings.
+        found = _nearest_of_one_width(rows.where(F.size("vector") == width), k, parts)
+        out = found if out is None else out.union(found)
+    return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double") if out is None else out
+
+
+def _nearest_of_one_width(rows: DataFrame, k: int, parts: int) -> DataFrame:
     smallest = Window.partitionBy("vector").orderBy("vec_id")
     distinct = rows.select("vector", "vec_id").withColumn("_rank", F.dense_rank().over(smallest)).where(F.col("_rank") <= k + 1)
     distinct = durable(distinct.groupBy("vector").agg(F.sort_array(F.collect_set("vec_id")).alias("ids")))
 
     drawn = first_by_hash(distinct.select("vector", F.xxhash64("vector").alias("_h")), SAMPLE).orderBy("_h").toPandas()
-    shared = Shared(spark, learn_router(_matrix(drawn["vector"]), k, parts))
+    shared = Shared(rows.sparkSession, learn_router(_matrix(drawn["vector"]), k, parts))
 
     placed = durable(distinct.mapInPandas(lambda it: _placed(shared, it), "vector array<double>, ids array<long>, part long"))
     routed = rows.where("_query").select(F.col("vec_id").alias("query_id"), "vector").dropDuplicates(["query_id", "vector"])
-    routed = durable(routed.mapInPandas(lambda it: _routed(shared, it), "query_id long, vector array<double>, part array<long>"))
-    routed = routed.withColumn("part", F.explode("part"))
+    routed = durable(routed.mapInPandas(lambda it: _routed(shared, it), "query_id long, vector array<double>, part array<long>, rest array<long>"))
+    found = durable(_searched(routed.withColumn("part", F.explode("part")), placed, k))
+    full = found.groupBy("query_id").agg(F.countDistinct("vec_id").alias("n")).where(F.col("n") >= k)
+    short = durable(routed.where(F.size("rest") > 0).join(full, "query_id", "left_anti"))
+    if not short.isEmpty():
+        found = found.union(_searched(short.withColumn("part", F.explode("rest")), placed, k))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    ranked = found.dropDuplicates(["query_id", "vec_id", "score"]).withColumn("rank", F.row_number().over(best))
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
+
+def _searched(routed: DataFrame, placed: DataFrame, k: int) -> DataFrame:
+    """The best of each query in each partition that it is routed to, by blocks of the partition and of its queries."""
     sizes = placed.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK_VECTORS).alias("slices"))
     asked = routed.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).alias("chunks"))
     # One row a partition: at most PARTITIONS rows.
@@ -259,6 +272,4 @@ def nearest(vectors: DataFrame, query: Column, k: int = 20, key: str = "vec_id",
     right = placed.join(grid, "part").withColumn("slice", hashed("vector", "slices")).withColumn("chunk", every("chunks"))
     block = ["part", "slice", "chunk"]
     left, right = left.select(*block, "query_id", "vector").groupBy(*block), right.select(*block, "vector", "ids").groupBy(*block)
-    found = left.cogroup(right).applyInPandas(lambda a, b: _best(k, a, b), "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.dropDuplicates(["query_id", "vec_id", "score"]).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return left.cogroup(right).applyInPandas(lambda a, b: _best(k, a, b), "query_id long, vec_id long, score double")

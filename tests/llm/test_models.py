@@ -195,6 +195,22 @@ def test_nearest_edges(spark):
     assert ann.nearest(frame.where("vec_id in (40, 60)"), F.lit(True)).count() == 0
 
 
+def test_nearest_of_every_width_and_full_lists(spark):
+    """Each width answers its own queries, also the rarer one; lists are full where probed partitions hold too little."""
+    rng = np.random.default_rng(3)
+    points = {i: rng.standard_normal(8) for i in range(700)} | {i: rng.standard_normal(5) for i in range(700, 790)}
+    rows = [(i, v.tolist()) for i, v in points.items()]
+    got = {}
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=80).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert sorted(got) == list(range(0, 790, 20))
+    for query, found in got.items():
+        others = [i for i, v in points.items() if len(v) == len(points[query]) and i != query]
+        assert [n for n, _, _ in sorted(found)] == list(range(1, 81))
+        assert {i for _, i, _ in found} <= set(others)
+        assert all(abs(s - points[query] @ points[i]) < 1e-12 for _, i, s in found)
+
+
 def test_balanced_parts():
     points = np.random.default_rng(1).standard_normal((1000, 16))
     part = ann.balanced_parts(ann._neighbours(points, 10), 8, np.random.default_rng(2))
