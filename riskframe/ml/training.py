@@ -19,12 +19,13 @@ from pyspark.ml.classification import (
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.tuning import CrossValidator
-from pyspark.ml.util import DefaultParamsReader
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskframe.ml.metrics import METRICS, confusion, decision_threshold, metrics
+from riskframe.ml.persist import SavedStage, load_stage
 from riskframe.ml.split import balanced, hash_unit, stratified_split
 from riskframe.session import durable
 
@@ -32,9 +33,11 @@ SEED = 42
 MAX_TRIALS = 150
 
 
-class AdaBoostClassifier(Estimator):
+class AdaBoostClassifier(SavedStage, Estimator):
     """Weighted one-level trees, boosted (discrete SAMME, two classes)."""
 
+    FACTS = ("rounds", "label", "features", "depth")
+
     def __init__(self, rounds: int = 10, labelCol: str = "label", featuresCol: str = "features", maxDepth: int = 1):
         super().__init__()
         self.rounds, self.label, self.features, self.depth = rounds, labelCol, featuresCol, maxDepth
@@ -62,7 +65,9 @@ class AdaBoostClassifier(Estimator):
         return AdaBoostModel(stumps, weights)
 
 
-class AdaBoostModel(Model):
+class AdaBoostModel(SavedStage, Model):
+    FACTS, PARTS = ("weights",), ("stumps",)
+
     def __init__(self, stumps: list, weights: list[float]):
         super().__init__()
         self.stumps, self.weights = stumps, weights
@@ -103,7 +108,9 @@ def classifiers(label: str = "label", features: str = "features") -> dict[str, E
 
 
 def assemble(df: DataFrame, features: Sequence[str], output: str = "features") -> DataFrame:
-    numbers = df.withColumns({f"_f{i}": F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) for i, c in enumerate(features)})
+    vectors = {f.name for f in df.schema if isinstance(f.dataType, VectorUDT)}
+    one = lambda c: F.col(f"`{c}`") if c in vectors else F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0))
+    numbers = df.withColumns({f"_f{i}": one(c) for i, c in enumerate(features)})
     inputs = [f"_f{i}" for i in range(len(features))]
     return VectorAssembler(inputCols=inputs, outputCol=output).transform(numbers).drop(*inputs)
 
@@ -208,10 +215,7 @@ def _threshold(model: Model, rows: DataFrame, key: str) -> float:
 
 
 def save_trained(trained: TrainedModel, spark: SparkSession, path: str) -> None:
-    """Write a model and what scoring needs besides, for another session to load.
-
-    Any model of Spark ML; the boosted stumps defined here have no writer.
-    """
+    """Write a model and what scoring needs besides, for another session to load."""
     trained.model.write().overwrite().save(f"{path}/model")
     facts = {k: v for k, v in asdict(replace(trained, model=None)).items() if k != "model"}
     spark.createDataFrame([(json.dumps(facts),)], "facts string").coalesce(1).write.mode("overwrite").text(f"{path}/facts")
@@ -219,7 +223,7 @@ def save_trained(trained: TrainedModel, spark: SparkSession, path: str) -> None:
 
 def load_trained(spark: SparkSession, path: str) -> TrainedModel:
     facts = json.loads(spark.read.text(f"{path}/facts").first()[0])
-    return TrainedModel(model=DefaultParamsReader.loadParamsInstance(f"{path}/model", spark.sparkContext), **facts)
+    return TrainedModel(model=load_stage(f"{path}/model", spark), **facts)
 
 
 def run_table(spark: SparkSession, models: Sequence[TrainedModel], submodule: str, experiment: str) -> DataFrame:

@@ -5,20 +5,23 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Estimator, Model, Transformer
+from pyspark.ml.feature import OneHotEncoder as SparkOneHotEncoder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.functions.text import category, name_part_of
 from riskframe.functions.values import day_of_month, month_name, parse_date, quarter, weekday_name
-from riskframe.ordered import exact_quantiles
+from riskframe.ml.persist import SavedStage
+from riskframe.ordered import exact_quantiles, running_totals
 from riskframe.prep.impute import UNKNOWN
+from riskframe.session import durable
 
 # Suffixes of derived columns, and the least range.
 RANGE_SUFFIX = "_Range"
 POWER_SIGN = "^"
 EPSILON = 1e-9
-# A categorical column is emitted as columns, so its levels must stay countable.
-MAX_LEVELS = 10_000
+# A column of more levels is encoded as one sparse vector, not as columns.
+MOST_COLUMNS = 1_000
 
 
 def robust_parameters(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
@@ -64,9 +67,11 @@ def polynomial_value(value: Column, degree: int) -> Column:
     return F.when(value != 0, F.round(F.pow(value, F.lit(float(degree))), 2))
 
 
-class NumericEncoder(Estimator):
+class NumericEncoder(SavedStage, Estimator):
     """Fill 0, decade bins, robust scale, powers of the scaled value; raw columns dropped."""
 
+    FACTS = ("columns", "degree")
+
     def __init__(self, columns: Sequence[str], degree: int = 2):
         super().__init__()
         self.columns, self.degree = list(columns), degree
@@ -76,7 +81,9 @@ class NumericEncoder(Estimator):
         return NumericEncoderModel(robust_parameters(filled, self.columns), self.degree)
 
 
-class NumericEncoderModel(Model):
+class NumericEncoderModel(SavedStage, Model):
+    FACTS = ("parameters", "degree")
+
     def __init__(self, parameters: dict[str, tuple[float, float]], degree: int):
         super().__init__()
         self.parameters, self.degree = parameters, degree
@@ -90,9 +97,11 @@ class NumericEncoderModel(Model):
         return dataset.select(*out)
 
 
-class DateTimeEncoder(Transformer):
+class DateTimeEncoder(SavedStage, Transformer):
     """Quarter, month, day of month and weekday of each date; raw columns dropped."""
 
+    FACTS = ("columns",)
+
     def __init__(self, columns: Sequence[str]):
         super().__init__()
         self.columns = list(columns)
@@ -111,37 +120,50 @@ class DateTimeEncoder(Transformer):
         return dataset.select(*out)
 
 
-class OneHotEncoder(Estimator):
+class OneHotEncoder(SavedStage, Estimator):
     """0/1 columns ``col=level`` for each level; unknown and unseen are all zero.
 
-    Columns with fewer than two levels, or one level per row, are left as they are.
+    Columns with fewer than two levels, or one level per row, are left as they are.  A column of more than ``most_columns``
+    levels becomes one sparse vector ``col=levels`` instead, whose places are those of a table of levels.
     """
 
-    def __init__(self, columns: Sequence[str], unknown: str = UNKNOWN, separator: str = "="):
+    FACTS = ("columns", "unknown", "separator", "most_columns")
+
+    def __init__(self, columns: Sequence[str], unknown: str = UNKNOWN, separator: str = "=", most_columns: int = MOST_COLUMNS):
         super().__init__()
-        self.columns, self.unknown, self.separator = list(columns), unknown, separator
+        self.columns, self.unknown, self.separator, self.most_columns = list(columns), unknown, separator, most_columns
 
     def _fit(self, dataset: DataFrame) -> OneHotModel:
         stacked = dataset.select(
             F.explode(F.array(*[F.struct(F.lit(c).alias("c"), category(F.col(f"`{c}`")).alias("v")) for c in self.columns])).alias("s")
         ).select("s.*").where(F.col("v").isNotNull())
-        levels = stacked.distinct()
+        levels = durable(stacked.distinct())
         sizes = {r["c"]: r["count"] for r in levels.groupBy("c").count().collect()}
-        too_many = {c: n for c, n in sizes.items() if n > MAX_LEVELS}
-        if too_many:
-            raise ValueError(f"too many levels to encode as columns: {too_many}")
-        found: dict[str, set[str]] = {c: {self.unknown} for c in self.columns}
-        for r in levels.collect():
-            found[r["c"]].add(r["v"])
         rows = dataset.count()
+        wide = sorted(c for c, n in sizes.items() if n > self.most_columns and n != rows)
+        found: dict[str, set[str]] = {c: {self.unknown} for c in self.columns if c not in wide and sizes.get(c, 0) <= self.most_columns}
+        for r in levels.where(F.col("c").isin(list(found))).collect():
+            found[r["c"]].add(r["v"])
         kept = {c: sorted(v) for c, v in found.items() if 2 <= len(v) and len(v) != rows}
-        return OneHotModel(kept, self.unknown, self.separator)
+        index, places = None, {}
+        if wide:
+            named = levels.where(F.col("c").isin(wide) & (F.col("v") != self.unknown)).withColumn("one", F.lit(1))
+            index = durable(running_totals(named, ["c"], "v", {"place": "one"}).select("c", "v", (F.col("place") - 1).cast("int").alias("place")))
+            places = {r["c"]: r["count"] for r in index.groupBy("c").count().collect()}
+        return OneHotModel(kept, self.unknown, self.separator, places, index)
+
 
+class OneHotModel(SavedStage, Model):
+    FACTS, TABLES = ("levels", "unknown", "separator", "places"), ("index",)
 
-class OneHotModel(Model):
-    def __init__(self, levels: dict[str, list[str]], unknown: str, separator: str):
+    def __init__(self, levels: dict[str, list[str]], unknown: str, separator: str, places: dict[str, int] | None = None, index: DataFrame | None = None):
         super().__init__()
         self.levels, self.unknown, self.separator = levels, unknown, separator
+        self.places, self.index = places or {}, index
+
+    @property
+    def vector_names(self) -> list[str]:
+        return [f"{c}{self.separator}levels" for c in self.places]
 
     def _names(self, keep_unknown: bool) -> dict[str, dict[str, list[str]]]:
         """Column -> feature name -> the raw levels that fold to it."""
@@ -162,20 +184,35 @@ class OneHotModel(Model):
         return [n for named in self._names(False).values() for n in named]
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        out = [F.col(f"`{c}`") for c in dataset.columns if c not in self.levels]
+        out = [F.col(f"`{c}`") for c in dataset.columns if c not in self.levels and c not in self.places]
+        for c, size in self.places.items():
+            dataset = self._with_vector(dataset, c, size)
+            out.append(F.col(f"`{c}{self.separator}levels`"))
         for c, named in self._names(False).items():
             value = category(F.col(f"`{c}`"))
             out += [F.coalesce(value.isin(v), F.lit(False)).cast("byte").alias(n) for n, v in named.items()]
         return dataset.select(*out)
 
 
-class FeatureBuilder(Estimator):
+    def _with_vector(self, dataset: DataFrame, column: str, size: int) -> DataFrame:
+        """Levels are looked up in their table; Spark's own encoder writes the vectors, all zero where there is no place."""
+        places = self.index.where(F.col("c") == column).select(F.col("v").alias("_v"), F.col("place").alias("_place"))
+        placed = dataset.withColumn("_v", category(F.col(f"`{column}`"))).join(places, "_v", "left")
+        placed = placed.withColumn("_place", F.coalesce("_place", F.lit(size))).drop("_v")
+        encoder = SparkOneHotEncoder(inputCol="_place", outputCol=f"{column}{self.separator}levels", handleInvalid="keep")
+        known = dataset.sparkSession.range(size - 1, size).select(F.col("id").cast("int").alias("_place"))
+        return encoder.fit(known).transform(placed).drop("_place")
+
+
+class FeatureBuilder(SavedStage, Estimator):
     """Numeric, rare-label, date and one-hot encoding in order.
 
     The fitted model keeps its input and output names; transforming new data gives
     exactly the fitted features, missing ones as 0.
     """
 
+    FACTS = ("key", "target", "numeric", "dates", "categorical")
+
     def __init__(self, key: str, numeric: Sequence[str], dates: Sequence[str], categorical: Sequence[str], target: str):
         super().__init__()
         self.key, self.target = key, target
@@ -183,7 +220,6 @@ class FeatureBuilder(Estimator):
 
     def _fit(self, dataset: DataFrame) -> FeatureBuilderModel:
         from riskframe.prep.impute import impute_rare_labels, rare_labels
-        from riskframe.session import durable
 
         numeric = NumericEncoder(self.numeric).fit(dataset)
         ranges = [f"{c}{RANGE_SUFFIX}" for c in self.numeric]
@@ -198,7 +234,10 @@ class FeatureBuilder(Estimator):
         return FeatureBuilderModel(self, numeric, rare, labels, dates, onehot, features)
 
 
-class FeatureBuilderModel(Model):
+class FeatureBuilderModel(SavedStage, Model):
+    FACTS = ("key", "target", "input_names", "output_names", "labels")
+    TABLES, PARTS = ("rare",), ("numeric", "dates", "onehot")
+
     def __init__(self, spec, numeric, rare, labels, dates, onehot, features):
         super().__init__()
         self.key, self.target = spec.key, spec.target

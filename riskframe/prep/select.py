@@ -6,10 +6,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Estimator, Model
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.frames import attach
+from riskframe.ml.persist import SavedStage
 from riskframe.operators.scaling import discretize
 from riskframe.prep.columns import positives_per_feature
 
@@ -132,8 +134,10 @@ def correlated_features(pairs: DataFrame, threshold: float = 0.8) -> list[str]:
     return removed
 
 
-class FeatureSelection(Estimator):
-    """Drop silent patterns, features without positives, constants and redundant ones."""
+class FeatureSelection(SavedStage, Estimator):
+    """Drop silent patterns, features without positives, constants and redundant ones; vectors of levels stay as they are."""
+
+    FACTS = ("key", "target", "patterns", "separator", "percent")
 
     def __init__(self, key: str, target: str, patterns: Sequence[str] = (), separator: str = "=", percent: float = CORRELATION_PERCENT):
         super().__init__()
@@ -144,7 +148,8 @@ class FeatureSelection(Estimator):
         from riskframe.prep.columns import constant_columns, names, profile
         from riskframe.session import durable
 
-        features = [c for c in dataset.columns if c not in (self.key, self.target)]
+        vectors = [f.name for f in dataset.schema if isinstance(f.dataType, VectorUDT)]
+        features = [c for c in dataset.columns if c not in (self.key, self.target, *vectors)]
         silent = set(no_impact_patterns(features, self.patterns, self.separator))
         features = [f for f in features if f not in silent]
         idle = {r["feature"] for r in no_impact_features(dataset, features, self.target).collect()}
@@ -158,10 +163,12 @@ class FeatureSelection(Estimator):
             information = mutual_information(named, [*features, self.target])
             gone = set(redundant_features(information, features, self.target, self.percent))
             features = [f for f in features if f not in gone]
-        return FeatureSelectionModel(self.key, self.target, sorted(features))
+        return FeatureSelectionModel(self.key, self.target, sorted(features + vectors))
+
 
+class FeatureSelectionModel(SavedStage, Model):
+    FACTS = ("key", "target", "features")
 
-class FeatureSelectionModel(Model):
     def __init__(self, key: str, target: str, features: list[str]):
         super().__init__()
         self.key, self.target, self.features = key, target, features
