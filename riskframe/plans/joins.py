@@ -357,3 +357,16 @@ def two_way_match(t):
 )
 def line_count_comparison(t):
     return matching.line_count_comparison(*match_lines(t))
+
+
+@register(
+    "schema_changes",
+    """
+    WITH o AS (SELECT column_name FROM (DESCRIBE SELECT * FROM documents)), n AS (SELECT column_name FROM (DESCRIBE SELECT * FROM labels))
+    SELECT column_name, 'deleted' AS change FROM o WHERE column_name NOT IN (SELECT column_name FROM n)
+    UNION ALL SELECT column_name, 'new' FROM n WHERE column_name NOT IN (SELECT column_name FROM o)
+    """,
+)
+def schema_changes(t):
+    """Columns that one of two tables has only."""
+    return alerts.schema_changes(t.documents, t.labels)

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from riskframe.frames import top_per_key
-from riskframe.functions.vectors import cosine, semantic_search
+from riskframe.functions.vectors import cosine, search_dictionary, semantic_search
 from riskframe.operators import alerts
 from riskframe.plans.catalogue import register
 
@@ -49,6 +49,29 @@ def top_columns_by_similarity(t):
     return out.withColumn("score", F.round("score", 5))
 
 
+@register(
+    "dictionary_search",
+    f"""
+    SELECT query, COLUMN_NAME, round(s, 5) AS score FROM (
+      SELECT b.query, a.vec_id AS COLUMN_NAME, {_COSINE} AS s, row_number() OVER (PARTITION BY b.query ORDER BY {_COSINE} DESC, a.vec_id) AS rn
+      FROM (SELECT * FROM embeddings WHERE vec_id % 7 <> 0 AND vec_id % 5 <> 0) a, (SELECT label::BIGINT AS query, embedding FROM
+        (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings) WHERE k = 1) b)
+    WHERE rn <= 5
+    """,
+)
+def dictionary_search(t):
+    """As above over a dictionary, where every seventh column is excluded and every fifth has a blank description."""
+    questions = top_per_key(t.embeddings, ["label"], [F.col("vec_id")]).select(
+        F.col("label").cast("long").alias("query"), F.col("embedding").alias("question")
+    )
+    dictionary = t.embeddings.select(
+        F.col("vec_id").alias("COLUMN_NAME"), "embedding", F.when(F.col("vec_id") % 7 == 0, 1).alias("EXCLUDE"),
+        F.when(F.col("vec_id") % 5 == 0, " ").otherwise("described").alias("DESCRIPTION"),
+    )
+    out = search_dictionary(questions, "query", "question", dictionary, "embedding", 5)
+    return out.withColumn("score", F.round("score", 5))
+
+
 @register(
     "best_match_per_group",
     "SELECT p_brand, p_partkey, p_retailprice FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS rn FROM part) WHERE rn = 1",
