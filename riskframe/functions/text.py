@@ -8,7 +8,6 @@ import unicodedata
 from collections.abc import Sequence
 from functools import lru_cache
 
-import pandas as pd
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -219,17 +218,30 @@ def keyword_contains(text: Column | str, keywords: Sequence[str]) -> Column:
     return F.coalesce(any_of([body.contains(k) for k in keywords]), F.lit(False))
 
 
-def _script_words(char: pd.Series) -> pd.Series:
-    """First word of a character's Unicode name; Spark has no such function."""
-    names = {c: unicodedata.name(c, "LATIN").split(" ")[0] for c in char.dropna().unique() if c}
-    return char.map(names).fillna("LATIN")
+@lru_cache(maxsize=None)
+def script_ranges() -> tuple[list[int], list[str]]:
+    """First code point and word of each run of characters whose Unicode names begin with one word.
+
+    Unnamed characters count as LATIN.  Spark has no such function, so the runs are a table made from the rule.
+    """
+    starts, words = [], []
+    for code in range(0x110000):
+        word = unicodedata.name(chr(code), "LATIN").split(" ")[0]
+        if not words or words[-1] != word:
+            starts.append(code)
+            words.append(word)
+    return starts, words
 
 
 def script(text: Column | str) -> Column:
     """Unicode script word of the first character other than a space or a-z.
 
-    Only that one character goes to Python.
+    A binary search over the literal table of runs, on the JVM.
     """
+    starts, words = script_ranges()
     rest = F.regexp_replace(F.lower(_col(text)), "[ a-z]", "")
-    word = F.pandas_udf(_script_words, "string")
-    return word(F.substring(F.coalesce(rest, F.lit("")), 1, 1))
+    code = F.ascii(F.coalesce(rest, F.lit("")))
+    first = F.split(F.lit(",".join(map(str, starts))), ",").cast("array<int>")
+    step = F.lit([1 << i for i in reversed(range(len(starts).bit_length()))])
+    place = F.aggregate(step, F.lit(0), lambda at, s: F.when(F.get(first, at + s) <= code, at + s).otherwise(at))
+    return F.get(F.split(F.lit(",".join(words)), ","), place)

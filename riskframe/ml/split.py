@@ -6,10 +6,13 @@ partitions or retries gives the same rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskframe.ml.neighbours import nearest
+from riskframe.session import durable
 
 # Split, minority share to reach, and shares that trigger each step.
 TEST_PERCENT = 20
@@ -28,30 +31,34 @@ def hash_unit(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / float(16**13)
 
 
-def pick_by_hash(df: DataFrame, stratum: str, key: str, wanted: DataFrame, seed: object, output: str = "picked") -> DataFrame:
-    """Mark exactly ``wanted`` rows (stratum, _want) of each stratum: the lowest hashes.
+def pick_by_hash(df: DataFrame, stratum: str, key: str, wanted: Callable[[DataFrame], DataFrame], seed: object, output: str = "picked") -> DataFrame:
+    """Mark exactly the wanted rows of each stratum: those of the lowest (hash, key).
 
-    Bucket counts find the one hash bucket the limit falls in; only that bucket,
-    1/65536 of a stratum, is ranked.
+    ``wanted`` makes (stratum, _want) from (stratum, _n), the strata and their sizes.
+    Bucket counts name the one hash bucket a stratum's cut falls in; only that bucket,
+    1/65536 of a stratum, is ranked, and only to find the cut.  Every row is then
+    compared with the cut of its stratum: no join by key, and no shuffle of the rows
+    while the strata are few.  Rows of a null stratum are never picked; rows that
+    repeat the key at the cut are picked with it.
     """
     rows = df.withColumn("_h", hash_unit(key, F.lit(seed))).withColumn("_b", F.floor(F.col("_h") * _BUCKETS).cast("int"))
-    counts = rows.groupBy(stratum, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    counts = durable(rows.where(F.col(stratum).isNotNull()).groupBy(stratum, "_b").agg(F.count(F.lit(1)).alias("_c")))
+    want = wanted(counts.groupBy(stratum).agg(F.sum("_c").alias("_n")))
     before = Window.partitionBy(stratum).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0))).join(wanted, stratum)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0))).join(want, stratum)
     edge = counts.where((F.col("_before") < F.col("_want")) & (F.col("_before") + F.col("_c") >= F.col("_want")))
-    edge = edge.select(stratum, F.col("_b").alias("_edge"), (F.col("_want") - F.col("_before")).alias("_rest"))
-    placed = rows.join(edge, stratum, "left")
-    at_edge = placed.where(F.col("_b") == F.col("_edge"))
+    edge = durable(edge.select(stratum, F.col("_b").alias("_edge"), (F.col("_want") - F.col("_before")).alias("_rest")))
+    at_edge = rows.select(stratum, key, "_h", "_b").join(edge, stratum).where(F.col("_b") == F.col("_edge"))
     rank = F.row_number().over(Window.partitionBy(stratum).orderBy("_h", key))
-    chosen = at_edge.withColumn("_r", rank).where(F.col("_r") <= F.col("_rest")).select(F.col(key), F.lit(True).alias("_in"))
-    out = placed.join(chosen, key, "left")
-    picked = (F.col("_b") < F.col("_edge")) | F.coalesce("_in", F.lit(False))
-    return out.select(*df.columns, F.coalesce(picked, F.lit(False)).alias(output))
+    last = at_edge.withColumn("_r", rank).where(F.col("_r") == F.col("_rest"))
+    cuts = durable(last.select(stratum, F.struct("_h", F.col(key).alias("_k")).alias("_cut")))
+    placed = rows.join(cuts, stratum, "left")
+    picked = F.col("_cut").isNotNull() & (F.struct("_h", F.col(key).alias("_k")) <= F.col("_cut"))
+    return placed.select(*df.columns, picked.alias(output))
 
 
-def test_sizes(df: DataFrame, target: str, percent: float = TEST_PERCENT) -> DataFrame:
-    """(target, _want): test rows per class, shares kept, largest remainders first."""
-    classes = df.groupBy(target).agg(F.count(F.lit(1)).alias("_n"))
+def test_sizes(classes: DataFrame, target: str, percent: float = TEST_PERCENT) -> DataFrame:
+    """(target, _want) from (target, _n): test rows per class, shares kept, largest remainders first."""
     everything = Window.partitionBy(F.lit(0))
     total = F.sum("_n").over(everything)
     ideal = F.ceil(F.round(total * percent / 100, 9)) * F.col("_n") / total
@@ -63,7 +70,7 @@ def test_sizes(df: DataFrame, target: str, percent: float = TEST_PERCENT) -> Dat
 
 def stratified_split(df: DataFrame, key: str, target: str, percent: float = TEST_PERCENT, seed: int = SEED) -> DataFrame:
     """Add ``is_test``: exact class counts, rows chosen by hash of key and seed."""
-    return pick_by_hash(df, target, key, test_sizes(df, target, percent), seed, "is_test")
+    return pick_by_hash(df, target, key, lambda classes: test_sizes(classes, target, percent), seed, "is_test")
 
 
 def repeated_splits(df: DataFrame, key: str, target: str, percent: float = TEST_PERCENT, repeats: int = REPEATS, seed: int = SEED):
@@ -91,8 +98,7 @@ def oversample(df: DataFrame, key: str, target: str, vector: str, share: float =
     small = df.where(F.col(target) == minority).select(key, vector)
     each, extra = divmod(needed, have)
     one = small.withColumn("_one", F.lit(1))
-    wanted = one.select("_one").limit(1).withColumn("_want", F.lit(extra))
-    picked = pick_by_hash(one, "_one", key, wanted, f"extra{seed}", "_extra") if extra else one.withColumn("_extra", F.lit(False))
+    picked = pick_by_hash(one, "_one", key, lambda all_: all_.select("_one", F.lit(extra).alias("_want")), f"extra{seed}", "_extra") if extra else one.withColumn("_extra", F.lit(False))
     copies = F.lit(each) + F.col("_extra").cast("int")
     seeds = picked.where(copies > 0).select(key, F.col(vector).alias("_v"), F.explode(F.sequence(F.lit(1), copies)).alias("_i"))
     found = nearest(small, small, key, vector, k)

@@ -199,6 +199,12 @@ def classify(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return groups.join(named, keys, "left").withColumn("distribution", F.coalesce("distribution", F.lit("Unknown")))
 
 
+# Candidates on either side of the best one, the first step between them, and the step that ends the search.
+CANDIDATES = 20
+FIRST_STEP = 0.25
+LAMBDA_STEP = 0.001
+
+
 def _yeo_johnson(x: Column, lam: Column) -> Column:
     near_zero, near_two = F.abs(lam) < 1e-12, F.abs(lam - 2) < 1e-12
     up = F.when(near_zero, F.log1p(x)).otherwise((F.pow(x + 1, lam) - 1) / lam)
@@ -206,34 +212,62 @@ def _yeo_johnson(x: Column, lam: Column) -> Column:
     return F.when(x >= 0, up).otherwise(down)
 
 
+def _yeo_johnson_from(x: Column, middle: Column, lam: Column) -> Column:
+    """The transform of x less that of ``middle``, exact to rounding where both have one sign,
+    however close to its limit the transform of either is."""
+
+    def apart(a: Column, b: Column, power: Column) -> Column:
+        away = F.log1p(a) - F.log1p(b)
+        grown = F.exp(power * F.log1p(b)) * F.expm1(power * away) / power
+        return F.when(F.abs(power) < 1e-12, away).otherwise(grown)
+
+    return (
+        F.when((x >= 0) & (middle >= 0), apart(x, middle, lam))
+        .when((x < 0) & (middle < 0), -apart(-x, -middle, 2 - lam))
+        .otherwise(_yeo_johnson(x, lam) - _yeo_johnson(middle, lam))
+    )
+
+
 def yeo_johnson_lambdas(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Maximum-likelihood lambda per group, to 0.001, by three narrowing grids.
+    """Maximum-likelihood lambda per group, to 0.001, wherever it lies.
 
-    Each pass scores all candidates of all groups in one map-side combined
-    aggregation over the value counts.
+    Each pass scores 41 candidates around each group's best one, in one map-side
+    combined aggregation over the value counts.  While the best candidate is the outermost,
+    the group's grid moves there with twice the step; once it lies inside, the step
+    shrinks to a twentieth per pass.  Finished groups take no part in later passes, and a
+    group none of whose candidates has a positive variance has no lambda.
     """
     keys = list(keys)
-    counts = value_counts(df, keys, value)
-    best = counts.select(*keys).distinct().withColumn("_best", F.lit(0.0))
-    for half, step in ((5.0, 0.25), (0.3, 0.02), (0.025, 0.001)):
-        n = round(half / step)
-        tried = counts.join(best, keys).select(
-            *keys, "_x", "_c",
-            F.explode(F.transform(F.sequence(F.lit(-n), F.lit(n)), lambda i: F.col("_best") + i * F.lit(step))).alias("_lam"),
-        )
-        y = _yeo_johnson(F.col("_x"), F.col("_lam"))
-        sums = tried.withColumn("_y", y).groupBy(*keys, "_lam").agg(
-            F.sum("_c").alias("_n"),
-            F.sum(F.col("_c") * F.col("_y")).alias("_s"),
-            F.sum(F.col("_c") * F.col("_y") * F.col("_y")).alias("_ss"),
-            F.sum(F.col("_c") * F.signum("_x") * F.log1p(F.abs("_x"))).alias("_j"),
+    counts = durable(value_counts(df, keys, value))
+    middle = F.sum(F.col("_x") * F.col("_c")) / F.sum("_c")
+    jacobian = F.sum(F.col("_c") * F.signum("_x") * F.log1p(F.abs("_x")))
+    groups = counts.groupBy(*keys).agg(middle.alias("_mid"), jacobian.alias("_j"), F.sum("_c").alias("_n"))
+    state = durable(groups.withColumns({"_best": F.lit(0.0), "_step": F.lit(FIRST_STEP), "_inside": F.lit(False), "_done": F.lit(False)}))
+    finished = state.limit(0)
+    while not state.isEmpty():
+        places = F.explode(F.sequence(F.lit(-CANDIDATES), F.lit(CANDIDATES))).alias("_i")
+        lam = (F.col("_best") + F.col("_i") * F.col("_step")).alias("_lam")
+        tried = counts.join(state, keys).select(*keys, "_x", "_c", "_mid", "_best", "_step", places)
+        tried = tried.select(*keys, "_i", "_c", _yeo_johnson_from(F.col("_x"), F.col("_mid"), lam).alias("_y"))
+        sums = tried.groupBy(*keys, "_i").agg(
+            F.sum(F.col("_c") * F.col("_y")).alias("_s"), F.sum(F.col("_c") * F.col("_y") * F.col("_y")).alias("_ss")
         )
+        scored = sums.join(state, keys)
         var = F.col("_ss") / F.col("_n") - (F.col("_s") / F.col("_n")) ** 2
-        score = F.when(var > 0, -F.col("_n") / 2 * F.log(var) + (F.col("_lam") - 1) * F.col("_j"))
-        best = sums.withColumn("_score", score).where(F.col("_score").isNotNull() & ~F.isnan("_score")).groupBy(
-            *keys
-        ).agg(F.max_by("_lam", F.struct("_score", -F.abs("_lam"))).alias("_best"))
-    return best.withColumnRenamed("_best", "lam")
+        score = F.when(var > 0, -F.col("_n") / 2 * F.log(var) + (lam - 1) * F.col("_j"))
+        scored = scored.withColumn("_score", score).where(F.col("_score").isNotNull() & (F.abs("_score") < float("inf")))
+        best = scored.groupBy(*keys).agg(F.max_by("_i", F.struct("_score", -F.abs(lam))).alias("_i"))
+        inside = F.col("_inside") | (F.abs("_i") < CANDIDATES)
+        state = durable(
+            state.join(best, keys).select(
+                *keys, "_mid", "_j", "_n", lam.alias("_best"),
+                F.when(inside, F.col("_step") / CANDIDATES).otherwise(F.col("_step") * 2).alias("_step"),
+                inside.alias("_inside"), (inside & (F.col("_step") <= LAMBDA_STEP)).alias("_done"),
+            )
+        )
+        finished = finished.unionByName(state.where("_done"))
+        state = state.where(~F.col("_done"))
+    return finished.select(*keys, F.col("_best").alias("lam"))
 
 
 def _inverse_normal(p: Column) -> Column:

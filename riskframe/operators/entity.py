@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.frames import attach
+from riskframe.session import durable
 
 YEARS_BACK = 25
 
@@ -46,8 +47,26 @@ def pairwise_day_differences(df: DataFrame, dates: Sequence[str], as_of: str) ->
 def with_duplicate_counts(
     df: DataFrame, entity: str, amount: str, date: str, duplicates: str, recurring: str, recurring_amount: str
 ) -> DataFrame:
-    """Copies of (entity, amount, date), recurrences of (entity, amount) and their sum."""
-    same_day = attach(df, [entity, amount, date], **{duplicates: F.count(F.lit(1))})
-    return attach(
-        same_day, [entity, amount], **{recurring: F.count(F.lit(1)), recurring_amount: F.sum(F.col(amount))}
+    """Copies of (entity, amount, date), recurrences of (entity, amount) and their sum.
+
+    One aggregation counts both levels.  Only groups of two rows or more are written
+    and looked up: a row without such a group is its own group, so the written table
+    has at most half as many groups as there are rows, and hardly any where nearly
+    every row is alone.  A null in a key leaves that level's results null.
+    """
+    pair, triple = [entity, amount], [entity, amount, date]
+    level = F.grouping_id().alias("_level")
+    counted = df.groupingSets([[F.col(c) for c in triple], [F.col(c) for c in pair]], *[F.col(c) for c in triple])
+    groups = counted.agg(level, F.count(F.lit(1)).alias("_n"), F.sum(amount).alias("_sum")).where(F.col("_n") > 1)
+    groups = durable(groups.dropna(subset=pair))
+    days = groups.where((F.col("_level") == 0) & F.col(date).isNotNull()).select(*triple, F.col("_n").alias(duplicates))
+    pairs = groups.where(F.col("_level") == 1).select(*pair, F.col("_n").alias(recurring), F.col("_sum").alias(recurring_amount))
+    known = F.col(entity).isNotNull() & F.col(amount).isNotNull()
+    alone = F.col(amount).cast(pairs.schema[recurring_amount].dataType)
+    joined = df.join(days, triple, "left").join(pairs, pair, "left")
+    return joined.select(
+        *df.columns,
+        F.when(known & F.col(date).isNotNull(), F.coalesce(duplicates, F.lit(1))).alias(duplicates),
+        F.when(known, F.coalesce(recurring, F.lit(1))).alias(recurring),
+        F.when(known, F.coalesce(recurring_amount, alone)).alias(recurring_amount),
     )

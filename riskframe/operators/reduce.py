@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from typing import get_origin, get_type_hints
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from riskframe.frames import attach, top_per_key
 
@@ -107,19 +111,40 @@ def grouped_transform(
 
 
 def grouped_apply(
-    df: DataFrame, groups: Sequence[str], function, schema: str, max_group_rows: int = 1_000_000
+    df: DataFrame, groups: Sequence[str], function: Callable, schema: str,
+    partial: Callable | None = None, partial_schema: str | None = None,
 ) -> DataFrame:
-    """Any pandas function per group, for groups known to be small.
+    """A user function per group, at any size of a group.
 
-    A group beyond ``max_group_rows`` stops the job with its size: a function that
-    needs a whole group in memory cannot be split, so it must not be attempted.
+    Three forms, by what the function needs to hold:
+
+    * ``function(frame)`` gets the whole group at once; for groups known to be small.
+    * ``function(frames)``, its first parameter annotated ``Iterator[pandas.DataFrame]``, gets the group in
+      Arrow batches and yields frames: the group passes through one task, never whole.
+    * With ``partial``, each task first turns the rows that it holds of a group into
+      ``partial(frame)``, batch by batch; ``function`` then gets those few rows instead.
+      For functions that merge: a hot group is reduced where its rows lie.
+
+    Rows whose key holds a null form a group of their own, as in ``groupBy``.
     """
-    sized = attach(df, groups, _group_rows=F.count(F.lit(1)))
-    message = F.concat(
-        F.lit("group of "), F.col("_group_rows").cast("string"),
-        F.lit(f" rows exceeds {max_group_rows}: "), F.concat_ws(", ", *[F.col(g).cast("string") for g in groups]),
-    )
-    checked = sized.where(
-        F.when(F.col("_group_rows") > max_group_rows, F.raise_error(message).cast("boolean")).otherwise(True)
-    )
-    return checked.drop("_group_rows").groupBy(*groups).applyInPandas(function, schema)
+    keys = list(groups)
+    if partial is not None:
+
+        shape = to_arrow_schema(df.sparkSession.createDataFrame([], partial_schema).schema)
+
+        def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                # Whole numbers beside nulls must not become floats: large keys would meet.
+                exact = {c.type: pd.Int64Dtype() for c in batch.columns if pa.types.is_integer(c.type) and c.null_count}
+                for _, rows in batch.to_pandas(types_mapper=exact.get).groupby(keys, dropna=False, sort=False):
+                    yield from pa.Table.from_pandas(partial(rows), schema=shape, preserve_index=False).to_batches()
+
+        df = df.mapInArrow(reduced, partial_schema)
+    hints = list(get_type_hints(function).values())
+    if hints and get_origin(hints[0]) is Iterator:
+
+        def streamed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            return function(frames)
+
+        return df.groupBy(*keys).applyInPandas(streamed, schema)
+    return df.groupBy(*keys).applyInPandas(lambda frame: function(frame), schema)

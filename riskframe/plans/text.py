@@ -188,7 +188,16 @@ def closest_dictionary_word(t):
     return similarity.closest_words(unknown, "word", entries, "entry")
 
 
-@register("unicode_script")
+def _script_sql():
+    starts, words = text.script_ranges()
+    return f"""
+    WITH r AS (SELECT unnest(string_split('{",".join(map(str, starts))}', ','))::INT AS first, unnest(string_split('{",".join(words)}', ',')) AS script),
+    d AS (SELECT doc_id, greatest(coalesce(unicode(substr(regexp_replace(lower(text), '[ a-z]', '', 'g'), 1, 1)), 0), 0) AS code FROM documents)
+    SELECT doc_id, script FROM d ASOF JOIN r ON d.code >= r.first
+    """
+
+
+@register("unicode_script", _script_sql())
 def unicode_script(t):
     return t.documents.select("doc_id", text.script("text").alias("script"))
 

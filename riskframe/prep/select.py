@@ -3,8 +3,10 @@ information, correlations."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Estimator, Model
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
@@ -14,9 +16,11 @@ from riskframe.frames import attach
 from riskframe.ml.persist import SavedStage
 from riskframe.operators.scaling import discretize
 from riskframe.prep.columns import positives_per_feature
+from riskframe.session import durable
 
 EPSILON = 1e-6
 CORRELATION_PERCENT = 90
+BLOCK_VALUES = 8_000_000
 
 
 def no_impact_patterns(features: Sequence[str], patterns: Sequence[str], separator: str = "=") -> list[str]:
@@ -66,35 +70,81 @@ def with_evidence(df: DataFrame, features: Sequence[str], target: str, suffix: s
     return out.select(*df.columns, *[f"{c}{suffix}" for c in features])
 
 
-def mutual_information(df: DataFrame, columns: Sequence[str], chunk: int = 200) -> DataFrame:
+def joint_counts(df: DataFrame, columns: Sequence[str], block_values: int = BLOCK_VALUES) -> DataFrame:
+    """(i, j, x, y, c): rows in which columns i <= j hold the levels x and y; nulls do not count.
+
+    Tasks number the levels of a block of rows per column and count all pairs of
+    columns as integers; only cells with a count leave a block, and tasks combine
+    theirs before the shuffle.  So what is shuffled grows with tasks and levels, not
+    with rows times pairs.  A block holds about ``block_values`` values.
+    """
+    names = list(columns)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        limit = max(1, block_values // len(names))
+
+        def block(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(held)
+            levels, codes = [], []
+            for column in table.columns:
+                gone = column.is_null().to_numpy()
+                found, code = np.unique(column.fill_null(0.0).to_numpy() + 0.0, return_inverse=True)
+                code = code.astype(np.int64)
+                code[gone] = len(found)  # a null is a level of its own, which is never sent
+                levels.append(found)
+                codes.append(code)
+            for i, x in enumerate(levels):
+                for j in range(i, len(names)):
+                    width = len(levels[j]) + 1
+                    cells = codes[i] * width + codes[j]
+                    if (len(x) + 1) * width <= 4 * len(cells) + 1024:
+                        counts = np.bincount(cells)
+                        cells = np.flatnonzero(counts)
+                        counts = counts[cells]
+                    else:
+                        cells, counts = np.unique(cells, return_counts=True)
+                    at, other = np.divmod(cells, width)
+                    keep = (at < len(x)) & (other < width - 1)
+                    at, other, counts = at[keep], other[keep], counts[keep].astype(np.int64)
+                    size = len(at)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(size, i, np.int32)), pa.array(np.full(size, j, np.int32)), pa.array(x[at]), pa.array(levels[j][other]), pa.array(counts)],
+                        names=["i", "j", "x", "y", "c"],
+                    )
+
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= limit:
+                yield from block(held)
+                held, rows = [], 0
+        if rows:
+            yield from block(held)
+
+    numbers = df.select(*[F.col(f"`{c}`").cast("double").alias(f"_{k}") for k, c in enumerate(names)])
+    cells = numbers.mapInArrow(counted, "i int, j int, x double, y double, c long")
+    return cells.groupBy("i", "j", "x", "y").agg(F.sum("c").alias("c"))
+
+
+def mutual_information(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Plug-in mutual information of every column pair (a before b, and a with itself).
 
-    Columns hold discrete levels.  Joint counts of a chunk of pairs are one
-    map-side combined aggregation over exploded (pair, level, level) triples.
+    Columns hold discrete levels.  With counts c of cells, and of levels of either side,
+    it is (sum c ln c - sum cx ln cx - sum cy ln cy) / n + ln n: sums of one small table
+    of joint counts, without a join.
     """
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    out = None
-    for start in range(0, len(pairs), chunk):
-        triples = F.array(
-            *[
-                F.struct(
-                    F.lit(a).alias("feature1"), F.lit(b).alias("feature2"),
-                    F.col(f"`{a}`").cast("double").alias("x"), F.col(f"`{b}`").cast("double").alias("y"),
-                )
-                for a, b in pairs[start : start + chunk]
-            ]
-        )
-        joint = (
-            df.select(F.explode(triples).alias("t")).select("t.*").where(F.col("x").isNotNull() & F.col("y").isNotNull())
-            .groupBy("feature1", "feature2", "x", "y").agg(F.count(F.lit(1)).alias("c"))
-        )
-        with_x = attach(joint, ["feature1", "feature2", "x"], cx=F.sum("c"))
-        with_y = attach(with_x, ["feature1", "feature2", "y"], cy=F.sum("c"))
-        all_n = attach(with_y, ["feature1", "feature2"], n=F.sum("c"))
-        term = F.col("c") / F.col("n") * F.log(F.col("c") * F.col("n") / (F.col("cx") * F.col("cy")))
-        part = all_n.groupBy("feature1", "feature2").agg(F.sum(term).alias("mutual_information"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    joint = durable(joint_counts(df, columns))
+
+    def part(counts: DataFrame, sign: int) -> DataFrame:
+        return counts.select("i", "j", (sign * F.col("c") * F.log("c")).alias("s"), (F.col("c") if sign > 0 else F.lit(0)).alias("n"))
+
+    sides = [joint.groupBy("i", "j", side).agg(F.sum("c").alias("c")) for side in ("x", "y")]
+    parts = part(joint, 1).unionByName(part(sides[0], -1)).unionByName(part(sides[1], -1))
+    total = F.sum("n")
+    out = parts.groupBy("i", "j").agg((F.sum("s") / total + F.log(total)).alias("mutual_information"))
+    named = F.lit(list(columns))
+    return out.select(F.get(named, "i").alias("feature1"), F.get(named, "j").alias("feature2"), "mutual_information")
 
 
 def redundant_features(information: DataFrame, features: Sequence[str], target: str, percent: float = CORRELATION_PERCENT) -> list[str]:
@@ -146,7 +196,6 @@ class FeatureSelection(SavedStage, Estimator):
 
     def _fit(self, dataset: DataFrame) -> FeatureSelectionModel:
         from riskframe.prep.columns import constant_columns, names, profile
-        from riskframe.session import durable
 
         vectors = [f.name for f in dataset.schema if isinstance(f.dataType, VectorUDT)]
         features = [c for c in dataset.columns if c not in (self.key, self.target, *vectors)]

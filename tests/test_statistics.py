@@ -142,3 +142,37 @@ def test_discretize_against_numpy(spark):
     want = pd.cut(got.x, edges, labels=False, include_lowest=True)
     assert (got.x_bin == want).mean() > 0.995 and (got.x_bin - want).abs().max() <= 1  # float edges
     assert (got.one_bin == 0).all() and (got.flag_bin == got.flag).all()
+
+
+def test_lambda_lies_wherever_the_likelihood_says(spark):
+    """Values made by the inverse transform of normal ones, for powers far outside the first grid."""
+    z, made = np.random.default_rng(11).normal(0, 0.25, 20_000), {}
+    for power in (-9.0, -1.5, 0.0, 2.0, 9.0):
+        y = z / max(1.0, abs(power), abs(2 - power))  # within the transform's range
+        up = np.expm1(np.log1p(np.maximum(y, 0) * power) / power) if power else np.expm1(np.maximum(y, 0))
+        down = 2 - power
+        low = -np.expm1(np.log1p(np.maximum(-y, 0) * down) / down) if down else -np.expm1(np.maximum(-y, 0))
+        made[str(power)] = np.where(y >= 0, up, low)
+    made["one"] = np.array([5.0, 5.0])
+    df = spark.createDataFrame(pd.concat([pd.DataFrame({"g": g, "v": v}) for g, v in made.items()])).repartition(4)
+    found = {r.g: r.lam for r in distributions.yeo_johnson_lambdas(df, ["g"], "v").collect()}
+
+    def likelihood(v, lam):
+        a, b = np.maximum(v, 0), np.maximum(-v, 0)
+        up = np.log1p(a) if abs(lam) < 1e-12 else np.expm1(lam * np.log1p(a)) / lam
+        down = np.log1p(b) if abs(lam - 2) < 1e-12 else np.expm1((2 - lam) * np.log1p(b)) / (2 - lam)
+        return -len(v) / 2 * np.log(np.var(np.where(v >= 0, up, -down))) + (lam - 1) * np.sum(np.sign(v) * np.log1p(np.abs(v)))
+
+    assert "one" not in found, "a single value has no lambda"
+    for power in (-9.0, -1.5, 0.0, 2.0, 9.0):
+        v, lam = made[str(power)], found[str(power)]
+        assert abs(lam - power) < max(0.3, abs(power) * 0.1)
+        best = likelihood(v, lam)
+        assert all(likelihood(v, lam + d) <= best + 1e-6 for d in (-0.5, -0.01, -0.001, 0.001, 0.01, 0.5))
+
+
+def test_lambda_of_far_values_keeps_its_digits(spark):
+    """Values of one sign whose transform lies within rounding of its limit."""
+    v = (1 + np.random.default_rng(2).normal(0, 0.02, 3000)) ** (-1 / 7.0) * 60 - 1
+    found = distributions.yeo_johnson_lambdas(spark.createDataFrame([("g", float(x)) for x in v], "g string, v double"), ["g"], "v").first()
+    assert -60 < found.lam < 60 and found.lam != 0.0
