@@ -171,15 +171,16 @@ def ngrams(text: Column | str, up_to: int = 3) -> Column:
 
 
 def ngram_frequencies(df: DataFrame, text: str, up_to: int = 3) -> DataFrame:
-    """How often each n-gram occurs, most frequent first."""
+    """How often each n-gram occurs, in no order: whoever wants the top of it need not
+    sort every n-gram there is."""
     grams = df.select(F.explode(ngrams(text, up_to)).alias("ngram"))
-    counts = grams.groupBy("ngram").agg(F.count(F.lit(1)).alias("count"))
-    return counts.orderBy(F.desc("count"), "ngram")
+    return grams.groupBy("ngram").agg(F.count(F.lit(1)).alias("count"))
 
 
 def top_words(df: DataFrame, text: str, limit: int = 500) -> DataFrame:
     """The most frequent words (a word cloud's input)."""
-    return ngram_frequencies(df, text, 1).select(F.col("ngram").alias("word"), "count").limit(limit)
+    top = ngram_frequencies(df, text, 1).orderBy(F.desc("count"), "ngram").limit(limit)
+    return top.select(F.col("ngram").alias("word"), "count")
 
 
 def _window_match(text: Column, keyword: str, edits: int, chunk: int = 256) -> Column:

@@ -270,13 +270,18 @@ def yeo_johnson_lambdas(df: DataFrame, keys: Sequence[str], value: str) -> DataF
     return finished.select(*keys, F.col("_best").alias("lam"))
 
 
+# Published coefficients of Acklam's rational approximation of the normal quantile.
+NORMAL_QUANTILE = (
+    (-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.357751867269, -30.66479806614716, 2.506628277459239),
+    (-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572),
+    (-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783),
+    (0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416),
+)
+
+
 def _inverse_normal(p: Column) -> Column:
     """Standard normal quantile (Acklam's rational approximation, 1e-9)."""
-    # The approximation's published coefficients.
-    a = (-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.357751867269, -30.66479806614716, 2.506628277459239)
-    b = (-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572)
-    c = (-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783)
-    d = (0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416)
+    a, b, c, d = NORMAL_QUANTILE
 
     def poly(coefficients, x):
         out = F.lit(coefficients[0])

@@ -25,7 +25,8 @@ def with_iqr_outliers(
     keys = list(groups)
     scaled = attach(df.withColumn("_x", x), keys, _max=F.max("_x"))
     scaled = scaled.withColumn("_x", F.when(F.col("_max") > 0, F.round(F.col("_x") / F.col("_max"), 4)))
-    levels = scaled.where(F.col("_x").isNotNull()).groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_c"))
+    # Kept: quartiles and mean read it several times, and it has few rows.
+    levels = durable(scaled.where(F.col("_x").isNotNull()).groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_c")))
     quartiles = quantiles_of_counts(levels, keys, "_x", "_c", {"_q1": 0.25, "_q3": 0.75})
     mean = levels.groupBy(*keys).agg((F.sum(F.col("_x") * F.col("_c")) / F.sum("_c")).alias("_mean"))
     if keys:

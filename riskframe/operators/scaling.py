@@ -11,7 +11,8 @@ from riskframe.frames import with_scalars
 from riskframe.ordered import exact_quantiles
 
 EPSILON = 1e-6
-MAX_BINS = 1_000_000
+# Whole numbers that a double can hold: bins beyond could not be told apart.
+MAX_BINS = 2**53
 
 
 def bin_plan(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -368,7 +368,59 @@ def standardize_z(t):
     return out.select("c_custkey", "z_class", F.round("z", 6).alias("z"))
 
 
-@register("standardize_skewed")
+def _transform_sql(x, lam):
+    return (
+        f"CASE WHEN {x} >= 0 THEN CASE WHEN abs({lam}) < 1e-12 THEN ln(1 + {x}) ELSE (pow({x} + 1, {lam}) - 1) / {lam} END "
+        f"ELSE CASE WHEN abs({lam} - 2) < 1e-12 THEN -ln(1 - {x}) ELSE -(pow(1 - {x}, 2 - {lam}) - 1) / (2 - {lam}) END END"
+    )
+
+
+def _lambda_pass_sql(name, before, step):
+    """One narrowing grid around the lambdas of the pass before; the class of every event type is read off the data."""
+    return f"""
+    {name} AS (SELECT g, arg_max(lam, score) AS lam FROM (
+      SELECT g, lam, -count(*) / 2.0::DOUBLE * ln(var_pop({_transform_sql('x', 'lam')})) + (lam - 1) * sum(sign(x) * ln(1 + abs(x))) AS score
+      FROM (SELECT v.g, v.x, b.lam + i * {step}::DOUBLE AS lam FROM v JOIN {before} AS b ON b.g = v.g, range(-20, 21) AS r(i)) GROUP BY g, lam) GROUP BY g)"""
+
+
+@register(
+    "power_lambdas",
+    f"""
+    WITH v AS (SELECT event_type AS g, value AS x FROM events WHERE value IS NOT NULL), l0 AS (SELECT DISTINCT g, 0.0::DOUBLE AS lam FROM v),
+    {_lambda_pass_sql('l1', 'l0', '0.25')}, {_lambda_pass_sql('l2', 'l1', '0.0125')}, {_lambda_pass_sql('l3', 'l2', '0.000625')}
+    SELECT g AS event_type, round(lam, 6) AS lam FROM l3
+    """,
+)
+def power_lambdas(t):
+    out = distributions.yeo_johnson_lambdas(t.events, ["event_type"], "value")
+    return out.select("event_type", F.round("lam", 6).alias("lam"))
+
+
+def _normal_quantile_sql(p):
+    def poly(coefficients, x):
+        out = repr(coefficients[0]) + "::DOUBLE"
+        for k in coefficients[1:]:
+            out = f"({out} * {x} + {k!r}::DOUBLE)"
+        return out
+
+    a, b, c, d = distributions.NORMAL_QUANTILE
+    q, low, high = f"({p} - 0.5)", f"sqrt(-2 * ln({p}))", f"sqrt(-2 * ln(1 - {p}))"
+    return (
+        f"CASE WHEN {p} < 0.02425 THEN {poly(c, low)} / {poly((*d, 1.0), low)} "
+        f"WHEN {p} > 1 - 0.02425 THEN -{poly(c, high)} / {poly((*d, 1.0), high)} "
+        f"ELSE {poly(a, f'({q} * {q})')} * {q} / {poly((*b, 1.0), f'({q} * {q})')} END"
+    )
+
+
+@register(
+    "standardize_skewed",
+    f"""
+    WITH c AS (SELECT event_type AS g, value AS x, count(*) AS c FROM events WHERE value IS NOT NULL GROUP BY ALL),
+    r AS (SELECT g, x, (sum(c) OVER (PARTITION BY g ORDER BY x) - (c + 1) / 2.0::DOUBLE) / (sum(c) OVER (PARTITION BY g) - 1) AS p FROM c),
+    q AS (SELECT g, x, greatest(1e-7::DOUBLE, least(1 - 1e-7::DOUBLE, p)) AS p FROM r)
+    SELECT event_id, 'Multimodal' AS z_class, round({_normal_quantile_sql('p')}, 4) AS z FROM events LEFT JOIN q ON g = event_type AND x = value
+    """,
+)
 def standardize_skewed(t):
     out = distributions.standardize(t.events.select("event_id", "event_type", "value"), ["event_type"], "value", "z")
     return out.select("event_id", "z_class", F.round("z", 4).alias("z"))

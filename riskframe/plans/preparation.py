@@ -19,6 +19,24 @@ def labelled(t):
 _LABELLED = "(SELECT d.doc_id, lang, source, n_chars, toxic AS target, quality FROM documents d JOIN labels l ON l.doc_id = d.doc_id)"
 
 
+def _facts_sql(table, texts=(), numbers=(), others=(), **made):
+    """One row of facts per column, computed from the data; ``made`` columns are expressions."""
+    parts = []
+    for name in (*texts, *numbers, *others):
+        c = made.get(name, name)
+        deviation = f"stddev_samp({c})" if name in numbers else "NULL::DOUBLE"
+        parts.append(
+            f"SELECT '{name}' AS column_name, count(*) AS rows, count({c}) AS present, count(DISTINCT {c}) AS levels, {deviation} AS std, "
+            f"coalesce(max(len(regexp_extract_all(({c})::VARCHAR, '\\S+'))), 0) AS words, {name in numbers} AS numeric, "
+            f"(SELECT max(n) / sum(n) FROM (SELECT count(*) AS n FROM (SELECT {c} AS v FROM {table}) WHERE v IS NOT NULL GROUP BY v)) AS top, "
+            f"count(try_cast(({c})::VARCHAR AS DOUBLE)) = count({c}) AS is_number, count(try_cast(({c})::VARCHAR AS TIMESTAMP)) = count({c}) AS is_date FROM {table}"
+        )
+    return "(" + " UNION ALL ".join(parts) + ")"
+
+
+_ORDER_FACTS = _facts_sql("orders", ("o_orderstatus", "o_orderpriority"), ("o_orderkey", "o_custkey", "o_totalprice"), ("o_orderdate",))
+
+
 @register(
     "column_profile",
     " UNION ALL ".join(
@@ -31,7 +49,7 @@ def column_profile(t):
     return out.select("column_name", "rows", "present", "distinct_values")
 
 
-@register("near_unique_columns", "SELECT 'o_orderkey' AS column_name UNION ALL SELECT 'o_totalprice'")
+@register("near_unique_columns", f"SELECT column_name FROM {_ORDER_FACTS} WHERE levels / rows > 0.5")
 def near_unique_columns(t):
     return columns.near_unique_columns(columns.profile(t.orders))
 
@@ -45,23 +63,32 @@ def top_value_shares(t):
     return out.withColumn("top_share", F.round("top_share", 6))
 
 
-@register("free_text_columns", "SELECT 'text' AS column_name")
+@register("free_text_columns", f"SELECT column_name FROM {_facts_sql('documents', ('text', 'lang', 'source'), ('doc_id', 'n_chars'))} WHERE words > 5")
 def free_text_columns(t):
     return columns.free_text_columns(columns.profile(t.documents))
 
 
-@register("missing_columns", "SELECT 'flag' AS column_name")
+@register(
+    "missing_columns",
+    "SELECT column_name FROM " + _facts_sql("orders", ("o_orderstatus",), ("o_orderkey", "flag"), flag="CASE WHEN o_custkey = 1 THEN 1 END") + " WHERE (rows - present) / rows > 0.8",
+)
 def missing_columns(t):
     rows = t.orders.select("o_orderkey", F.when(F.col("o_custkey") == 1, 1).alias("flag"), "o_orderstatus")
     return columns.missing_columns(columns.profile(rows))
 
 
-@register("constant_columns", "SELECT 'same' AS column_name")
+@register("constant_columns", f"SELECT column_name FROM {_facts_sql('part', ('p_brand',), ('same', 'p_size'), same='1')} WHERE levels = 1")
 def constant_columns(t):
     return columns.constant_columns(columns.profile(t.part.select("p_brand", F.lit(1).alias("same"), "p_size")))
 
 
-@register("modelling_removals", "SELECT unnest(['SPT_Source', 'clerk', 'same']) AS column_name")
+_REMOVABLE = " OR ".join(f"contains(lower(column_name), '{p.lower()}')" for p in REMOVABLE_NAME_PARTS)
+_MODELLED = _facts_sql(
+    "orders", ("clerk", "same", "o_orderpriority"), ("SPT_Source", "o_totalprice"), SPT_Source="o_custkey", clerk="'Clerk' || o_orderkey", same="'x'"
+)
+
+
+@register("modelling_removals", f"SELECT column_name FROM {_MODELLED} WHERE {_REMOVABLE} OR levels <= 1 OR (levels / rows >= 0.5 AND NOT numeric)")
 def modelling_removals(t):
     rows = t.orders.select(
         F.col("o_custkey").alias("SPT_Source"), F.concat(F.lit("Clerk"), "o_orderkey").alias("clerk"),
@@ -70,15 +97,18 @@ def modelling_removals(t):
     return columns.modelling_removals(columns.profile(rows), REMOVABLE_NAME_PARTS)
 
 
-@register("profile_removals", "SELECT unnest(['l_discount', 'l_tax']) AS column_name")
+@register(
+    "profile_removals",
+    f"SELECT column_name FROM {_facts_sql('lineitem', (), ('l_quantity', 'l_extendedprice', 'l_discount', 'l_tax'))} WHERE std < 0.1 OR (rows - present) / rows > 0.997",
+)
 def profile_removals(t):
     return columns.profile_removals(columns.profile(t.lineitem, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]))
 
 
 @register(
     "column_roles",
-    "SELECT * FROM (VALUES ('o_custkey', 'dropped'), ('o_orderstatus', 'categorical'), ('o_totalprice', 'numeric'), "
-    "('o_orderdate', 'datetime'), ('o_orderpriority', 'categorical')) v(column_name, role)",
+    "SELECT column_name, CASE WHEN column_name = 'o_totalprice' THEN 'numeric' WHEN is_date AND NOT is_number THEN 'datetime' "
+    f"WHEN NOT is_number AND levels / rows <= 0.5 AND top >= 0.01 AND words <= 5 THEN 'categorical' ELSE 'dropped' END AS role FROM {_ORDER_FACTS} WHERE column_name <> 'o_orderkey'",
 )
 def column_roles(t):
     return columns.assign_roles(t.orders, ["o_totalprice"], "o_orderkey")
@@ -104,6 +134,32 @@ def rare_labels_replaced(t):
     return impute.impute_rare_labels(t.documents.select("doc_id", "source"), rare, ["source"])
 
 
+_BANDED = "(SELECT doc_id, 'band ' || (n_chars // 20)::VARCHAR AS band FROM documents)"
+_RARE_BANDS = f"""
+    n AS (SELECT band, count(*) AS c, max(toxic) AS p, sum(count(*)) OVER () AS n FROM {_BANDED} AS b JOIN labels AS l ON l.doc_id = b.doc_id GROUP BY band),
+    rare AS (SELECT band FROM n WHERE c / n < 0.01 AND p = 0)
+"""
+
+
+def _banded(t):
+    """Documents with a category of many levels, some of them rare: bands of length."""
+    return t.documents.select("doc_id", F.concat(F.lit("band "), F.floor(F.col("n_chars") / 20).cast("string")).alias("band"))
+
+
+@register("rare_length_bands", f"WITH {_RARE_BANDS} SELECT 'band' AS column_name, band AS label FROM rare")
+def rare_length_bands(t):
+    known = _banded(t).join(t.labels.select("doc_id", F.col("toxic").cast("int").alias("target")), "doc_id")
+    return impute.rare_labels(known, ["band"], "target")
+
+
+@register(
+    "rare_length_bands_replaced",
+    f"WITH {_RARE_BANDS} SELECT doc_id, CASE WHEN band IN (SELECT band FROM rare) THEN '<||unknown||>' ELSE band END AS band FROM {_BANDED}",
+)
+def rare_length_bands_replaced(t):
+    return impute.impute_rare_labels(_banded(t), rare_length_bands(t), ["band"])
+
+
 @register(
     "date_median_imputation",
     "WITH o AS (SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_orderdate END AS d FROM orders) "

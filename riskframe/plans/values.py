@@ -151,7 +151,11 @@ def malformed_identifiers(t):
 
 @register(
     "sniffed_types",
-    "SELECT * FROM (VALUES ('event_id', 'NUMERIC'), ('ts', 'DATETIME'), ('event_type', 'STRING'), ('value', 'NUMERIC'), ('flag', 'BOOLEAN')) v(column_name, kind)",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, CASE WHEN bool_and(lower(v) IN ('true', 'false')) THEN 'BOOLEAN' WHEN count(try_cast(v AS DOUBLE)) = count(v) THEN 'NUMERIC' "
+        f"WHEN count(try_cast(v AS TIMESTAMP)) = count(v) THEN 'DATETIME' ELSE 'STRING' END AS kind FROM (SELECT ({x})::VARCHAR AS v FROM events)"
+        for c, x in {"event_id": "event_id", "ts": "ts", "event_type": "event_type", "value": "value", "flag": "user_id > 10"}.items()
+    ),
 )
 def sniffed_types(t):
     return values.sniff_types(_texts(t))

@@ -46,16 +46,17 @@ def decade_bin(x: Column) -> Column:
 
     0 falls in "0-1"; negative and missing values have no bin.
     """
-    # Powers of ten as exact literals: a value on an edge must not slip over it.
-    power = F.lit(1.0)
-    for e in range(1, 300):
-        if e > 30:
-            break
-        power = F.when(x > 10.0**e, 10.0**e).otherwise(power)
-    high = F.ceil(x / power) * power
-    text = lambda v: v.cast("decimal(38,0)").cast("string")
-    label = F.concat(text(high - power), F.lit("-"), text(high))
-    return F.when(x == 0, "0-1").when(x > 0, label)
+    # Powers of ten as exact literals: a value on an edge must not slip over it.  The
+    # logarithm is at most one place off; of the places around it the highest below x counts.
+    powers = F.lit([float(f"1e{e}") for e in range(309)])
+    near = F.floor(F.log10(F.greatest(x, F.lit(1.0)))).cast("int")
+    around = [F.greatest(near + k, F.lit(0)) for k in (1, 0)]
+    place = F.when(F.get(powers, around[0]) < x, around[0]).when(F.get(powers, around[1]) < x, around[1])
+    place = F.coalesce(place, F.greatest(near - 1, F.lit(0)))
+    high = F.ceil(x / F.get(powers, place))
+    zeros = F.repeat(F.lit("0"), place)
+    label = F.concat(F.when(high > 1, F.concat((high - 1).cast("string"), zeros)).otherwise("0"), F.lit("-"), high.cast("string"), zeros)
+    return F.when(x == 0, "0-1").when((x > 0) & (x < float("inf")), label)
 
 
 def powers(column: str, value: Column, degree: int = 2) -> list[Column]:

@@ -89,7 +89,8 @@ def test_filter_language(spark):
 
 
 def test_decade_bins(spark):
-    cases = {0.0: "0-1", 0.5: "0-1", 1.0: "0-1", 1.01: "1-2", 10.0: "9-10", 10.5: "10-20", 100.0: "90-100", 100.1: "100-200", 1000.0: "900-1000", -3.0: None, 999999.5: "900000-1000000"}
+    cases = {0.0: "0-1", 0.5: "0-1", 1.0: "0-1", 1.01: "1-2", 10.0: "9-10", 10.5: "10-20", 100.0: "90-100", 100.1: "100-200", 1000.0: "900-1000", -3.0: None, 999999.5: "900000-1000000",
+             1000.0000000000001: "1000-2000", 1e30: "9" + "0" * 29 + "-1" + "0" * 30, 2.5e40: "2" + "0" * 40 + "-3" + "0" * 40, 1.5e308: "1" + "0" * 308 + "-2" + "0" * 308, float("inf"): None}
     got = {r.x: r.b for r in spark.createDataFrame([(k,) for k in cases], "x double").select("x", encode.decade_bin(F.col("x")).alias("b")).collect()}
     assert got == cases
 
