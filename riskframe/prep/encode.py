@@ -53,7 +53,10 @@ def decade_bin(x: Column) -> Column:
     around = [F.greatest(near + k, F.lit(0)) for k in (1, 0)]
     place = F.when(F.get(powers, around[0]) < x, around[0]).when(F.get(powers, around[1]) < x, around[1])
     place = F.coalesce(place, F.greatest(near - 1, F.lit(0)))
-    high = F.ceil(x / F.get(powers, place))
+    power = F.get(powers, place)
+    # A quotient may be rounded up past an edge: x is at most ten powers, and a multiple not below x bounds it.
+    high = F.least(F.ceil(x / power), F.lit(10))
+    high = F.when((high - 1) * power >= x, high - 1).otherwise(high)
     zeros = F.repeat(F.lit("0"), place)
     label = F.concat(F.when(high > 1, F.concat((high - 1).cast("string"), zeros)).otherwise("0"), F.lit("-"), high.cast("string"), zeros)
     return F.when(x == 0, "0-1").when((x > 0) & (x < float("inf")), label)
