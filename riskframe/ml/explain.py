@@ -113,17 +113,28 @@ def sampled_contributions(
 
 
 def shown_value(feature: Column, value: Column, amount: Column, onehot: Sequence[str] = (), prefix: str = "Anmly_") -> Column:
-    """One-hot as true/false, anomaly score as percent, ``c^n`` as the amount's power."""
+    """One-hot as true/false, anomaly score as percent, ``c^n`` as the amount's power.
+
+    Numbers are written out, as 81000000.0 rather than 8.1E7, up to 1e16: beyond, doubles do not tell whole numbers apart.
+    """
     power = F.regexp_extract(feature, r"\^(\d+)$", 1).try_cast("double")
     polynomial = F.when(amount != 0, F.round(F.pow(amount, power), 2))
     return (
         F.when(F.lower(feature).isin([o.lower() for o in onehot]), F.when(value != 0, "True").otherwise("False"))
         .when(feature.startswith(prefix), F.format_string("%.2f%%", value * 100))
-        .when(power.isNotNull() & polynomial.isNotNull(), polynomial.cast("string"))
-        .otherwise(value.cast("string"))
+        .when(power.isNotNull() & polynomial.isNotNull(), _written_out(polynomial))
+        .otherwise(_written_out(value))
     )
 
 
+def _written_out(number: Column) -> Column:
+    """A number as text; doubles of 1e7 and more without Spark's exponent."""
+    x = number.cast("double")
+    # A double of that size has at most 10 decimals.
+    decimals = F.regexp_replace(x.try_cast("decimal(38,10)").cast("string"), r"(\.\d+?)0+$", "$1")
+    return F.when((F.abs(x) >= 1e7) & (F.abs(x) < 1e16) & number.cast("string").contains("E"), decimals).otherwise(number.cast("string"))
+
+
 def failed_tests(df: DataFrame, key: str, patterns: DataFrame) -> DataFrame:
     """Evidence of every transaction: patterns with a positive score, one row each.
 

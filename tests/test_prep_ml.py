@@ -206,3 +206,11 @@ def test_sinks(spark, tmp_path):
     spark.createDataFrame([('{"id": 1, "items": [{"n": 1}, {"n": 2}]}',)], "v string").write.text(str(tmp_path / "j"))
     docs = files.read_json_documents(spark, str(tmp_path / "j"), "id INT, items ARRAY<STRUCT<n: INT>>")
     assert [tuple(r) for r in files.flatten_items(docs, "items", ["id"]).collect()] == [(1, 1), (1, 2)]
+
+
+def test_shown_values_are_written_out(spark):
+    """Large numbers are shown in full, as far as doubles tell whole numbers apart."""
+    rows = [("amount^2", 0.0, 9000.0), ("amount^2", 0.0, 1.5), ("other", 12345678.25, 1.0), ("other", 1e16, 1.0), ("other", -2e7, 1.0), ("other", None, 1.0), ("other", 0.5, 1.0)]
+    df = spark.createDataFrame(rows, "f string, v double, a double").coalesce(1)
+    got = [r[0] for r in df.select(explain.shown_value(F.col("f"), F.col("v"), F.col("a"))).collect()]
+    assert got == ["81000000.0", "2.25", "12345678.25", "1.0E16", "-20000000.0", None, "0.5"]
