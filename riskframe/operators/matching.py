@@ -3,7 +3,9 @@
 Lines carry ``item_id, item_description, item_amount, item_quantity``; purchase
 orders are keyed by ``po_id``, invoices by ``invoice_id, po_id``.  Every pair of an
 order is scored, in a join that adaptive execution splits where an order is large.
-The match works on classes of equal lines: lines of one class have the same
+Orders with few pairs are matched whole: their lines meet once, dealt by order, and the
+pairs of an invoice are taken in order.  Larger orders, which one task may not hold, are
+matched in steps on classes of equal lines: lines of one class have the same
 difference to every other line, so they are taken in order of their ids and only
 classes are paired.  One step is repeated on all orders at once: two classes whose
 first open lines are each other's best are matched line by line, as far as no other
@@ -27,6 +29,8 @@ from riskframe.session import durable
 AMOUNT_WEIGHT = 0.25
 QUANTITY_WEIGHT = 0.25
 DESCRIPTION_WEIGHT = 0.50
+# Orders with at most this many pairs, all their invoices together, are matched within one row.
+WHOLE_ORDER_PAIRS = 10_000
 _LINE = ("item_id", "item_description", "item_amount", "item_quantity")
 
 
@@ -98,6 +102,30 @@ def two_way_match(invoices: DataFrame, orders: DataFrame) -> DataFrame:
     Ascending difference; ties by invoice line, then order line.  Line ids are unique
     in an invoice and in an order.
     """
+    n, m = invoices.groupBy("po_id").agg(F.count("invoice_id").alias("n")), orders.groupBy("po_id").agg(F.count(F.lit(1)).alias("m"))
+    large = durable(n.join(m, "po_id").where(F.col("n") * F.col("m") > WHOLE_ORDER_PAIRS).select("po_id"))
+    if large.isEmpty():
+        return _match_whole(invoices, orders)
+    small = _match_whole(*[lines.join(large, "po_id", "left_anti") for lines in (invoices, orders)])
+    return small.unionByName(_match_classes(*[lines.join(large, "po_id", "left_semi") for lines in (invoices, orders)]))
+
+
+def _match_whole(invoices: DataFrame, orders: DataFrame) -> DataFrame:
+    """The match of orders whose pairs fit into one row; lines are dealt by order once, pairs are not shuffled."""
+    i, o = _sides(invoices.where(F.col("invoice_id").isNotNull()), orders)
+    pair = F.struct("weighted_diff", "item_id_invoice", "item_id_po")
+    pairs = _scored(i.join(o.hint("merge"), "po_id")).groupBy("invoice_id", "po_id").agg(F.sort_array(F.collect_list(pair)).alias("_pairs"))
+
+    def free(taken: Column, p: Column) -> Column:
+        return ~F.exists(taken, lambda t: t["item_id_invoice"].eqNullSafe(p["item_id_invoice"]) | t["item_id_po"].eqNullSafe(p["item_id_po"]))
+
+    taken = F.aggregate("_pairs", F.slice("_pairs", 1, 0), lambda t, p: F.when(free(t, p), F.concat(t, F.array(p))).otherwise(t))
+    found = pairs.select("invoice_id", "po_id", F.explode(taken).alias("_p"))
+    return found.select("invoice_id", "po_id", "_p.item_id_invoice", "_p.item_id_po", "_p.weighted_diff")
+
+
+def _match_classes(invoices: DataFrame, orders: DataFrame) -> DataFrame:
+    """The match of orders of any size, in steps on classes of equal lines."""
     key = ["invoice_id", "po_id"]
     lines_a, classes_a = _ranked(invoices, key)
     lines_b, classes_b = _ranked(orders, ["po_id"])

@@ -252,3 +252,24 @@ def test_prefix_filter_misses_nothing(spark):
     }
     assert set(zip(got.a, got.b)) == want
     assert isinstance(got, pd.DataFrame)
+
+
+def test_ordinary_orders_are_matched_in_one_pass(spark, monkeypatch):
+    """No steps for orders of few pairs; the steps on classes give the same match, and so do both side by side."""
+    rng, inv, po = random.Random(7), [], []
+    for d in range(30):
+        inv += [(100 + d, d, *x) for x in lines(rng, rng.randint(1, 7), "i")] + [(500 + d, d, *x) for x in lines(rng, 2, "i")]
+        po += [(d, *x) for x in lines(rng, rng.randint(1, 7), "p")]
+    item = "item_id string, item_description string, item_amount double, item_quantity double"
+    invoices, orders = spark.createDataFrame(inv, f"invoice_id long, po_id long, {item}"), spark.createDataFrame(po, f"po_id long, {item}")
+    steps, matched = [], matching._matched
+    monkeypatch.setattr(matching, "_matched", lambda *a: steps.append(1) or matched(*a))
+
+    def match():
+        return {tuple(r) for r in matching.two_way_match(invoices, orders).collect()}
+
+    whole = match()
+    assert whole and not steps
+    for pairs in (0, 20):
+        monkeypatch.setattr(matching, "WHOLE_ORDER_PAIRS", pairs)
+        assert match() == whole and steps
