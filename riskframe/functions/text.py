@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import string
 import sys
 import unicodedata
@@ -183,24 +184,29 @@ def top_words(df: DataFrame, text: str, limit: int = 500) -> DataFrame:
     return top.select(F.col("ngram").alias("word"), "count")
 
 
-def _window_match(text: Column, keyword: str, edits: int, chunk: int = 256) -> Column:
+def _window_match(text: Column, keyword: str, edits: int) -> Column:
     """Whether some window as long as the keyword is within ``edits`` of it.
 
-    One of ``edits + 1`` pieces must survive unchanged.  The text is read in
-    overlapping chunks and windows are only measured in chunks holding a piece.
+    One of ``edits + 1`` pieces must survive unchanged, moved by at most ``edits``, so only windows that
+    hold a piece at such a place are measured: a regular expression cuts out the surroundings of each piece,
+    in a text with line breaks around it (``text`` itself has none).  A text shorter than the keyword is one window.
     """
     m = len(keyword)
     cut = [round(i * m / (edits + 1)) for i in range(edits + 2)]
-    pieces = [keyword[a:b] for a, b in zip(cut, cut[1:]) if b > a]
-
-    def near(part: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(part) - m + 1))
-        close = F.exists(starts, lambda i: F.levenshtein(F.substring(part, i, F.lit(m)), F.lit(keyword)) <= edits)
-        return any_of([part.contains(p) for p in pieces]) & close
-
-    begins = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text)), F.lit(chunk))
-    parts = F.transform(begins, lambda i: F.substring(text, i, F.lit(chunk + m)))
-    return any_of([text.contains(p) for p in pieces]) & F.exists(parts, near)
+    padded = F.concat(F.lit("\n" * (m + edits)), text, F.lit("\n" * (m + edits)))
+
+    def near(around: Column) -> Column:
+        windows = [F.substring(around, 1 + i, m) for i in range(2 * edits + 1)]
+        return any_of([~w.contains("\n") & (F.levenshtein(w, F.lit(keyword), edits) >= 0) for w in windows])
+
+    tests = [(F.length(text) < m) & (F.levenshtein(text, F.lit(keyword)) <= edits)]
+    for a, b in zip(cut, cut[1:]):
+        if b > a:
+            piece = keyword[a:b]
+            # Looking behind from each place of the piece, and from there ahead: places may overlap.
+            around = rf"(?s)(?={re.escape(piece)})(?<=(?=(.{{{m + 2 * edits}}})).{{{a + edits}}})"
+            tests.append(text.contains(piece) & F.exists(F.regexp_extract_all(padded, F.lit(around), F.lit(1)), near))
+    return any_of(tests)
 
 
 def keyword_flag(text: Column | str, keywords: Sequence[str], ratio: int = 89) -> Column:

@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from riskframe.functions import text
 from riskframe.operators import similarity
 
 
@@ -21,3 +22,31 @@ def test_sketches_keep_every_similar_pair(spark):
     similar = {(a, b) for a in held for b in held if a > b and len(held[a] & held[b]) / len(held[a] | held[b]) >= 0.75}
     assert len(similar) >= 40 and similar <= likely
     assert len(likely - similar) < 0.2 * len(held) * (len(held) - 1) / 2
+
+
+def test_keyword_windows_equal_every_window(spark):
+    """All windows measured by hand, pieces that overlap themselves and both ends included."""
+    rng, keyword, edits = random.Random(8), "aaabaaab", 1
+    texts = ["".join(rng.choice("aaab cé\U0001f600") for _ in range(rng.randint(0, 30))) for _ in range(300)]
+    for _ in range(100):
+        near = list(keyword)
+        near[rng.randrange(8)] = rng.choice(["", "c", "aa", "é"])
+        texts.append("".join(rng.choice("aab c") for _ in range(rng.randint(0, 4))) + "".join(near) + rng.choice(["", "a", " b😀"]))
+    texts += ["aaabaaa", "aabaaab", "aabaaab c", "c aaabaaa", "aaab\0aab", "x" * 300 + "aaabxaab"]
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            row, old = [i + 1], row
+            for j, y in enumerate(b):
+                row.append(min(row[-1] + 1, old[j + 1] + 1, old[j] + (x != y)))
+        return row[-1]
+
+    m = len(keyword)
+    want = [any(distance(t[i : i + m], keyword) <= edits for i in range(max(1, len(t) - m + 1))) for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    column = text._window_match(F.col("t"), keyword, edits)
+    got = [r[1] for r in sorted(df.select("i", column).collect())]
+    assert got == want and 20 < sum(want) < 380
+    # One window is not a step of a loop over all places of a chunk any more.
+    assert "sequence" not in df.select(column)._jdf.queryExecution().analyzed().toString()
