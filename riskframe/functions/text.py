@@ -90,15 +90,17 @@ def lemmatize(df: DataFrame, key: str, text: str, lemmas: DataFrame, word: str,
     """Replace each word by its lemma where the user's table has one.
 
     Words are joined to the table, so it may be as large as it likes; a text is put
-    together again from its own words only.
+    together again from its own words only.  Texts are dealt by key before they are split:
+    with a table small enough to broadcast, their words are not shuffled.
     """
-    spread = df.select(key, F.posexplode(tokens(text)).alias("_at", "_w"))
+    spread = df.select(key, text).repartition(key).select(key, F.posexplode(tokens(text)).alias("_at", "_w"))
     table = lemmas.groupBy(F.col(word).alias("_w")).agg(F.min(lemma).alias("_l"))
     named = spread.join(durable(table), "_w", "left").select(key, F.struct("_at", F.coalesce("_l", "_w").alias("w")).alias("_s"))
     joined = named.groupBy(key).agg(F.sort_array(F.collect_list("_s")).alias("_s"))
     texts = joined.select(key, F.array_join(F.col("_s")["w"], " ").alias("_text"))
-    out = df.join(texts, key, "left")
-    filled = F.when(F.col(text).isNotNull(), F.coalesce("_text", F.lit("")))
+    # Of the old text, only whether there is one goes through the join.
+    out = df.withColumn(text, F.col(text).isNotNull()).join(texts, key, "left")
+    filled = F.when(F.col(text), F.coalesce("_text", F.lit("")))
     return out.select(*[filled.alias(text) if c == text else F.col(c) for c in df.columns])
 
 

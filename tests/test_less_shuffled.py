@@ -24,6 +24,16 @@ def test_sketches_keep_every_similar_pair(spark):
     assert len(likely - similar) < 0.2 * len(held) * (len(held) - 1) / 2
 
 
+def test_lemmatize_shuffles_texts_not_words(spark):
+    docs = spark.createDataFrame([(1, "a  b c a"), (2, None), (3, ""), (4, "c")], "k long, t string")
+    lemmas = spark.createDataFrame([("a", "L1"), ("a", "L0"), ("c", "L2")], "w string, l string")
+    out = text.lemmatize(docs, "k", "t", lemmas, "w", "l")
+    assert dict(out.collect()) == {1: "L0 b L2 L0", 2: None, 3: "", 4: "L2"}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    words = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line and "_s" in line]
+    assert not words, words
+
+
 def test_keyword_windows_equal_every_window(spark):
     """All windows measured by hand, pieces that overlap themselves and both ends included."""
     rng, keyword, edits = random.Random(8), "aaabaaab", 1
