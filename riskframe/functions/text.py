@@ -248,7 +248,10 @@ def script(text: Column | str) -> Column:
     A binary search over the literal table of runs, on the JVM.
     """
     starts, words = script_ranges()
-    rest = F.regexp_replace(F.lower(_col(text)), "[ a-z]", "")
+    # The first such character is looked for, the rest of the text is not read.  Lower-casing makes the Kelvin sign an ASCII
+    # letter, and a dotted capital I such a letter and a mark.
+    other = F.lower(F.regexp_extract(_col(text), "[^ a-zA-Z\u212a]", 0))
+    rest = F.regexp_replace(other, "[ a-z]", "")
     code = F.ascii(F.coalesce(rest, F.lit("")))
     first = F.split(F.lit(",".join(map(str, starts))), ",").cast("array<int>")
     step = F.lit([1 << i for i in reversed(range(len(starts).bit_length()))])

@@ -60,3 +60,11 @@ def test_keyword_windows_equal_every_window(spark):
     assert got == want and 20 < sum(want) < 380
     # One window is not a step of a loop over all places of a chunk any more.
     assert "sequence" not in df.select(column)._jdf.queryExecution().analyzed().toString()
+
+
+def test_script_reads_no_more_than_the_first_other_character(spark):
+    rows = [("abc DЖ", "CYRILLIC"), ("KΣ", "GREEK"), ("İ", "COMBINING"), ("abc", "LATIN"), ("", "LATIN"), (None, "LATIN"), ("a\nЖ", "LATIN"), ("a É", "LATIN"), ("\U0001f600", "GRINNING")]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "i int, t string")
+    out = df.select("i", text.script("t").alias("s"))
+    assert [r["s"] for r in out.orderBy("i").collect()] == [w for _, w in rows]
+    assert "regexp_replace(lower(t" not in out._jdf.queryExecution().analyzed().toString()
