@@ -20,7 +20,8 @@ from riskframe.session import durable
 
 EPSILON = 1e-6
 CORRELATION_PERCENT = 90
-BLOCK_VALUES = 8_000_000
+# Values of a block: a Python process holds a few times their size, whatever the number of rows.
+BLOCK_VALUES = 1_000_000
 
 
 def no_impact_patterns(features: Sequence[str], patterns: Sequence[str], separator: str = "=") -> list[str]:

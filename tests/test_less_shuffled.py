@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from riskframe.functions import text
 from riskframe.operators import similarity
+from riskframe.prep import select
 
 
 def test_sketches_keep_every_similar_pair(spark):
@@ -68,3 +69,8 @@ def test_script_reads_no_more_than_the_first_other_character(spark):
     out = df.select("i", text.script("t").alias("s"))
     assert [r["s"] for r in out.orderBy("i").collect()] == [w for _, w in rows]
     assert "regexp_replace(lower(t" not in out._jdf.queryExecution().analyzed().toString()
+
+
+def test_joint_counts_hold_small_blocks():
+    """A Python process of an executor holds one block: about 8 MB for each of its arrays."""
+    assert select.joint_counts.__defaults__ == (select.BLOCK_VALUES,) and select.BLOCK_VALUES <= 1_000_000
