@@ -2,9 +2,12 @@
 
 import random
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from riskframe.functions import text
+from riskframe.ml import neighbours
 from riskframe.operators import similarity
 from riskframe.prep import select
 
@@ -74,3 +77,19 @@ def test_script_reads_no_more_than_the_first_other_character(spark):
 def test_joint_counts_hold_small_blocks():
     """A Python process of an executor holds one block: about 8 MB for each of its arrays."""
     assert select.joint_counts.__defaults__ == (select.BLOCK_VALUES,) and select.BLOCK_VALUES <= 1_000_000
+
+
+def test_neighbours_are_searched_in_blocks_not_by_query(spark, monkeypatch):
+    """Where distances hardly differ every block is reached; rows are then sent once for a pair of blocks, not for a query and a block."""
+    rng, sent = np.random.default_rng(3), []
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(3000, 24)))]
+    kept = neighbours.durable
+    monkeypatch.setattr(neighbours, "durable", lambda df: sent.append(kept(df)) or sent[-1])
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    found = neighbours.nearest(df, df, "id", "v", 3).collect()
+    held = np.array([v for _, v in rows])
+    apart = ((held[:, None] - held[None]) ** 2).sum(2)
+    np.fill_diagonal(apart, np.inf)
+    want = {(i, int(j)) for i in range(len(rows)) for j in np.argsort(apart[i])[:3]}
+    assert {(r["id"], r["neighbour"]) for r in found} == want
+    assert max(t.count() for t in sent) <= 8 * len(rows)
