@@ -93,3 +93,26 @@ def test_neighbours_are_searched_in_blocks_not_by_query(spark, monkeypatch):
     want = {(i, int(j)) for i in range(len(rows)) for j in np.argsort(apart[i])[:3]}
     assert {(r["id"], r["neighbour"]) for r in found} == want
     assert max(t.count() for t in sent) <= 8 * len(rows)
+
+
+def test_titles_too_short_to_win_are_not_written(spark, monkeypatch):
+    rng, sent = random.Random(2), []
+    made = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 4))) for _ in range(40)]
+    titles = [" ".join(rng.choices(made, k=rng.choice([3, 5, 5, 40]))) for _ in range(600)] + [None, "", "rare", made[0] + " " + "z" * 200]
+    terms = [" ".join(rng.choices(made, k=3)) for _ in range(30)] + ["rare", "none such", made[1]]
+
+    def score(title, term):
+        return len(set(title) & set(term)) / len(set(title) | set(term)) * len(title)
+
+    want = {}
+    for term in terms:
+        for title in filter(None, titles):
+            if set(title.split()) & set(term.split()) and score(title, term) > 2.0:
+                want[term] = min(want.get(term, (0, "")), (-score(title, term), title))
+    kept = similarity.durable
+    monkeypatch.setattr(similarity, "durable", lambda df: sent.append(kept(df)) or sent[-1])
+    frames = [spark.createDataFrame([(x,) for x in rows], f"{name} string") for rows, name in ((terms, "term"), (titles, "title"))]
+    got = similarity.best_titles(frames[0], "term", frames[1], "title", 2.0).collect()
+    assert {r["term"]: (round(-r["score"], 2), r["title"]) for r in got} == {k: (round(s, 2), t) for k, (s, t) in want.items()}
+    written = {r["title"] for t in sent if "title" in t.columns for r in t.select("title").collect()}
+    assert len(written) < 250 and not [t for t in written if len(t) < 20 and t != "rare"]
