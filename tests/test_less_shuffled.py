@@ -116,3 +116,25 @@ def test_titles_too_short_to_win_are_not_written(spark, monkeypatch):
     assert {r["term"]: (round(-r["score"], 2), r["title"]) for r in got} == {k: (round(s, 2), t) for k, (s, t) in want.items()}
     written = {r["title"] for t in sent if "title" in t.columns for r in t.select("title").collect()}
     assert len(written) < 250 and not [t for t in written if len(t) < 20 and t != "rare"]
+
+
+def test_far_words_are_not_looked_up_by_their_pieces(spark, monkeypatch):
+    """Pieces of one or two letters meet nearly every entry, many times; far words are compared with each entry once."""
+    rng, calls = random.Random(4), []
+    entries = ["".join(rng.choice("abcdefé") for _ in range(rng.randint(1, 9))) for _ in range(60)] + ["", None, "aa\U0001f600b"]
+    words = ["".join(rng.choice("abcdefgü\U0001f600") for _ in range(rng.randint(1, 14))) for _ in range(200)] + ["", None, "aaaaaaaaaaaa", "a"]
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            row, old = [i + 1], row
+            for j, y in enumerate(b):
+                row.append(min(row[-1] + 1, old[j + 1] + 1, old[j] + (x != y)))
+        return row[-1]
+
+    within = similarity._closest_within
+    monkeypatch.setattr(similarity, "_closest_within", lambda *a: calls.append(a[-1]) or within(*a))
+    frames = [spark.createDataFrame([(x,) for x in rows], f"{name} string") for rows, name in ((words, "w"), (entries, "e"))]
+    got = {r["w"]: (r["distance"], r["closest"]) for r in similarity.closest_words(frames[0], "w", frames[1], "e").collect()}
+    assert got == {w: min((distance(w, e), e) for e in filter(None, entries)) for w in filter(None, words)}
+    assert calls == [2] and max(d for d, _ in got.values()) > 4
