@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 
 from riskframe.session import durable
 
+# Characters that part words: ASCII other than letters and digits.  The mark is one of them.
+_PARTING = r"[\x00-/:-@\[-`{-\x7f]"
+_MARK = "\x01"
+
 # The fourteen filter operators.
 OPERATORS = (
     "EQUALS",
@@ -105,28 +109,46 @@ def contains_any(column: str, terms: Sequence[str], chunk: int = 200) -> Column:
 def with_any_term(df: DataFrame, key: str, text: str, terms: DataFrame, term: str) -> DataFrame:
     """Rows whose text holds any term of a table, in any case, however long the table is.
 
-    Each term is listed under the rarest of its first pieces of three characters (or all
-    of a shorter term), counted over all texts; a text's own pieces fetch terms, and
-    each fetched term is then looked for whole.  Null text and blank terms match nothing.
+    A term is cut at characters that part words.  A word inside it must stand in the text as it is, its first and last piece
+    at the end and the start of one.  Pieces are looked up in the vocabulary of all texts, not in the texts; each term is listed
+    under the words of its rarest piece, a text's own words fetch terms, and each fetched term is then looked for whole.
+    Null text and blank terms match nothing.
     """
-    wanted = terms.select(F.lower(term).alias("_t")).where(F.length(F.trim("_t")) > 0).distinct()
+    wanted = durable(terms.select(F.lower(term).alias("_t")).where(F.length(F.trim("_t")) > 0).distinct())
     texts = df.where(F.col(text).isNotNull()).select(F.col(key).alias("_k"), F.lower(text).alias("_x"))
-
-    def pieces(size: int) -> Column:
-        # Characters are told apart once; a substring of a long text would read it from its start.
-        whole = F.slice("_c", 1, F.greatest(F.lit(0), F.size("_c") - (size - 1)))
-        after = [lambda i, n=n: F.get(F.col("_c"), i + n) for n in range(1, size)]
-        return F.array_distinct(F.transform(whole, lambda c, i: F.concat(c, *[next_one(i) for next_one in after])))
-
-    short = F.when(F.length("_t") == 1, pieces(1)).when(F.length("_t") == 2, pieces(2)).otherwise(pieces(3))
-    own = wanted.withColumn("_c", F.split("_t", "")).select("_t", F.explode(F.slice(short, 1, 8)).alias("_p"))
-    held = texts.withColumn("_c", F.split("_x", "")).select("_k", F.explode(F.concat(*[pieces(n) for n in (1, 2, 3)])).alias("_p"))
-    held = held.join(own.select("_p").distinct(), "_p", "left_semi")
-    common = held.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    rarest = own.join(common, "_p").groupBy("_t").agg(F.min(F.struct("_n", "_p"))["_p"].alias("_p"))
-    fetched = held.join(durable(rarest), "_p").select("_k", "_t").distinct()
-    hits = fetched.join(texts, "_k").where(F.contains("_x", "_t")).select("_k").distinct()
-    return df.join(hits, F.col(key) == F.col("_k"), "left_semi")
+    bare = F.col("_t").rlike(rf"^{_PARTING}+\z")
+    spread = F.split("_x", f"{_PARTING}+")
+    if not wanted.where(bare).isEmpty():
+        # Terms that no word belongs to are looked for in what parts words.
+        spread = F.concat(spread, F.split("_x", _PARTING.replace("[", "[^", 1) + "+"))
+    held = texts.select("_k", F.explode(F.array_distinct(spread)).alias("_w")).where("_w <> ''")
+    vocabulary = durable(held.groupBy("_w").agg(F.count(F.lit(1)).alias("_n")))
+
+    # Words stand between marks that no word holds: a piece with a mark is the start or the end of a word, with two a word.
+    pieces = F.split("_t", f"{_PARTING}+")
+    last = F.size(pieces) - 1
+    marked = F.transform(pieces, lambda p, i: F.when(p != "", F.concat(F.when(i > 0, F.lit(_MARK)).otherwise(F.lit("")), p, F.when(i < last, F.lit(_MARK)).otherwise(F.lit("")))))
+    cut = wanted.select("_t", F.explode(F.when(bare, F.array("_t")).otherwise(F.array_distinct(marked))).alias("_p")).where("_p IS NOT NULL")
+    cut = durable(cut)
+
+    def grams(whole: str, size: int) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(whole) - (size - 1)))
+        return F.array_distinct(F.transform(places, lambda i: F.substring(F.col(whole), i, F.lit(size))))
+
+    short = F.when(F.length("_p") == 1, grams("_p", 1)).when(F.length("_p") == 2, grams("_p", 2)).otherwise(grams("_p", 3))
+    asked = cut.select("_p").distinct().select("_p", F.explode(F.slice(short, 1, 8)).alias("_g"))
+    words = vocabulary.select("_w", F.concat(F.lit(_MARK), "_w", F.lit(_MARK)).alias("_m"))
+    index = words.select("_w", "_m", F.explode(F.array_distinct(F.concat(*[grams("_m", n) for n in (1, 2, 3)]))).alias("_g"))
+    index = index.join(asked.select("_g").distinct(), "_g", "left_semi")
+    sizes = index.groupBy("_g").agg(F.count(F.lit(1)).alias("_c"))
+    rarest = durable(asked.join(sizes, "_g").groupBy("_p").agg(F.min(F.struct("_c", "_g"))["_g"].alias("_g")))
+    found = durable(index.join(rarest, "_g").where(F.contains("_m", "_p")).select("_p", "_w"))
+    often = found.join(vocabulary, "_w").groupBy("_p").agg(F.sum("_n").alias("_n"))
+    # A piece that no word holds is rarest of all: its term is in no text.
+    chosen = cut.join(often, "_p", "left").groupBy("_t").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)), "_p"))["_p"].alias("_p"))
+    listed = durable(chosen.join(found, "_p").select("_w", "_t"))
+    fetched = held.join(listed, "_w").select("_k", "_t")
+    return df.join(fetched, (F.col(key) == F.col("_k")) & F.contains(F.lower(text), "_t"), "left_semi")
 
 
 def blank_to_null(df: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 
 from pyspark.sql import functions as F
 
-from riskframe.functions import text
+from riskframe.functions import predicates, text
 from riskframe.ml import neighbours
 from riskframe.operators import similarity
 from riskframe.prep import select
@@ -138,3 +138,21 @@ def test_far_words_are_not_looked_up_by_their_pieces(spark, monkeypatch):
     got = {r["w"]: (r["distance"], r["closest"]) for r in similarity.closest_words(frames[0], "w", frames[1], "e").collect()}
     assert got == {w: min((distance(w, e), e) for e in filter(None, entries)) for w in filter(None, words)}
     assert calls == [2] and max(d for d, _ in got.values()) > 4
+
+
+def test_terms_are_looked_up_by_words_of_all_texts(spark):
+    """Texts themselves are read for their words and for the terms these fetch, and no text is spread out by its characters."""
+    rng = random.Random(6)
+
+    def made(n):
+        return "".join(rng.choice("aabBcé  .-\n\x01\u0085ñ") for _ in range(n))
+
+    texts = [made(rng.randint(0, 60)) for _ in range(150)] + [None, "", "One  two, three", "x" * 3000 + "needle-y"]
+    for terms in ([made(rng.randint(3, 9)) for _ in range(40)], ["NE two, thr", "needle", " ", "", None], ["--", ". .", "-\u0085", "c"], ["b.a", "zz"], []):
+        low = [t.lower() for t in terms if t and t.strip(" ")]
+        want = {i for i, x in enumerate(texts) if x is not None and any(t in x.lower() for t in low)}
+        df = spark.createDataFrame(list(enumerate(texts)), "i int, x string")
+        out = predicates.with_any_term(df, "i", "x", spark.createDataFrame([(t,) for t in terms], "t string"), "t")
+        assert {r["i"] for r in out.collect()} == want, terms
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert plan.count("LogicalRDD") == 2 and "split(_x" in plan and ", , -1)" not in plan
