@@ -176,7 +176,16 @@ def ngrams(text: Column | str, up_to: int = 3) -> Column:
 def ngram_frequencies(df: DataFrame, text: str, up_to: int = 3) -> DataFrame:
     """How often each n-gram occurs, in no order: whoever wants the top of it need not
     sort every n-gram there is."""
-    grams = df.select(F.explode(ngrams(text, up_to)).alias("ngram"))
+    # N-grams are made place by place, without an array of all of them.  A text is split once: a filter, also the one that
+    # Spark derives from an inner explode, would move below the split and split again.
+    split = df.select(F.array_remove(F.split(_col(text), _SPACES), "").alias("_w"))
+    places = split.select("_w", F.explode_outer(F.when(F.size("_w") > 0, F.sequence(F.lit(0), F.size("_w") - 1))).alias("_i"))
+
+    def gram(n: int) -> Column:
+        parts = [F.get(F.col("_w"), F.col("_i") + i) for i in range(n)]
+        return F.when(parts[-1].isNotNull(), F.concat_ws(" ", *parts))
+
+    grams = places.select(F.explode(F.array(*[gram(n) for n in range(1, up_to + 1)])).alias("ngram")).where("ngram IS NOT NULL")
     return grams.groupBy("ngram").agg(F.count(F.lit(1)).alias("count"))
 
 

@@ -156,3 +156,18 @@ def test_terms_are_looked_up_by_words_of_all_texts(spark):
         assert {r["i"] for r in out.collect()} == want, terms
     plan = out._jdf.queryExecution().analyzed().toString()
     assert plan.count("LogicalRDD") == 2 and "split(_x" in plan and ", , -1)" not in plan
+
+
+def test_ngrams_split_a_text_once(spark):
+    rows = ["a b  a b", "", None, " c ", "é a\tb a", "a"]
+    want = {}
+    for row in filter(None, rows):
+        held = row.split()
+        for n in (1, 2, 3):
+            for i in range(len(held) - n + 1):
+                gram = " ".join(held[i : i + n])
+                want[gram] = want.get(gram, 0) + 1
+    out = text.ngram_frequencies(spark.createDataFrame([(r,) for r in rows], "t string"), "t", 3)
+    assert dict(out.collect()) == want
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert out.count() == len(want) and text.ngram_frequencies(spark.createDataFrame([("b b a",)], "t string"), "t", 1).count() == 2
