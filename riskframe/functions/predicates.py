@@ -121,7 +121,8 @@ def with_any_term(df: DataFrame, key: str, text: str, terms: DataFrame, term: st
     if not wanted.where(bare).isEmpty():
         # Terms that no word belongs to are looked for in what parts words.
         spread = F.concat(spread, F.split("_x", _PARTING.replace("[", "[^", 1) + "+"))
-    held = texts.select("_k", F.explode(F.array_distinct(spread)).alias("_w")).where("_w <> ''")
+    # Not an inner explode: Spark would derive a filter from it that splits every text once more.
+    held = texts.select("_k", F.explode_outer(F.array_distinct(spread)).alias("_w")).where("_w <> ''")
     vocabulary = durable(held.groupBy("_w").agg(F.count(F.lit(1)).alias("_n")))
 
     # Words stand between marks that no word holds: a piece with a mark is the start or the end of a word, with two a word.
