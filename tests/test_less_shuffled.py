@@ -171,3 +171,49 @@ def test_ngrams_split_a_text_once(spark):
     assert dict(out.collect()) == want
     assert out._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
     assert out.count() == len(want) and text.ngram_frequencies(spark.createDataFrame([("b b a",)], "t string"), "t", 1).count() == 2
+
+
+def _texts(rng, groups, copies):
+    """Groups of like texts that share frequent words with all others."""
+    rows = []
+    for g in range(groups):
+        own = [f"g{g}w{i}" for i in range(30)] + [f"all{i}" for i in range(30)]
+        for c in range(copies):
+            kept = [w for w in own if rng.random() > 0.06] + [f"x{g}y{c}z{i}" for i in range(rng.randrange(3))]
+            rows.append((f"{g:02}{c:03}", " ".join(kept)))
+    return rows
+
+
+def test_closest_groups_of_one_component_take_no_rounds(spark, monkeypatch):
+    """A hundred like texts claim one another one after another; the number of tables written stays that of a few."""
+    rng, written, real = random.Random(9), [], similarity.durable
+    monkeypatch.setattr(similarity, "durable", lambda df: written.append(1) or real(df))
+
+    def chosen(rows):
+        written.clear()
+        df = spark.createDataFrame(rows, "k string, t string")
+        got = {r["k"]: r["similar_key"] for r in similarity.similar_groups(df, "k", "t", 0.75, only_max=True).collect()}
+        found, claimed, want = {k: set(t.split()) for k, t in rows}, set(), {k: None for k, _ in rows}
+        counts = {k: len(t.split()) for k, t in rows}
+        for a in sorted(found, reverse=True):
+            near = {} if a in claimed else {b: len(found[a] & found[b]) / len(found[a] | found[b]) for b in found if b != a and b not in claimed}
+            near = {b: s for b, s in near.items() if s >= 0.75 - 1e-12 and counts[b] >= np.ceil(round(counts[a] * 0.75, 9))}
+            if near:
+                best = [b for b, s in near.items() if s >= max(near.values()) - 1e-12]
+                claimed.update([a, *best])
+                want.update({k: a for k in [a, *best]})
+        assert got == want
+        return len(written)
+
+    few = chosen(_texts(rng, 1, 6))
+    assert chosen(_texts(rng, 2, 60)) <= few + 12
+
+
+def test_components_of_chains_and_cliques(spark):
+    """Chains of 300 in order, a clique and single edges: one root each, in logarithmically many rounds."""
+    edges = [(f"c{i:03}", f"c{i + 1:03}") for i in range(299)] + [(f"q{i}", f"q{j}") for i in range(6) for j in range(i)] + [("x", "y")]
+    got = similarity._components(spark.createDataFrame(edges, "a string, b string")).collect()
+    parts = {}
+    for r in got:
+        parts.setdefault(r["root"], set()).add(r["sid"])
+    assert sorted(map(len, parts.values())) == [2, 6, 300] and len(got) == 308
