@@ -184,6 +184,38 @@ def _texts(rng, groups, copies):
     return rows
 
 
+def test_dissimilar_sets_hardly_become_candidates(spark):
+    """Sets that share a rare word by chance are told apart before any of their words are fetched."""
+    rng = random.Random(8)
+    rows = _texts(rng, 12, 8) + [(f"z{i:03}", " ".join(f"c{rng.randrange(400)}" for _ in range(rng.choice([3, 20, 60])))) for i in range(150)]
+    sets = similarity._word_sets(similarity.signatures(spark.createDataFrame(rows, "k string, t string"), "k", "t"))
+    held = {r["sid"]: set(r["tokens"]) for r in sets.collect()}
+    similar = {(a, b) for a in held for b in held if a > b and len(held[a] & held[b]) / len(held[a] | held[b]) >= 0.75}
+    index = similarity._prefix_index(sets, 0.75)
+    met = [(r["a"], r["b"]) for r in similarity._candidates(index, index, 0.75, True).collect()]
+    assert len(similar) > 150 and similar <= set(met) and len(met) == len(set(met)) < 2 * len(similar)
+    other = sets.where("sid >= '06'").select("*")
+    crossed = similarity._candidates(similarity._prefix_index(other, 0.75), index, 0.75, False).collect()
+    both = similar | {(b, a) for a, b in similar}
+    assert {p for p in both if p[0] >= "06"} <= {(r["a"], r["b"]) for r in crossed} and len(crossed) == len(set(crossed))
+
+
+def test_words_are_told_apart_where_numbers_are_the_same(spark, monkeypatch):
+    number = similarity._number
+    monkeypatch.setattr(similarity, "_number", lambda w, seed: number(w, seed) if seed else F.pmod(number(w, seed), F.lit(5)))
+    sets = similarity._word_sets(similarity.signatures(spark.createDataFrame([("1", "a b c d e f g h a"), ("2", "")], "k string, t string"), "k", "t"))
+    assert [(r["sid"], r["word_count"], len(set(r["tokens"]))) for r in sets.collect()] == [("1", 9, 8)]
+
+
+def test_words_are_cut_as_cleaning_and_splitting_did(spark):
+    texts = ["A-b  c\t\u212a \u0130x\u00e9Y\n9.9", "", None, " \u3000 ", "ABC abc Abc"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    want = similarity.words(F.lower(similarity.clean_name(F.coalesce("t", F.lit("")))))
+    want = df.select(F.col("k").cast("string"), F.sort_array(F.array_distinct(want)), F.size(want)).collect()
+    got = similarity._worded(df, "k", "t", True).select("_key", "tokens", "word_count").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
 def test_closest_groups_of_one_component_take_no_rounds(spark, monkeypatch):
     """A hundred like texts claim one another one after another; the number of tables written stays that of a few."""
     rng, written, real = random.Random(9), [], similarity.durable
